@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import token_ids
+from sievework.llm import token_ids, warc
 from sievework.llm.shared import fresh_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -28,3 +28,23 @@ def op9_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     token_ids.write_token_files(docs, out, TOKENIZER, end_id=1)
     read = token_ids.read_token_files(spark, out)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
+    out = fresh_dir(spark, "warc")
+    warc.write_warc(spark.read.parquet(f"{sf}/pages.parquet"), out)
+    return warc.read_warc(spark, out).drop("payload", "url")
+
+
+ORACLE_SQL["op3_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT page_id, html, array_to_string(list_transform(range(40),
+        lambda j: right(bin(16 + strpos('0123456789abcdef', substr(h, j::INT + 1, 1)) - 1), 4)), '') AS bits FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+    (16 * substr(bits, i::INT * 5 + 1, 1)::INT + 8 * substr(bits, i::INT * 5 + 2, 1)::INT + 4 * substr(bits, i::INT * 5 + 3, 1)::INT
+     + 2 * substr(bits, i::INT * 5 + 4, 1)::INT + substr(bits, i::INT * 5 + 5, 1)::INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM b WINDOW w AS (PARTITION BY html)"""
