@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import token_ids, warc
+from sievework.llm import bpe, token_ids, warc
 from sievework.llm.shared import fresh_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -48,3 +48,10 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
   CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
 FROM b WINDOW w AS (PARTITION BY html)"""
+
+
+@query
+def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    coded = bpe.encode_decode(spark.read.parquet(f"{sf}/documents.parquet"), TOKENIZER)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
