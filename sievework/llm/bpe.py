@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import json
 import os
+import struct
 import tempfile
 import unicodedata
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ from sievework.llm.shared import map_arrow
 #: Words compiled into the lexicon.
 LEXICON_WORDS = 65_536
 #: Distinct words and distinct chunks between white space that a worker remembers.
-CACHE = 300_000
+CACHE, CHUNKS = 400_000, 500_000
 #: White space of the pattern engine: what Unicode calls so.
 UNICODE_SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -70,6 +71,7 @@ class Merger:
             self.tokens[i] = token.encode()
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
+        self.byte_of = {s: b for b, s in enumerate(symbols)}
         self.last = [vocab[s + suffix] for s in symbols]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -77,7 +79,8 @@ class Merger:
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{UNICODE_SPACE}")).findall
-        self.space = regex.compile(f"[{UNICODE_SPACE}]+")
+        self.path = path
+        self.library = None
 
     def normalize(self, text: str) -> str:
         """NFC, white space to a space, lower case character by character (no final sigma)."""
@@ -126,13 +129,27 @@ class Merger:
                     heapq.heappush(heap, (m[0], left, ids[left], ids[right], m[1]))
         return [x for x in ids if x >= 0]
 
+    def split(self, segment: str) -> list[str]:
+        """The pre-tokens of a text without added tokens. Where Python's Unicode tables lack a character, the library,
+        whose tables may be newer or older than the pattern engine's, splits the text."""
+        if segment.isascii():
+            return self.pieces(segment.lower())
+        if not any(unicodedata.category(c) == "Cn" for c in segment):
+            return self.pieces(self.normalize(segment))
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        text = self.library.normalizer.normalize_str(segment)
+        return [bytes(map(self.byte_of.__getitem__, p)).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def parts(self, text: str) -> Iterator[tuple[str, int]]:
         """Pre-tokens with -1, and added tokens with their id."""
         for k, segment in enumerate(self.added_split.split(text) if self.added_split else [text]):
             if k % 2:
                 yield segment, self.added[segment]
             else:
-                for piece in self.pieces(self.normalize(segment)):
+                for piece in self.split(segment):
                     yield piece, -1
 
 
@@ -223,33 +240,47 @@ def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
 
 
 class Coder:
-    """A worker's encoder: lexicon, then exact merges, with what was found kept for the next time."""
+    """A worker's encoder: what it has met before, else the lexicon, else exact merges; with ``library`` the words are
+    merged by the tokenizers library instead."""
 
-    def __init__(self, tokenizer_path: str, lexicon_path: str | None):
+    def __init__(self, tokenizer_path: str, lexicon_path: str | None = None, library: bool = False):
         self.merger = Merger(tokenizer_path)
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
         self.words: dict[str, bytes] = {}
         self.chunks: dict[bytes, bytes] = {}
+        self.model = None
+        if library:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.model = Tokenizer.from_file(tokenizer_path).model
+            self.symbols = byte_symbols()
 
     def word(self, piece: str) -> bytes:
         got = self.words.get(piece)
         if got is None:
-            data = piece.encode()
-            known = self.lexicon.get(data) if self.lexicon else None
-            got = (np.array(self.merger.word(data), "<i4") if known is None else known.astype("<i4")).tobytes()
+            if self.model:
+                shown = piece if piece.isascii() else "".join(map(self.symbols.__getitem__, piece.encode()))
+                ids = [t.id for t in self.model.tokenize(shown)]
+            else:
+                data = piece.encode()
+                ids = self.lexicon.get(data) if self.lexicon else None
+                ids = self.merger.word(data) if ids is None else ids.tolist()
             if len(self.words) >= CACHE:
                 self.words.clear()
-            self.words[piece] = got
+            got = self.words[piece] = struct.pack("<%dI" % len(ids), *ids)
         return got
 
     def chunk(self, chunk: bytes) -> bytes:
-        return b"".join(self.word(p) if i < 0 else i.to_bytes(4, "little") for p, i in self.merger.parts(chunk.decode()))
+        if b"<" not in chunk:
+            return b"".join(map(self.word, self.merger.split(chunk.decode())))
+        return b"".join(self.word(p) if i < 0 else struct.pack("<I", i) for p, i in self.merger.parts(chunk.decode()))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as packed 32-bit integers. No token spans white space, so chunks stand alone."""
         chunks = [t.split() for t in texts]
         new = set().union(*chunks).difference(self.chunks)
-        if len(new) + len(self.chunks) > CACHE:
+        if len(new) + len(self.chunks) > CHUNKS:
             self.chunks = {}
             new = set().union(*chunks)
         for c in new:

@@ -45,13 +45,13 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{SPACES}+"))
 
 
-def range_shards(df: DataFrame, key: str, size: Column, target: int) -> tuple[DataFrame, int]:
-    """``df`` with an int column ``shard``: consecutive ranges of the long column ``key`` of about ``target`` units of
-    ``size`` each. The ranges depend on the rows only, so that a rerun cuts the same shards. Null keys go to shard 0."""
-    spark = df.sparkSession
+def range_shards(df: DataFrame, key: str, size: Column, target: int) -> tuple[Column, int]:
+    """An int expression for the shard of a row, and the number of shards: consecutive ranges of the long column
+    ``key`` of about ``target`` units of ``size`` each. They depend on the rows only, so that a rerun cuts the same
+    shards. Null keys go to shard 0."""
     low, high = df.agg(F.min(key), F.max(key)).first()
     if low is None:
-        return df.withColumn("shard", F.lit(0)), 1
+        return F.lit(0), 1
     width = max(1, -(-(high - low + 1) // (RANGE_BINS - 2)))
     first = int(low / width) if abs(low) < 2**52 else (abs(low) // width) * (1 if low >= 0 else -1)
     place = F.expr(f"CAST(`{key}` DIV CAST({width} AS BIGINT) - CAST({first} AS BIGINT) AS INT)")
@@ -63,7 +63,7 @@ def range_shards(df: DataFrame, key: str, size: Column, target: int) -> tuple[Da
         filled += sums.get(b, 0)
         shard_of.append(shard)
     lookup = F.lit(shard_of).cast("array<int>")
-    return df.withColumn("shard", F.when(F.col(key).isNull(), 0).otherwise(F.get(lookup, place))), shard + 1
+    return F.when(F.col(key).isNull(), 0).otherwise(F.get(lookup, place)), shard + 1
 
 
 def filesystem(uri: str):

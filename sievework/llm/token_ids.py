@@ -23,10 +23,12 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sievework.llm.bpe import Coder
 from sievework.llm.shared import cut, filesystem, map_arrow, range_shards
 
 MAGIC = b"SWTOK001"
@@ -34,51 +36,29 @@ HEAD, FOOT = "<8sH32s", "<QQI8s"
 HEAD_SIZE, FOOT_SIZE = struct.calcsize(HEAD), struct.calcsize(FOOT)
 INDEX = [("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u8")]
 #: The dictionary: documents of the sample, longest text taken into it, bytes of the dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 1000, 20_000, 64 * 1024
+SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 256, 8_000, 64 * 1024
 #: Text bytes per shard and compressed bytes per file.
 SHARD_BYTES, FILE_BYTES = 32 << 20, 64 << 20
-#: Distinct chunks a worker remembers.
-CACHE = 500_000
 LEVEL = 3
 
-_encoders: dict[str, "ChunkEncoder"] = {}
+_encoders: dict[str, "Encoder"] = {}
 
 
-class ChunkEncoder:
-    """Encodes texts with the library, chunk by chunk between ASCII white space, which no token of a tokenizer that
-    drops white space spans; what a chunk gave is remembered. ``width`` is the bytes per id."""
+class Encoder:
+    """Encodes texts with the library's model; ``width`` is the bytes per id."""
 
     def __init__(self, path: str):
-        import os
+        self.coder = Coder(path, library=True)
+        self.width = 2 if len(self.coder.merger.tokens) <= 1 << 16 else 4
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        packed = self.coder.encode(texts)
+        return packed if self.width == 4 else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in packed]
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        chunks = [t.split() for t in texts]
-        new = set().union(*chunks).difference(self.known)
-        if len(new) + len(self.known) > CACHE:
-            self.known = {}
-            new = set().union(*chunks)
-        if new:
-            new = list(new)
-            form = "<%d" + ("H" if self.width == 2 else "I")
-            for chunk, found in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
-                ids = found.ids
-                self.known[chunk] = struct.pack(form % len(ids), *ids)
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
-
-
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -131,8 +111,6 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     import hashlib
     import uuid
 
-    import numpy as np
-
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer_path)
     key = hashlib.sha256(dictionary).digest()
@@ -141,8 +119,8 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     with fs.open_output_stream(f"{path}/dictionary.tmp") as f:
         f.write(dictionary)
     fs.move(f"{path}/dictionary.tmp", f"{path}/dictionary-{key.hex()}")
-    sized, n = range_shards(docs.select("doc_id", "text"), "doc_id", F.octet_length(F.coalesce("text", F.lit(""))) + 64, SHARD_BYTES)
-    coded = encode_ids(sized, tokenizer_path, end_id, ("shard", "doc_id"))
+    shard_of, n = range_shards(docs, "doc_id", F.octet_length(F.coalesce("text", F.lit(""))) + 64, SHARD_BYTES)
+    coded = encode_ids(docs.select("doc_id", "text", shard_of.alias("shard")), tokenizer_path, end_id, ("shard", "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(out_dir)
@@ -199,8 +177,6 @@ def read_token_files(spark: SparkSession, out_dir: str) -> DataFrame:
     unsigned 32-bit integers. A wrong magic, dictionary or index checksum fails the read."""
     import hashlib
 
-    import numpy as np
-
     manifest = spark.read.parquet(f"{out_dir}/manifest")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 

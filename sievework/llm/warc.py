@@ -25,7 +25,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.shared import cut, filesystem, map_arrow, range_shards
@@ -103,25 +103,15 @@ def parse_record(data: bytes) -> dict:
     }
 
 
-def mark_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (binary), refers_to. Digests and lengths stand in for payloads, so that equal ones meet
-    without being moved; a hot payload is reduced to its largest id before the shuffle, and only payloads that occur
-    more than once are joined back."""
-    base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    slim = base.select("page_id", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n"))
+def revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
+    """page_id, sha1 (hex), last: for the records that a later page_id with an equal payload makes revisits. Digests
+    and lengths stand in for payloads, so that equal ones meet without being moved; a hot payload is reduced to its
+    largest id before the shuffle, and only payloads that occur more than once are joined back."""
+    payload = F.coalesce("html", F.lit(""))
+    slim = pages.select("page_id", F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n"))
     known = slim.where(F.col("page_id").isNotNull() & (F.col("n") >= min_revisit_bytes))
     twice = known.groupBy("sha1", "n").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1")
-    # one row per id and payload: whether it is the copy that stays is told by its id, repeated rows by a number
-    revisits = cut(known.join(twice, ["sha1", "n"]).groupBy("page_id", "sha1").agg(F.first("last").alias("last"), F.count("*").alias("rows")))
-    again = revisits.where("rows > 1 AND page_id = last").select("page_id", "sha1").withColumn("repeats", F.lit(True))
-    marked = base.withColumn("sha1", F.sha1("payload")).join(revisits.select("page_id", "sha1", "last"), ["page_id", "sha1"], "left")
-    if again.isEmpty():
-        refers = F.when(F.col("page_id") < F.col("last"), F.col("last"))
-    else:
-        order = Window.partitionBy("page_id", "sha1").orderBy("url")
-        marked = marked.join(again, ["page_id", "sha1"], "left").withColumn("nth", F.when(F.col("repeats"), F.row_number().over(order)))
-        refers = F.when((F.col("page_id") < F.col("last")) | (F.col("nth") > 1), F.col("last"))
-    return marked.select("page_id", "url", "payload", refers.alias("refers_to"))
+    return known.join(twice, ["sha1", "n"]).where("page_id < last").select("page_id", "sha1", "last").distinct()
 
 
 def write_warc(pages: DataFrame, out_dir: str, min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES, date: str = DATE) -> DataFrame:
@@ -129,12 +119,12 @@ def write_warc(pages: DataFrame, out_dir: str, min_revisit_bytes: int = 0, file_
     spark = pages.sparkSession
     fs, path = filesystem(out_dir)
     fs.create_dir(path, recursive=True)
-    marked, n = range_shards(mark_revisits(pages, min_revisit_bytes), "page_id", F.octet_length("payload") + 512, SHARD_BYTES)
+    shard_of, n = range_shards(pages, "page_id", F.octet_length(F.coalesce("html", F.lit(""))) + 512, SHARD_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(out_dir)
         out, temp, shard, seq, at, count, first, last, whole = None, "", None, 0, 0, 0, None, None, None
-        done = []
+        done, latest, seen, of = [], {}, set(), None
 
         def close() -> None:
             nonlocal out, seq
@@ -145,7 +135,17 @@ def write_warc(pages: DataFrame, out_dir: str, min_revisit_bytes: int = 0, file_
             out, seq = None, seq + 1
 
         for batch in batches:
-            for s, page_id, url, payload, refers_to in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for s, page_id, url, payload, sha1, later in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if page_id != of:
+                    latest, seen, of = {}, set(), page_id
+                if payload is None:  # comes before the pages of its id
+                    latest[sha1] = later
+                    continue
+                digest = hashlib.sha1(payload).hexdigest()
+                refers_to = latest.get(digest)
+                if page_id is not None and refers_to is None and len(payload) >= min_revisit_bytes:
+                    refers_to = page_id if digest in seen else None
+                    seen.add(digest)
                 if out and (s != shard or at >= file_bytes):
                     close()
                 if s != shard:
@@ -163,8 +163,11 @@ def write_warc(pages: DataFrame, out_dir: str, min_revisit_bytes: int = 0, file_
         kinds = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in MANIFEST.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], names)
 
-    placed = marked.select("shard", "page_id", "url", "payload", "refers_to").repartitionById(n, F.col("shard"))
-    placed = placed.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("refers_to").asc_nulls_last(), "url")
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    rows = pages.select(shard_of.alias("shard"), "page_id", "url", html.alias("payload"), F.lit(None).cast("string").alias("sha1"), F.lit(None).cast("long").alias("last"))
+    marks = revisits(pages, min_revisit_bytes).select(shard_of.alias("shard"), "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha1", "last")
+    placed = rows.unionByName(marks).repartitionById(n, F.col("shard"))
+    placed = placed.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("sha1").asc_nulls_last(), "url", "payload")
     files = cut(map_arrow(placed, run, MANIFEST))
     files.coalesce(1).sortWithinPartitions("shard", "seq").write.mode("overwrite").parquet(f"{out_dir}/manifest")
     total = files.agg(F.count("*").alias("files"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes")).first()
