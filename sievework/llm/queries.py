@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, token_ids, warc
+from sievework.llm import bpe, mixing, token_ids, warc
 from sievework.llm.shared import fresh_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -55,3 +55,10 @@ def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
     coded = bpe.encode_decode(spark.read.parquet(f"{sf}/documents.parquet"), TOKENIZER)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))
+    taken = (F.col("copies") * F.col("mix_size")).alias("taken")
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", taken)
