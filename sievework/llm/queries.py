@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, mixing, token_ids, warc
+from sievework.llm import bpe, mixing, quality_rules, token_ids, warc
 from sievework.llm.shared import fresh_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -62,3 +62,28 @@ def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))
     taken = (F.col("copies") * F.col("mix_size")).alias("taken")
     return mixed.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", taken)
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.quality(spark.read.parquet(f"{sf}/documents.parquet")).drop("host", "text_id", "depleted")
+
+
+ORACLE_SQL["op2_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS text, md5(text) AS text_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+c AS (SELECT *, len(w) AS n_words, list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines FROM d),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM c)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+rw AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(3)) AS k) GROUP BY doc_id),
+x AS (SELECT host, text_id, doc_id, regexp_replace(regexp_replace(trim(lower(unnest(l)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') AS line FROM c),
+often AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text_id) AS n FROM x WHERE line <> '' GROUP BY ALL)
+    JOIN (SELECT host, count(DISTINCT text_id) AS texts FROM x WHERE line <> '' GROUP BY ALL) USING (host) WHERE n > 20 AND n > 0.01 * texts),
+lost AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM x JOIN often USING (host, line) GROUP BY doc_id),
+o AS (SELECT doc_id, n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    len(full_lines) - len(list_distinct(full_lines)) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS lost
+    FROM c LEFT JOIN rw USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.5 * n_words AS kept FROM o"""
