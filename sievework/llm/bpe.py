@@ -294,6 +294,7 @@ class Coder:
 
 
 _coders: dict[tuple[str, str | None], Coder] = {}
+_sent: set[tuple[str, str]] = set()
 
 
 def coder(tokenizer_path: str, lexicon_name: str | None) -> Coder:
@@ -315,8 +316,11 @@ def ship_lexicon(docs: DataFrame, tokenizer_path: str, n: int = LEXICON_WORDS) -
     compile_lexicon(words, f"{folder}/lexicon")
     with open(f"{folder}/lexicon", "rb") as f:
         name = f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:24]}.bin"
-    os.rename(f"{folder}/lexicon", f"{folder}/{name}")
-    docs.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+    sc = docs.sparkSession.sparkContext
+    if (sc.applicationId, name) not in _sent:  # a name tells the contents, and is sent once
+        os.rename(f"{folder}/lexicon", f"{folder}/{name}")
+        sc.addFile(f"{folder}/{name}")
+        _sent.add((sc.applicationId, name))
     return name
 
 
