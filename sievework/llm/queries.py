@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, minhash, mixing, quality_rules, token_ids, warc
+from sievework.llm import bpe, minhash, mixing, pii, quality_rules, token_ids, warc
 from sievework.llm.shared import fresh_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -105,3 +105,10 @@ e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, documents.doc_id = c.component_id AS kept
 FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)"""
+
+
+@query
+def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find(spark.read.parquet(f"{sf}/documents.parquet"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return found.select("doc_id", *map(count, range(4)), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
