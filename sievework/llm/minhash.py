@@ -5,12 +5,12 @@ gives coordinate k of the signature (C-MinHash). A shingle's values for all coor
 permutation, so that a signature is a running minimum over slices of one table. BANDS bands of ROWS coordinates give
 bucket keys; two sets of similarity 0.8 miss all of them with a chance of 5 in a million.
 
-Documents with the same set are one class from the start. Within a bucket no list of all pairs is made. First every
-class is confirmed against the bucket mate of least id with which it shares most bands, then against the least mates of
-its other buckets where these are still in another component. What a bucket still holds in different components is
-compared by signatures, block by block, and the likeliest pairs of a class with each other component are confirmed,
-round by round until none is left; a pair is passed over only if its estimated similarity is below LIKELY, more than 6
-standard errors under the threshold. Every link rests on the exact Jaccard similarity of full sets.
+Documents with the same set are one class from the start. No list of all pairs of a bucket is made. First every class
+is confirmed against the mate of least id with which it shares most bands, which joins most of a group of copies. Then
+clusters of classes that buckets connect are looked at: where a cluster still has several components, blocks of its
+classes with their signatures and sets are dealt to tasks, and a task confirms likely pairs of different components
+until its rows can't be joined further. A pair is passed over only if a chain of links joins it already or its
+estimated similarity is below LIKELY. Every link rests on the exact Jaccard similarity of full sets.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; a text with fewer words than a shingle
 is one shingle; rows that repeat a doc_id are one node; rows without a doc_id are left as they are, unlinked; an empty
@@ -32,10 +32,12 @@ from sievework.llm.shingles import mixed, shingle_set
 from sievework.shipping import ship
 
 UNIVERSE, BANDS, ROWS, SEED = 1 << 21, 40, 6, 20240229
-#: Pairs whose signatures agree in less than this share are no links.
-LIKELY = 0.62
-#: Rows of a bucket compared with each other at once; pairs of a class with one other component confirmed per round.
-BLOCK, TRIES = 1024, 8
+#: Pairs whose signatures agree in less than this share are no links: 4.6 standard errors under 0.8.
+LIKELY = 0.68
+#: Nodes in a block; two blocks of a cluster are held against each other at once.
+BLOCK = 1024
+#: Nodes with bucket mates up to which their ids are broadcast to the documents; beyond, both are shuffled.
+BROADCAST_NODES = 1_000_000
 
 _table: list[np.ndarray] = []
 
@@ -93,6 +95,12 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
     return map_arrow(rows, run, "doc_id long, n_shingles long, set_id binary, bands array<long>, sig binary")
 
 
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    same = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return 100 * same >= percent * (len(p) + len(q) - same)
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """node, shingles (packed) of the documents that ``nodes`` names."""
 
@@ -103,6 +111,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                 sets = [shingle_set(t or b"", n).tobytes() for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
     named = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(nodes, "node", "left_semi")
     return map_arrow(named, run, "node long, shingles binary").dropDuplicates(["node"])
 
@@ -112,12 +121,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                at = np.searchsorted(q, p)
-                same = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
+            both = zip(batch.column("x"), batch.column("y"))
+            keep = [similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair), percent) for pair in both]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -125,71 +130,88 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def _likely_pairs(rows: DataFrame, percent: int, tried: int) -> DataFrame:
-    """a, b from ``rows`` (key, part, node, component, n, sig): of each node with each other component of its bucket
-    the pairs from ``tried`` to ``tried + TRIES`` in order of estimated similarity."""
-    least = int(LIKELY * BANDS * ROWS)
-
-    def run(table):  # applyInArrow takes a function of a table by its lack of hints
-        order = np.argsort(table.column("node").to_numpy(), kind="stable")
-        node, comp, n = (table.column(c).to_numpy()[order] for c in ("node", "component", "n"))
-        sig = np.stack([np.frombuffer(s, np.uint8) for s in table.column("sig").to_pylist()])[order]
-        a, b = [], []
-        for i in range(len(node)):
-            other = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            if len(other):
-                same = (sig[other] == sig[i]).sum(axis=1)
-                other, same = other[same >= least], same[same >= least]
-                for c in np.unique(comp[other]):
-                    mine = comp[other] == c
-                    best = other[mine][np.argsort(-same[mine], kind="stable")][tried : tried + TRIES]
-                    a += [min(node[i], node[j]) for j in best]
-                    b += [max(node[i], node[j]) for j in best]
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    ship(rows.sparkSession)
-    return rows.groupBy("key", "part").applyInArrow(run, "a long, b long").distinct()
+def _confirm_task(table, percent: int):
+    """Links that join different components among a task's rows (node, component, side, n, sig, shingles): the likely
+    pairs in order of estimated similarity, but those that earlier links have joined already."""
+    order = np.argsort(table.column("node").to_numpy(), kind="stable")
+    node, comp, n = (table.column(c).to_numpy()[order] for c in ("node", "component", "n"))
+    sig = np.stack([np.frombuffer(x, np.uint8) for x in table.column("sig").to_pylist()])[order]
+    packed = table.column("shingles").to_pylist()
+    least, first, second, same = LIKELY * BANDS * ROWS, [], [], []
+    for i in range(len(node) - 1):
+        j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])))
+        if len(j):
+            equal = (sig[j] == sig[i]).sum(axis=1)
+            j, equal = j[equal >= least], equal[equal >= least]
+            first.append(np.full(len(j), i))
+            second.append(j)
+            same.append(equal)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    a, b = [], []
+    if first:
+        first, second, same = map(np.concatenate, (first, second, same))
+        for k in np.argsort(-same, kind="stable"):
+            i, j = first[k], second[k]
+            ri, rj = root(int(comp[i])), root(int(comp[j]))
+            if ri != rj and similar(np.frombuffer(packed[order[i]], np.uint64), np.frombuffer(packed[order[j]], np.uint64), percent):
+                parent[max(ri, rj)] = min(ri, rj)
+                a.append(node[i])
+                b.append(node[j])
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _tasks(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (cluster, node, component, n) of clusters with several components, dealt to tasks: each pair of nodes
+    in different components of a cluster meets in one. A component of more than BLOCK nodes is a unit of its own, whose
+    blocks are never held against each other; the small ones of a cluster are one unit."""
+    several = nodes.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cluster")
+    rows = nodes.join(several, "cluster", "left_semi")
+    sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("unit", F.when(F.col("size") > BLOCK, F.col("component")).otherwise(F.lit(-1).cast("long")))
+    units = cut(sizes.groupBy("cluster", "unit").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"), F.max("size").alias("largest")))
+    placed = rows.join(sizes.select("cluster", "component", "size", "unit"), ["cluster", "component"]).join(units.select("cluster", "unit", "blocks"), ["cluster", "unit"])
+    dealt = F.when(F.col("size") > BLOCK, F.xxhash64("node")).otherwise(F.xxhash64("component"))
+    placed = placed.withColumn("block", F.pmod(dealt, F.col("blocks")).cast("int"))
+    left = units.select("cluster", F.col("unit").alias("ua"), F.col("blocks").alias("na"), F.col("largest").alias("la"))
+    right = units.select("cluster", F.col("unit").alias("ub"), F.col("blocks").alias("nb"))
+    pairs = left.join(right, "cluster").where((F.col("ua") < F.col("ub")) | ((F.col("ua") == F.col("ub")) & (F.col("la") <= BLOCK)))
+    pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    pairs = pairs.where((F.col("ua") < F.col("ub")) | (F.col("i") <= F.col("j")))
+    sides = F.array_distinct(F.array(F.struct(F.col("ua").alias("unit"), F.col("i").alias("block")), F.struct(F.col("ub").alias("unit"), F.col("j").alias("block"))))
+    tasks = pairs.select("cluster", "ua", "i", "ub", "j", F.explode(sides).alias("s")).select("cluster", "ua", "i", "ub", "j", "s.unit", "s.block")
+    return placed.join(tasks, ["cluster", "unit", "block"]).select("cluster", "ua", "i", "ub", "j", "node", "component", "n")
 
 
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """node, component of the classes (node, n, bands, sig) that are linked."""
     spread = classes.select("node", "n", F.explode("bands").alias("key"))
-    shared = cut(spread.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("rows")).where("rows > 1"))
-    members = cut(spread.join(shared, "key").select("key", "pivot", "node", "n", "rows"))
-    sets = cut(full_sets(docs, members.select("node").distinct(), n))
-    counted = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("bands"), F.first("n").alias("n"))
-    sizes = members.where("node = pivot").select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n")).distinct()
-    close = cut(counted.join(sizes, "pivot").where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")))
-    first = close.groupBy("node").agg(F.max_by("pivot", F.struct("bands", -F.col("pivot"))).alias("b")).select(F.col("node").alias("a"), "b")
-    found = cut(confirmed(first, sets, percent))
+    shared = spread.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("rows")).where("rows > 1")
+    mates = spread.join(shared, "key").where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("bands"))
+    mates = cut(mates)
+    clusters = cut(components(mates.select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
+    roots = clusters.select(F.col("component").alias("node")).distinct()
+    nodes = cut(clusters.select("node", F.col("component").alias("cluster")).unionByName(roots.withColumn("cluster", F.col("node"))))
+    sets = cut(full_sets(docs, nodes.select("node"), n))
+    best = mates.groupBy("node").agg(F.max_by("pivot", F.struct("bands", -F.col("pivot"))).alias("b")).select(F.col("node").alias("a"), "b")
+    found = cut(confirmed(best, sets, percent))
     labels = components(found)
+    known = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    slim = classes.select("node", "n", "sig")
+    tasks = _tasks(cut(known.join(slim.select("node", "n"), "node")))
+    rows = tasks.join(slim.select("node", "sig"), "node").join(sets, "node")
+    ship(docs.sparkSession)
 
-    def labelled(df: DataFrame, node: str, name: str) -> DataFrame:
-        own = labels.select(F.col("node").alias(node), F.col("component").alias(name))
-        return df.join(own, node, "left").withColumn(name, F.coalesce(name, node))
+    def run(table):  # applyInArrow takes a function of a table by its lack of hints
+        return _confirm_task(table, percent)
 
-    rest = labelled(labelled(close.select("node", "pivot"), "node", "c"), "pivot", "d").where("c <> d").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    found = cut(found.unionByName(confirmed(rest.join(first.withColumn("done", F.lit(True)), ["a", "b"], "left_anti"), sets, percent)))
-    labels = components(found)
-    tried = 0
-    while True:
-        now = labelled(members.select("key", "node", "n", "rows"), "node", "component")
-        mixed_keys = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        open_rows = now.join(mixed_keys, "key")
-        # a bucket of many rows goes to blocks; each pair of blocks is a part, so that every pair of rows meets once
-        blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("block")) * F.col("blocks") + F.greatest(o, F.col("block")))
-        open_rows = open_rows.withColumn("blocks", blocks).withColumn("block", block).withColumn("part", F.explode(parts))
-        sigs = classes.select("node", "sig")
-        pairs = cut(_likely_pairs(open_rows.join(sigs, "node").select("key", "part", "node", "component", "n", "sig"), percent, tried))
-        if pairs.isEmpty():
-            return labels
-        new = cut(confirmed(pairs, sets, percent))
-        tried += TRIES
-        if not new.isEmpty():
-            found = cut(found.unionByName(new))
-            labels, tried = components(found), 0 if tried > TRIES else tried
+    more = rows.groupBy("cluster", "ua", "i", "ub", "j").applyInArrow(run, "a long, b long")
+    return components(cut(found.unionByName(more)))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
