@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, minhash, mixing, pii, quality_rules, token_ids, warc
+from sievework.llm import bpe, minhash, mixing, pii, quality_rules, substrings, token_ids, warc
 from sievework.llm.shared import fresh_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -112,3 +112,20 @@ def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.find(spark.read.parquet(f"{sf}/documents.parquet"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
     return found.select("doc_id", *map(count, range(4)), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    left = substrings.remove_repeats(spark.read.parquet(f"{sf}/documents.parquet"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op4_substrings"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM g) WHERE n > 1),
+x AS (SELECT doc_id, list(DISTINCT i + k) AS gone FROM r, (SELECT unnest(range(20)) AS k) GROUP BY doc_id),
+k AS (SELECT doc_id, list(w ORDER BY i) AS kept FROM (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM d) u
+    ANTI JOIN (SELECT DISTINCT doc_id, i + k AS i FROM r, (SELECT unnest(range(20)) AS k)) v USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN k USING (doc_id)"""
