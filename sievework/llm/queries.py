@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, minhash, mixing, pii, quality_rules, substrings, token_ids, warc
+from sievework.llm import ann, bpe, minhash, mixing, pii, quality_rules, stupid_backoff, substrings, token_ids, warc
 from sievework.llm.shared import fresh_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -129,3 +129,27 @@ k AS (SELECT doc_id, list(w ORDER BY i) AS kept FROM (SELECT doc_id, unnest(w) A
     ANTI JOIN (SELECT DISTINCT doc_id, i + k AS i FROM r, (SELECT unnest(range(20)) AS k)) v USING (doc_id, i) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
 FROM d LEFT JOIN x USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+@query
+def op1_ann(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("id") % 20 == 0, k=20)
+
+
+@query
+def op8_stupid_backoff(spark: SparkSession, sf: str) -> DataFrame:
+    scored = stupid_backoff.score(spark.read.parquet(f"{sf}/documents.parquet"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+ORACLE_SQL["op8_stupid_backoff"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, len(w) AS n, i, w[i] AS u, CASE WHEN i > 1 THEN w[i - 1] END AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+a AS (SELECT *, sum(1) OVER () - n AS words_left, count(*) OVER (PARTITION BY u) - count(*) OVER (PARTITION BY u, doc_id) AS c1,
+  count(*) OVER (PARTITION BY p, u) - count(*) OVER (PARTITION BY p, u, doc_id) AS c2 FROM t),
+b AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM a),
+s AS (SELECT doc_id, ln(CASE WHEN i > 1 AND c2 > 0 THEN c2 / before
+    ELSE (CASE WHEN i > 1 THEN 0.4::DOUBLE ELSE 1 END) * CASE WHEN c1 > 0 THEN c1 / words_left ELSE 1 / (words_left + 1) END END) AS l FROM b)
+SELECT d.doc_id, len(w) AS n_words, round(coalesce(sum(l), 0), 4) AS log_score,
+  CASE WHEN len(w) > 0 THEN round(sum(l) / len(w), 6) END AS mean_log_score FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, d.w"""
