@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import mmap
 import os
 import struct
 import tempfile
@@ -35,9 +36,11 @@ from pyspark.sql import functions as F
 from sievework.llm.shared import map_arrow
 
 #: Words compiled into the lexicon.
-LEXICON_WORDS = 65_536
+LEXICON_WORDS = 32_768
 #: Distinct words and distinct chunks between white space that a worker remembers.
-CACHE, CHUNKS = 400_000, 500_000
+CACHE, CHUNKS = 600_000, 250_000
+#: The first code point that Unicode hasn't assigned; below it, letters are the same in all its versions.
+FIRST_UNKNOWN = "\u0378"
 #: White space of the pattern engine: what Unicode calls so.
 UNICODE_SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -73,10 +76,13 @@ class Merger:
         self.inner = [vocab[s] for s in symbols]
         self.byte_of = {s: b for b, s in enumerate(symbols)}
         self.last = [vocab[s + suffix] for s in symbols]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # the rank of a pair, and by rank what it becomes
+        self.merges: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a], vocab[b]] = rank
+            self.made.append(vocab[a + b])
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{UNICODE_SPACE}")).findall
         self.path = path
@@ -96,14 +102,11 @@ class Merger:
         return self._short(ids) if len(ids) <= 48 else self._long(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
-        get, none = self.merges.get, (1 << 60, -1)
+        get, none, made = self.merges.get, 1 << 60, self.made
         found = [get(p, none) for p in zip(ids, ids[1:])]
-        while found:
-            best = min(found)
-            if best is none:
-                break
+        while found and (best := min(found)) != none:
             i = found.index(best)
-            ids[i : i + 2] = [best[1]]
+            ids[i : i + 2] = [made[best]]
             del found[i]
             if i:
                 found[i - 1] = get((ids[i - 1], ids[i]), none)
@@ -114,19 +117,19 @@ class Merger:
     def _long(self, ids: list[int]) -> list[int]:
         get, n = self.merges.get, len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
+        heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j], after[i] = new, -1, after[j]
+            ids[i], ids[j], after[i] = self.made[rank], -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (m := get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (m[0], left, ids[left], ids[right], m[1]))
+                if left >= 0 and right >= 0 and (rank := get((ids[left], ids[right]))) is not None:
+                    heapq.heappush(heap, (rank, left, ids[left], ids[right]))
         return [x for x in ids if x >= 0]
 
     def split(self, segment: str) -> list[str]:
@@ -134,7 +137,7 @@ class Merger:
         whose tables may be newer or older than the pattern engine's, splits the text."""
         if segment.isascii():
             return self.pieces(segment.lower())
-        if not any(unicodedata.category(c) == "Cn" for c in segment):
+        if max(segment) < FIRST_UNKNOWN or not any(unicodedata.category(c) == "Cn" for c in segment):
             return self.pieces(self.normalize(segment))
         if self.library is None:
             from tokenizers import Tokenizer
@@ -154,30 +157,33 @@ class Merger:
 
 
 class Lexicon:
-    """Reader of a compiled lexicon; ``get`` gives a word's ids or None."""
+    """Reader of a compiled lexicon, which it maps into memory; ``get`` gives a word's ids or None."""
 
     def __init__(self, path: str):
-        sizes = np.fromfile(path, "<i8", 5)
-        at, arrays = 40, []
-        for n, kind in zip(sizes, ("<u4", "<u4", "<u4", "u1", "<u4")):
-            arrays.append(np.memmap(path, kind, "r", at, (int(n),)) if n else np.zeros(0, kind))
-            at += -(-int(n) * np.dtype(kind).itemsize // 8) * 8
-        # of each state the first arc, times two, plus one if it accepts; of each arc target, output, label; then ids
-        self.first, self.target, self.output, self.label, self.ids = arrays
-
-    def get(self, word: bytes) -> np.ndarray | None:
-        first, label, state, rank = self.first, self.label, 0, 0
-        for b in word:
-            low, high = int(first[state]) >> 1, int(first[state + 1]) >> 1
-            i = low + int(np.searchsorted(label[low:high], b))
-            if i >= high or label[i] != b:
+        with open(path, "rb") as f:
+            self.file = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        view, at, arrays = memoryview(self.file), 40, []
+        for n, kind in zip(struct.unpack("<5q", self.file[:40]), "IIIBI"):
+            size = n * struct.calcsize(kind)
+            arrays.append((at, view[at : at + size].cast(kind)))
+            at += -(-size // 8) * 8
+        # of each state the first arc, times two, plus one if it accepts; of each arc target, output, label; then the
+        # number of words, where each word's ids begin, and the ids
+        (_, self.first), (_, self.target), (_, self.output), (self.labels, _), (_, self.ids) = arrays
+
+    def get(self, word: bytes) -> list[int] | None:
+        first, find, labels, state, rank = self.first, self.file.find, self.labels, 0, 0
+        for b in range(len(word)):
+            low, high = first[state] >> 1, first[state + 1] >> 1
+            i = find(word[b : b + 1], labels + low, labels + high) - labels
+            if i < low:
                 return None
-            rank += int(self.output[i])
-            state = int(self.target[i])
-        if not int(first[state]) & 1:
+            rank += self.output[i]
+            state = self.target[i]
+        if not first[state] & 1:
             return None
-        n = int(self.ids[0])
-        return self.ids[1 + n + 1 + int(self.ids[1 + rank]) : 1 + n + 1 + int(self.ids[2 + rank])]
+        ids, n = self.ids, self.ids[0]
+        return ids[n + 2 + ids[1 + rank] : n + 2 + ids[2 + rank]].tolist()
 
 
 def compile_lexicon(words: dict[bytes, list[int]], path: str) -> int:
@@ -234,11 +240,25 @@ def compile_lexicon(words: dict[bytes, list[int]], path: str) -> int:
 
 def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
     """The ``n`` most frequent runs of letters of all texts, in lower case; ties go to the smaller word."""
-    found = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    top = found.groupBy("word").count().where(F.length("word") <= 64).orderBy(F.desc("count"), "word").limit(n)
+    found = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
+    top = found.groupBy("word").count().where(F.length("word").between(1, 64)).orderBy(F.desc("count"), "word").limit(n)
     return [r["word"] for r in top.collect()]
 
 
+class Remembered(dict):
+    """A dict that computes what it lacks, and starts anew beyond ``limit`` entries."""
+
+    def __init__(self, compute, limit: int):
+        super().__init__()
+        self.compute, self.limit = compute, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        got = self[key] = self.compute(key)
+        return got
+
+
 class Coder:
     """A worker's encoder: what it has met before, else the lexicon, else exact merges; with ``library`` the words are
     merged by the tokenizers library instead."""
@@ -246,8 +266,8 @@ class Coder:
     def __init__(self, tokenizer_path: str, lexicon_path: str | None = None, library: bool = False):
         self.merger = Merger(tokenizer_path)
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[bytes, bytes] = {}
+        self.words = Remembered(self.word, CACHE)
+        self.chunks = Remembered(self.chunk, CHUNKS)
         self.model = None
         if library:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -257,36 +277,33 @@ class Coder:
             self.symbols = byte_symbols()
 
     def word(self, piece: str) -> bytes:
-        got = self.words.get(piece)
-        if got is None:
-            if self.model:
-                shown = piece if piece.isascii() else "".join(map(self.symbols.__getitem__, piece.encode()))
-                ids = [t.id for t in self.model.tokenize(shown)]
-            else:
-                data = piece.encode()
-                ids = self.lexicon.get(data) if self.lexicon else None
-                ids = self.merger.word(data) if ids is None else ids.tolist()
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            got = self.words[piece] = struct.pack("<%dI" % len(ids), *ids)
-        return got
+        """The packed ids of a pre-token."""
+        if self.model:
+            shown = piece if piece.isascii() else "".join(map(self.symbols.__getitem__, piece.encode()))
+            ids = [t.id for t in self.model.tokenize(shown)]
+        else:
+            data = piece.encode()
+            ids = self.lexicon.get(data) if self.lexicon else None
+            ids = self.merger.word(data) if ids is None else ids
+        return struct.pack("<%dI" % len(ids), *ids)
 
     def chunk(self, chunk: bytes) -> bytes:
+        """The packed ids of what stands between white space."""
+        text, words = chunk.decode(), self.words
+        if max(text) < FIRST_UNKNOWN:
+            low = text.lower() if text.isascii() else self.merger.normalize(text)
+            if low.isalpha():
+                return words[low]
+            if low[-1] in ".,;:!?" and low[:-1].isalpha():
+                return words[low[:-1]] + words[low[-1]]
         if b"<" not in chunk:
-            return b"".join(map(self.word, self.merger.split(chunk.decode())))
-        return b"".join(self.word(p) if i < 0 else struct.pack("<I", i) for p, i in self.merger.parts(chunk.decode()))
+            return b"".join(map(words.__getitem__, self.merger.split(text)))
+        return b"".join(words[p] if i < 0 else struct.pack("<I", i) for p, i in self.merger.parts(text))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as packed 32-bit integers. No token spans white space, so chunks stand alone."""
-        chunks = [t.split() for t in texts]
-        new = set().union(*chunks).difference(self.chunks)
-        if len(new) + len(self.chunks) > CHUNKS:
-            self.chunks = {}
-            new = set().union(*chunks)
-        for c in new:
-            self.chunks[c] = self.chunk(c)
         get = self.chunks.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        return [b"".join(map(get, t.split())) for t in texts]
 
     def decode(self, ids: list[int]) -> bytes:
         """Tokens joined by a space, as a tokenizer without a decoder does."""
