@@ -6,9 +6,9 @@ orthogonal part. Four-bit codes, two to a byte, are scanned with tables of parti
 of each query are reranked by exact inner products in double precision.
 
 Equal vectors are one entry with its least ids, as many as a result can hold, so that a hot vector is neither a hot
-group nor crowds out others. Codebooks are fitted on SAMPLE entries of least hash; every entry is encoded. Blocks of
-queries meet blocks of codes through an equi-join on the code block's number; scores of a pair of blocks stay in a task,
-which passes on the best of each query.
+group nor crowds out others. Codebooks are fitted on SAMPLE entries of least hash; every entry is encoded. Codes are dealt to groups, and every block of queries is sent to every group: a
+task holds its group's codes, 24 bytes an entry, scans them for one block of queries after the other and passes on the
+best of each query.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold a null or non-finite component take no
 part; of rows that repeat a vec_id with different vectors the least vector counts; ties go to the smaller vec_id; with
@@ -24,14 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.shared import cut, map_arrow
+from sievework.llm.shared import cut, map_arrow, partitions
 
 SUB, CENTRES = 2, 16
 #: Vectors the codebooks are fitted on, rounds of fitting, and the share of a query's norm that counts as near.
 SAMPLE, ROUNDS, NEAR = 4096, 8, 0.2
-CODE_BLOCK, QUERY_BLOCK = 8192, 256
-#: Entries per query that are reranked.
+#: Queries that are scanned at once; entries of a group, whose codes a task holds: there are as many groups as shuffle
+#: partitions, within these bounds.
+QUERY_BLOCK, GROUP_LEAST, GROUP_MOST = 256, 1024, 4_000_000
+#: Entries per query and group that a scan passes on, and entries per query that are reranked.
 CANDIDATES = 256
+PACKED = "group int, kind int, ids binary, data binary"
 
 
 class Codebook:
@@ -116,6 +119,30 @@ def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     return rows.join(F.broadcast(sizes.select("n")), F.size("v") == F.col("n")).drop("n")
 
 
+def packed_rows(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """group, kind, ids and data as PACKED."""
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    plain = [(int(g), k, ids.tobytes(), np.ascontiguousarray(data).tobytes()) for g, k, ids, data in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in plain], kind) for i, kind in enumerate(kinds)], ["group", "kind", "ids", "data"])
+
+
+def best_of(book: Codebook, held: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, queries: np.ndarray, most: int) -> pa.RecordBatch:
+    """The ``most`` entries of largest approximate product for each query, from all code blocks that a task holds."""
+    tables, entries, about = book.tables(queries), None, None
+    for entry, code in held:
+        scores = tables[0][code[:, 0]]
+        for j in range(1, code.shape[1]):
+            scores += tables[j][code[:, j]]
+        entry = np.broadcast_to(entry[:, None], scores.shape)
+        if about is not None:
+            scores, entry = np.concatenate([about, scores]), np.concatenate([entries, entry])
+        if len(scores) > most:
+            top = np.argpartition(-scores, most - 1, axis=0)[:most]
+            scores, entry = np.take_along_axis(scores, top, 0), np.take_along_axis(entry, top, 0)
+        entries, about = entry, scores
+    return pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(about))), pa.array(entries.ravel()), pa.array(about.ravel())], ["query_id", "entry", "about"])
+
+
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -138,38 +165,40 @@ def search(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_i
     sample = np.array([r["v"] for r in few.orderBy("h", "entry").limit(SAMPLE).collect()] or [r["v"] for r in hashed.orderBy("h").limit(1).collect()])
     book = Codebook(sample)
 
+    groups = min(-(-n // GROUP_LEAST), max(partitions(entries.sparkSession), -(-n // GROUP_MOST)))
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                v = np.stack(part.column("v").to_numpy(zero_copy_only=False))
-                codes = book.packed(book.encode(v))
-                yield pa.RecordBatch.from_arrays([part.column("entry"), pa.array([c.tobytes() for c in codes], pa.binary())], ["entry", "code"])
+                code = book.packed(book.encode(np.stack(part.column("v").to_numpy(zero_copy_only=False))))
+                entry, group = part.column("entry").to_numpy(), part.column("group").to_numpy()
+                yield packed_rows([(g, 0, entry[group == g], code[group == g]) for g in np.unique(group)])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(at, QUERY_BLOCK)
+                yield packed_rows([(0, 1, part.column("query_id").to_numpy(), np.stack(part.column("q").to_numpy(zero_copy_only=False)))])
 
-    blocks, query_blocks = -(-n // CODE_BLOCK), -(-n_queries // QUERY_BLOCK)
-    codes = map_arrow(entries.select("entry", "v"), encode, "entry long, code binary").withColumn("block", F.pmod(F.xxhash64("entry"), F.lit(blocks)))
-    codes = codes.repartition(min(blocks, 100_000), "block").groupBy("block").agg(F.collect_list(F.struct("entry", "code")).alias("codes"))
-    asked = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("query_block")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-    pairs = asked.repartition(min(blocks, 100_000), "block").join(codes, "block").select("queries", "codes")
+    group = F.pmod(F.xxhash64("entry"), F.lit(groups)).cast("int").alias("group")
+    codes = map_arrow(entries.select("entry", "v", group), encode, PACKED)
+    asked = map_arrow(queries, ask, PACKED).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    both = codes.unionByName(asked).repartitionById(groups, F.col("group")).sortWithinPartitions("group", "kind")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_group = [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                asked, coded = batch.column("queries")[i].values, batch.column("codes")[i].values
-                ids = asked.field("query_id").to_numpy()
-                entry = coded.field("entry").to_numpy()
-                code = np.frombuffer(b"".join(coded.field("code").to_pylist()), np.uint8).reshape(len(entry), -1)
-                tables = book.tables(np.stack(asked.field("q").to_numpy(zero_copy_only=False)))
-                scores = tables[0][code[:, 0]]
-                for j in range(1, code.shape[1]):
-                    scores += tables[j][code[:, j]]
-                best = min(candidates, len(entry))
-                top = np.argpartition(-scores, best - 1, axis=0)[:best]
-                found = np.take_along_axis(scores, top, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, best)), pa.array(entry[top].ravel()), pa.array(found.ravel())], ["query_id", "entry", "about"])
-
-    found = map_arrow(pairs, scan, "query_id long, entry long, about float")
+            for g, kind, ids, data in zip(*(batch.column(c).to_pylist() for c in ("group", "kind", "ids", "data"))):
+                if g != open_group:
+                    held, open_group = [], g
+                ids = np.frombuffer(ids, np.int64)
+                if kind == 0:
+                    held.append((ids, np.frombuffer(data, np.uint8).reshape(len(ids), -1)))
+                elif held:
+                    yield best_of(book, held, ids, np.frombuffer(data, np.float64).reshape(len(ids), -1), candidates)
+
+    found = map_arrow(both, scan, "query_id long, entry long, about float")
     order = Window.partitionBy("query_id").orderBy(F.desc("about"), "entry")
     short = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= candidates).select("query_id", "entry")
     exact = short.join(entries, "entry").join(queries, "query_id").select("query_id", "entry", "ids", inner_product(F.col("q"), F.col("v")).alias("score"))
