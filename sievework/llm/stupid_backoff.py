@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.shared import cut, map_arrow
+from sievework.llm.shared import map_arrow, words
 from sievework.llm.shingles import rolling, word_hashes
 from sievework.shipping import ship
 
@@ -39,9 +39,9 @@ BLOCK_CHARS, PART_WORDS = 16 << 20, 2_000_000
 def _grams(texts: list[bytes], n: int) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
     """Word counts of the texts; per order from 1 to ``n`` the hash at each word of the n-gram that ends there (0 where
     the text begins too late)."""
-    words = [t.lower().split() for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = [x for w in words for x in w]
+    split = [t.lower().split() for t in texts]
+    sizes = np.array([len(w) for w in split], np.int64)
+    flat = [x for w in split for x in w]
     h = word_hashes(flat)
     at = np.arange(len(h)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sizes) if len(sizes) else np.zeros(0, np.int64)
     out = []
@@ -64,6 +64,20 @@ def _bounds(parts: int) -> np.ndarray:
     return (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
 
 
+def _pack(sorted_hashes: np.ndarray) -> bytes:
+    """Sorted distinct hashes as a width, the first, and differences of that many bytes."""
+    steps = np.diff(sorted_hashes)
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    return bytes([width]) + sorted_hashes[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    width = data[0]
+    steps = np.zeros(((len(data) - 9) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(np.concatenate([np.frombuffer(data[1:9], np.uint64), steps.reshape(-1).view(np.uint64)]), dtype=np.uint64)
+
+
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -85,9 +99,9 @@ def _requests(table, order: int, parts: int):
         cuts = np.searchsorted(distinct, _bounds(parts))
         for part, (g, c) in enumerate(zip(np.split(distinct, cuts), np.split(counts, cuts))):
             if len(g):
-                rows.append((k + 1, part, block, g.tobytes(), press.compress(c.astype(np.uint32).tobytes()), int(c.sum())))
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-    return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["gram", "part", "block", "hashes", "counts", "words"])
+                rows.append((k + 1, part, block, _pack(g), press.compress(c.astype(np.uint32).tobytes())))
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["gram", "part", "block", "hashes", "counts"])
 
 
 def _answers(table):
@@ -95,7 +109,7 @@ def _answers(table):
     import zstandard
 
     press, plain = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-    hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    hashes = [_unpack(x) for x in table.column("hashes").to_pylist()]
     counts = np.concatenate([np.frombuffer(plain.decompress(x), np.uint32) for x in table.column("counts").to_pylist()])
     distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)[which]
@@ -136,7 +150,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, log_score and mean_log_score of every document."""
     spark = docs.sparkSession
     ship(spark)
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    chars, all_words = (x or 0 for x in docs.agg(F.sum(F.length("text")), F.sum(F.size(words(F.col("text"))))).first())
     blocks, parts = max(1, -(-chars // BLOCK_CHARS)), max(1, -(-chars // (6 * PART_WORDS)))
     rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     kept = map_arrow(rows, _squeeze, "block int, doc_id long, z binary")
@@ -144,8 +158,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def ask(table):  # applyInArrow takes a function of a table by its lack of hints
         return _requests(table, order, parts)
 
-    asked = cut(kept.groupBy("block").applyInArrow(ask, "gram int, part int, block int, hashes binary, counts binary, words long"))
-    all_words = asked.where("gram = 1").agg(F.sum("words")).first()[0] or 0
+    asked = kept.groupBy("block").applyInArrow(ask, "gram int, part int, block int, hashes binary, counts binary")
     answered = asked.groupBy("gram", "part").applyInArrow(_answers, "gram int, part int, block int, totals binary")
 
     def judge(left, right):
