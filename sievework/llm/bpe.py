@@ -33,12 +33,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.shared import map_arrow
+from sievework.llm.shared import map_arrow, take_room
 
 #: Words compiled into the lexicon.
 LEXICON_WORDS = 32_768
 #: Distinct words and distinct chunks between white space that a worker remembers.
-CACHE, CHUNKS = 600_000, 250_000
+CACHE, CHUNKS = 350_000, 150_000
 #: The first code point that Unicode hasn't assigned; below it, letters are the same in all its versions.
 FIRST_UNKNOWN = "\u0378"
 #: White space of the pattern engine: what Unicode calls so.
@@ -263,11 +263,11 @@ class Coder:
     """A worker's encoder: what it has met before, else the lexicon, else exact merges; with ``library`` the words are
     merged by the tokenizers library instead."""
 
-    def __init__(self, tokenizer_path: str, lexicon_path: str | None = None, library: bool = False):
+    def __init__(self, tokenizer_path: str, lexicon_path: str | None = None, library: bool = False, room: tuple[int, int] = (CACHE, CHUNKS)):
         self.merger = Merger(tokenizer_path)
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
-        self.words = Remembered(self.word, CACHE)
-        self.chunks = Remembered(self.chunk, CHUNKS)
+        self.words = Remembered(self.word, room[0])
+        self.chunks = Remembered(self.chunk, room[1])
         self.model = None
         if library:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -279,7 +279,7 @@ class Coder:
     def word(self, piece: str) -> bytes:
         """The packed ids of a pre-token."""
         if self.model:
-            shown = piece if piece.isascii() else "".join(map(self.symbols.__getitem__, piece.encode()))
+            shown = piece if piece.isascii() and piece.isprintable() else "".join(map(self.symbols.__getitem__, piece.encode()))
             ids = [t.id for t in self.model.tokenize(shown)]
         else:
             data = piece.encode()
@@ -316,6 +316,7 @@ _sent: set[tuple[str, str]] = set()
 
 def coder(tokenizer_path: str, lexicon_name: str | None) -> Coder:
     key = (tokenizer_path, lexicon_name)
+    take_room("bpe", _coders.clear)
     if key not in _coders:
         _coders.clear()
         _coders[key] = Coder(tokenizer_path, SparkFiles.get(lexicon_name) if lexicon_name else None)

@@ -133,7 +133,7 @@ def mix(docs: DataFrame, seed: int = 17, weigh: Callable[[Column], Column] = cyc
 
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    rows = keyed(docs, seed)
+    rows = keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text"), seed)
     plan, n = make_plan(cut(rows.select("doc_id", "source", "mix_size", "mix_key", "mix_bin")))
     chosen = apply_plan(rows, plan, n).where("copies > 0")
-    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

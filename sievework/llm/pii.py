@@ -198,8 +198,10 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data masked in ``text``; n_chars, if there, follows the text."""
     rows = read_tokens(docs)
     added = added_spans(rows, bootstrap(rows, docs))
-    own = docs.withColumns({"text_id": F.md5(F.coalesce("text", F.lit(""))), "base": base_spans(F.col("text"))})
-    out = _with_added(own, added).withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("spans"))))
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.md5(text).alias("text_id"), base_spans(F.col("text")).alias("base"))
+    out = _with_added(own, added).select("row", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("spans"))).alias("masked"))
+    row = F.col("row").withField("text", F.col("masked"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.length("masked").cast(docs.schema["n_chars"].dataType))
+    return out.select(row.alias("row")).select("row.*")

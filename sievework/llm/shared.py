@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +74,36 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+_task_caches: dict[str, Callable[[], None]] = {}
+
+
+def take_room(name: str, forget: Callable[[], None], for_task: bool = False) -> None:
+    """Called by a worker's code before it fills a cache: other operators' caches in the same process are emptied.
+    A cache ``for_task`` is emptied when its task ends, so that idle workers hold little."""
+    for other, empty in _caches.items():
+        if other != name:
+            empty()
+    _caches[name] = forget
+    if for_task:
+        _task_caches[name] = forget
+
+
+def end_task() -> None:
+    for empty in _task_caches.values():
+        empty()
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers."""
+    """``df.mapInArrow`` with this package at hand in the workers, and the task's caches emptied at its end."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def wrapped(batches):
+        from sievework.llm.shared import end_task
+
+        try:
+            yield from run(batches)
+        finally:
+            end_task()
+
+    return df.mapInArrow(wrapped, schema)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
+from sievework.llm.shared import take_room
+
 #: Distinct words a worker remembers.
-WORDS = 600_000
+WORDS = 400_000
 _known: dict[bytes, int] = {}
 
 
@@ -13,7 +15,9 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash per word."""
     import xxhash
 
-    if len(_known) > WORDS:
+    if not _known:
+        take_room("shingles", _known.clear, for_task=True)
+    elif len(_known) > WORDS:
         _known.clear()
     try:
         return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.shared import map_arrow, words
+from sievework.llm.shared import end_task, map_arrow, words
 from sievework.llm.shingles import rolling, word_hashes
 from sievework.shipping import ship
 
 ORDER, BACKOFF = 2, 0.4
 #: Characters of text per block, and distinct n-grams of an order that a partition gets, about.
-BLOCK_CHARS, PART_WORDS = 16 << 20, 2_000_000
+BLOCK_CHARS, PART_WORDS = 8 << 20, 1_000_000
 
 
 def _grams(texts: list[bytes], n: int) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
@@ -43,6 +43,7 @@ def _grams(texts: list[bytes], n: int) -> tuple[list[np.ndarray], np.ndarray, li
     sizes = np.array([len(w) for w in split], np.int64)
     flat = [x for w in split for x in w]
     h = word_hashes(flat)
+    end_task()
     at = np.arange(len(h)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sizes) if len(sizes) else np.zeros(0, np.int64)
     out = []
     for k in range(1, n + 1):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.bpe import Coder
-from sievework.llm.shared import cut, filesystem, map_arrow, range_shards
+from sievework.llm.shared import cut, filesystem, map_arrow, range_shards, take_room
 
 MAGIC = b"SWTOK001"
 HEAD, FOOT = "<8sH32s", "<QQI8s"
@@ -40,6 +40,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 256, 8_000, 64 * 1024
 #: Text bytes per shard and compressed bytes per file.
 SHARD_BYTES, FILE_BYTES = 32 << 20, 64 << 20
 LEVEL = 3
+#: Distinct words and chunks that a worker remembers.
+ROOM = (600_000, 250_000)
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -48,7 +50,7 @@ class Encoder:
     """Encodes texts with the library's model; ``width`` is the bytes per id."""
 
     def __init__(self, path: str):
-        self.coder = Coder(path, library=True)
+        self.coder = Coder(path, library=True, room=ROOM)
         self.width = 2 if len(self.coder.merger.tokens) <= 1 << 16 else 4
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -57,6 +59,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
+    take_room("token_ids", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
