@@ -34,10 +34,10 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH q AS (SELECT doc_id, CASE WHEN ends_with(trim(substr(text, 1, 30)), '?') THEN trim(substr(text, 1, 30)) ELSE trim(substr(text, 1, 30)) || '?' END AS q, string_split(text, ' ')[1] AS a, source FROM documents)
-SELECT doc_id AS idx, 'crag' AS data_source, 'Answer: ' || q || ' Now.' AS content, [a, source] AS target, doc_id % 7 = 0 AS ook FROM q""")
+SELECT doc_id AS idx, 'questions' AS data_source, 'Answer: ' || q || ' Now.' AS content, [a, source] AS target, doc_id % 7 = 0 AS ook FROM q""")
 def p1_v13_v15_question_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Question rows, with one block of the template replaced."""
-    rows = prep.question_rows(_questions(spark, sf), "crag", "q", "a", "alt", F.col("ook"), "doc_id", "Think. {} Now.", replace=("Think.", "Answer:"))
+    rows = prep.question_rows(_questions(spark, sf), "questions", "q", "a", "alt", F.col("ook"), "doc_id", "Think. {} Now.", replace=("Think.", "Answer:"))
     rows = prep.mapped(rows, lambda df: df)
     return rows.select(F.col("extra_info.index").alias("idx"), "data_source", F.col("prompt")[0]["content"].alias("content"), F.col("reward_model.ground_truth.target").alias("target"), F.col("reward_model.ground_truth.out_of_knowledge").alias("ook"))
 
@@ -55,11 +55,11 @@ def p3_p4_gsm8k_rows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", prep.worked_solution(solution).alias("answer"), F.concat(F.lit("How?"), F.lit(" Think.")).alias("question"))
 
 
-@query("SELECT doc_id, 'searchR1_' || source AS data_source, coalesce(quality::VARCHAR, lang) AS truth FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id, 'search_' || source AS data_source, coalesce(quality::VARCHAR, lang) AS truth FROM documents LEFT JOIN labels USING (doc_id)")
 def p5_v7_nested_coalesce(spark: SparkSession, sf: str) -> DataFrame:
     """The ground truth from a nested field, else from a plain one; the source with a prefix."""
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").withColumn("reward_model", F.struct(F.col("quality").cast("string").alias("ground_truth")))
-    return rows.select("doc_id", F.concat(F.lit("searchR1_"), "source").alias("data_source"), F.coalesce("reward_model.ground_truth", "lang").alias("truth"))
+    return rows.select("doc_id", F.concat(F.lit("search_"), "source").alias("data_source"), F.coalesce("reward_model.ground_truth", "lang").alias("truth"))
 
 
 @query("""WITH o AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) SELECT source, string_agg('Doc ' || i || '(Title: ' || doc_id || ') ' || source || chr(10), '' ORDER BY i) AS docs FROM o WHERE i <= 3 GROUP BY source""")
