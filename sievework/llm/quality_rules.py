@@ -27,8 +27,9 @@ MIN_DOCS, SHARE = 20, 0.01
 DEPLETED = 0.5
 #: Base rules: fewest words, most percent of words in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Rows up to which the table of texts with frequent lines is broadcast, by count.
-BROADCAST_TEXTS = 20_000
+#: Bytes up to which the table of texts with frequent lines is broadcast, at ROW_BYTES a text and 8 a line; a larger one
+#: is joined by a shuffle.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 120
 BLANK = r"^[\x20\x09-\x0D]*$"
 
 
@@ -118,16 +119,21 @@ def kept_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     removed = removed_lines(lines)
     gone = cut(removed.groupBy("host", "text_id").agg(F.collect_set("line").alias("gone")))
     gone = gone.select(F.col("host").alias("g_host"), F.col("text_id").alias("g_text"), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_TEXTS else gone
-    rows = docs.withColumn("quality_text", F.md5("text"))
-    rows = rows.join(gone, rows[host].eqNullSafe(gone["g_host"]) & (rows["quality_text"] == gone["g_text"]), "left")
+    size = gone.agg(F.sum(ROW_BYTES + 8 * F.size("gone") + F.coalesce(F.length("g_host"), F.lit(0)))).first()[0] or 0
+    gone = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", F.col(host).alias("host"), F.md5("text").alias("text_id"))
+    rows = rows.join(gone, rows["host"].eqNullSafe(gone["g_host"]) & (rows["text_id"] == gone["g_text"]), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(normal_line(x)))), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    counts = base_counts(F.col("text"))
-    rows = rows.withColumns({"quality_left": text, "quality_counts": counts})
-    n, repeated = F.col("quality_counts.n_words"), F.col("quality_counts.n_repeat_words")
-    fails = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
-    depleted = F.col("gone").isNotNull() & (n - F.size(words(F.col("quality_left"))) > DEPLETED * n)
-    passed = rows.where(~fails & ~depleted)
-    new = {"text": F.col("quality_left")} | ({"n_chars": F.length("quality_left").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return passed.withColumns(new).select(*docs.columns)
+    counts = let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("repeated")))
+
+    def passes(c: Column) -> Column:
+        fails = (c["n"] < MIN_WORDS) | (100 * c["repeated"] > MAX_REPEAT_PERCENT * c["n"])
+        depleted = F.col("gone").isNotNull() & (c["n"] - F.size(words(left)) > DEPLETED * c["n"])
+        return ~fails & ~depleted
+
+    passed = rows.where(let(counts, passes)).select("row", text.alias("left"))
+    row = F.col("row").withField("text", F.col("left"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("left").cast(docs.schema["n_chars"].dataType))
+    return passed.select(row.alias("row")).select("row.*")
