@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievework.functions.text import let
+
 
 def head_and_tail(tokens: Column, most: int, tail: int) -> Column:
     """At most ``most`` tokens: the head, and the last ``tail`` where something had to go."""
@@ -82,10 +84,10 @@ def generalized_advantage(rewards: Column, values: Column, mask: Column, gamma:
 
 
 def log_sum_exp(values: Column) -> Column:
-    most = F.array_max(values)
-    return most + F.log(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - most)))
+    shifted = lambda v, most: most + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - most)))
+    return let(values, lambda v: let(F.array_max(v), lambda most: shifted(v, most)))
 
 
 def entropy(logits: Column) -> Column:
-    total = log_sum_exp(logits)
-    return total - F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - total) * x)
+    spread = lambda v, total: total - F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - total) * x)
+    return let(logits, lambda v: let(log_sum_exp(v), lambda total: spread(v, total)))

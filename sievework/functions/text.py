@@ -46,10 +46,19 @@ def judge_verdict(reply: Column) -> Column:
     return F.struct(F.when(score.isin("0", "1"), score.cast("int")).otherwise(-1).alias("score"), F.coalesce(why, F.lit("")).alias("explanation"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once per row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_ngrams(words: Column, n: int) -> Column:
     """n-grams of an array of words, joined by a space; none when there are fewer words."""
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def grams(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - n + 1)
+        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(words, grams)
 
 
 def fenced_code(s: Column, language: str | None) -> Column:
@@ -120,8 +129,8 @@ def repetition_penalty(s: Column, n: int, most: float) -> Column:
     if most > 0:
         raise ValueError("the penalty must not be positive")
     words = F.filter(F.split(F.lower(s), r"\s+"), lambda w: w != "")
-    grams = word_ngrams(words, n)
-    return F.when(F.size(words) < n, 0.0).otherwise((1.0 - F.size(F.array_distinct(grams)) / F.size(grams)) * most)
+    share = lambda g: F.when(F.size(g) == 0, 0.0).otherwise((1.0 - F.size(F.array_distinct(g)) / F.size(g)) * most)
+    return let(word_ngrams(words, n), share)
 
 
 def soft_overlong(length: Column, longest: int, buffer: int) -> Column:
