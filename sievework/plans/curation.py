@@ -240,7 +240,7 @@ def x10_x17_t19_boxes_and_equality(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def v9_repeatness(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", (X.repeatness_score(F.substring("text", 1, 500)) > 0.2).alias("repeats"))
+    return table(spark, sf, "documents").select("doc_id", (X.repeatness_score(F.col("text")) > 0.2).alias("repeats"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id, list_inner_product(e::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings WHERE vec_id >= 20),
