@@ -17,9 +17,9 @@ in a row with one minimizer at one place form a segment, no two windows of which
 
 Every window is seen in one shard, so that the work grows with the text, not with the square of the shards.
 
-Defined cases: a null text has no words; fewer words than a window lose nothing; a null doc_id counts as the last; rows
-that repeat a doc_id count as one document (equal rows change nothing and get the same result); an empty table gives no
-rows; other columns are ignored.
+Defined cases: a null text has no words; fewer words than a window lose nothing; a null doc_id counts as the last; every
+distinct pair of doc_id and text is a document, told apart by ``key`` and ``twin``, a hash of the text, and ordered by
+both (equal rows change nothing and get the same result); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,55 +83,56 @@ def _segments(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) to (mini, digest, key, start, size); mini is null for repeats."""
-    keys, hashes, held = [], [], 0
+    """(key, twin, text) to (mini, digest, key, twin, start, size); mini is null for repeats."""
+    keys, twins, hashes, held = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
         h = np.concatenate(hashes)
         ends = np.cumsum([len(x) for x in hashes])
         mini, digest, first, size = _segments(h, ends)
         doc = np.searchsorted(ends, first, side="right")
-        key = np.array(keys, np.int64)[doc]
+        key, twin = np.array(keys, np.int64)[doc], np.array(twins, np.int64)[doc]
         start = first - np.concatenate([[0], ends[:-1]])[doc]
-        order = np.lexsort((start, key, digest, mini))
+        order = np.lexsort((start, twin, key, digest, mini))
         same = np.zeros(len(order), bool)
         m, d = mini[order], digest[order]
         same[1:] = (m[1:] == m[:-1]) & (d[1:] == d[:-1])
         lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        again = (key[order] == key[order][lead]) & (start[order] == start[order][lead])
+        again = (key[order] == key[order][lead]) & (twin[order] == twin[order][lead]) & (start[order] == start[order][lead])
         keep = ~same | ~again
         order, same = order[keep], same[keep]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(mini[order].view(np.int64), mask=same), pa.array(digest[order].view(np.int64)), pa.array(key[order]),
+                pa.array(mini[order].view(np.int64), mask=same), pa.array(digest[order].view(np.int64)), pa.array(key[order]), pa.array(twin[order]),
                 pa.array(start[order].astype(np.int32)), pa.array(size[order].astype(np.int32)),
             ],
-            ["mini", "digest", "key", "start", "size"],
+            ["mini", "digest", "key", "twin", "start", "size"],
         )
 
     for batch in batches:
-        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+        for key, twin, text in zip(*(batch.column(c).to_pylist() for c in ("key", "twin", "text"))):
             words = (text or b"").split()
             if len(words) >= WINDOW:
                 keys.append(key)
+                twins.append(twin)
                 hashes.append(word_hashes(words))
                 held += len(words)
             if held >= BUFFER_WORDS:
                 yield flush()
-                keys, hashes, held = [], [], 0
+                keys, twins, hashes, held = [], [], [], 0
     if hashes:
         yield flush()
 
 
 def _first_and_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by mini, digest, key, start: repeats with a null mini, candidates with theirs. What is held from one
+    """Rows sorted by mini, digest, key, twin, start: repeats with a null mini, candidates with theirs. What is held from one
     batch to the next is a row."""
-    names = ["mini", "digest", "key", "start", "size"]
+    names = ["mini", "digest", "key", "twin", "start", "size"]
     lead = pending = None  # first row of the digest that is open; first row that waits for its mini's next digest
 
     def batch_of(rows: np.ndarray, mini_known: bool) -> pa.RecordBatch:
         mini = pa.array(rows[:, 0]) if mini_known else pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([mini, pa.array(rows[:, 2]), pa.array(rows[:, 3].astype(np.int32)), pa.array(rows[:, 4].astype(np.int32))], ["mini", "key", "start", "size"])
+        return pa.RecordBatch.from_arrays([mini, pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(rows[:, 4].astype(np.int32)), pa.array(rows[:, 5].astype(np.int32))], ["mini", "key", "twin", "start", "size"])
 
     for batch in batches:
         rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1)
@@ -140,7 +141,7 @@ def _first_and_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         same = np.zeros(len(rows), bool)
         same[1:] = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
         at = np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))
-        later = same & ((rows[:, 2] != rows[at, 2]) | (rows[:, 3] != rows[at, 3]))
+        later = same & (rows[:, 2:5] != rows[at, 2:5]).any(axis=1)
         if later.any():
             yield batch_of(rows[later], False)
         firsts = rows[~same]
@@ -162,12 +163,12 @@ def _first_and_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text, segments) to (group, key, start, words)."""
+    """(key, twin, text, segments) to (group, key, twin, start, words)."""
     import xxhash
 
     for batch in batches:
-        group, keys, starts, out = [], [], [], []
-        for key, text, segments in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "segments"))):
+        group, keys, twins, starts, out = [], [], [], [], []
+        for key, twin, text, segments in zip(*(batch.column(c).to_pylist() for c in ("key", "twin", "text", "segments"))):
             words = text.split()
             for s in segments:
                 if s["hot"]:
@@ -175,26 +176,28 @@ def _read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         text_of = b" ".join(words[i : i + WINDOW])
                         group.append(xxhash.xxh3_64_intdigest(text_of) - (1 << 63))
                         keys.append(key)
+                        twins.append(twin)
                         starts.append(i)
                         out.append(text_of)
                 else:
                     group.append(s["mini"])
                     keys.append(key)
+                    twins.append(twin)
                     starts.append(s["start"])
                     out.append(b" ".join(words[s["start"] : s["start"] + s["size"] + WINDOW - 1]))
-        yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(out, pa.binary())], ["group", "key", "start", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(keys, pa.int64()), pa.array(twins, pa.int64()), pa.array(starts, pa.int32()), pa.array(out, pa.binary())], ["group", "key", "twin", "start", "words"])
 
 
 def _search_shard(table):  # applyInArrow takes a function of a table by its lack of hints
-    """The repeats among a shard's segments, as (key, start, size)."""
-    key, start = table.column("key").to_numpy(), table.column("start").to_numpy()
-    order = np.lexsort((start, key))
-    key, start = key[order], start[order].astype(np.int64)
+    """The repeats among a shard's segments, as (key, twin, start, size)."""
+    key, twin, start = (table.column(c).to_numpy() for c in ("key", "twin", "start"))
+    order = np.lexsort((start, twin, key))
+    key, twin, start = key[order], twin[order], start[order].astype(np.int64)
     texts = table.column("words").to_pylist()
     texts = [texts[i].split() for i in order]
     fresh = np.ones(len(order), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (start[1:] != start[:-1])
-    key, start, texts = key[fresh], start[fresh], [t for t, f in zip(texts, fresh) if f]
+    fresh[1:] = (key[1:] != key[:-1]) | (twin[1:] != twin[:-1]) | (start[1:] != start[:-1])
+    key, twin, start, texts = key[fresh], twin[fresh], start[fresh], [t for t, f in zip(texts, fresh) if f]
     ids: dict[bytes, int] = {}
     for words in texts:
         for w in words:
@@ -240,7 +243,7 @@ def _search_shard(table):  # applyInArrow takes a function of a table by its lac
     last[:-1] &= ~hit[1:] | (seg[1:] != seg[:-1])
     a, b = np.flatnonzero(first), np.flatnonzero(last)
     s = seg[a]
-    return pa.table([pa.array(key[s]), pa.array((start[s] + windows[a] - begin[s]).astype(np.int32)), pa.array((b - a + 1).astype(np.int32))], ["key", "start", "size"])
+    return pa.table([pa.array(key[s]), pa.array(twin[s]), pa.array((start[s] + windows[a] - begin[s]).astype(np.int32)), pa.array((b - a + 1).astype(np.int32))], ["key", "twin", "start", "size"])
 
 
 def _take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +271,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         z = pa.array([press.compress(t or b"") for t in batch.column("text").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), z], ["doc_id", "key", "z"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("twin"), z], ["doc_id", "key", "twin", "z"])
 
 
 def _unsqueezed(run, column: str):
@@ -295,20 +298,20 @@ def _unsqueezed(run, column: str):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and ``kept``, the words that stay, of every document."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.col("text").cast("binary").alias("text"))
-    place = "key long, start int, size int"
-    scanned = map_arrow(rows.select("key", "text"), _scan, "mini long, digest long, " + place)
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.xxhash64("text", F.col("doc_id").isNull()).alias("twin"), F.col("text").cast("binary").alias("text"))
+    place = "key long, twin long, start int, size int"
+    scanned = map_arrow(rows.select("key", "twin", "text"), _scan, "mini long, digest long, " + place)
     # one shuffle for both kinds of rows: repeats of a buffer are dealt by document
-    dealt = scanned.repartition(F.coalesce("mini", F.xxhash64("key")))
+    dealt = scanned.repartition(F.coalesce("mini", F.xxhash64("key", "twin")))
     local = F.col("mini").isNull()
-    sorted_rows = dealt.sortWithinPartitions("mini", "digest", "key", "start")
+    sorted_rows = dealt.sortWithinPartitions("mini", "digest", "key", "twin", "start")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def known() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 mini = batch.column("mini")
                 if mini.null_count:
-                    repeats.append(batch.filter(mini.is_null()).select(["mini", "key", "start", "size"]))
+                    repeats.append(batch.filter(mini.is_null()).select(["mini", "key", "twin", "start", "size"]))
                     batch = batch.filter(mini.is_valid())
                 if batch.num_rows:
                     yield batch
@@ -327,14 +330,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n_hot, n = hot.count(), candidates.count()
     hot = F.broadcast(hot) if n_hot <= 100_000 else hot
     flagged = candidates.join(hot.withColumn("hot", F.lit(True)), "mini", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    segments = flagged.groupBy("key").agg(F.collect_list(F.struct("mini", "start", "size", "hot")).alias("segments"))
-    squeezed = map_arrow(rows, _squeeze, "doc_id long, key long, z binary")
-    wanted = squeezed.select("key", "z").join(segments, "key")
-    words = map_arrow(wanted, _unsqueezed(_read_words, "z"), "group long, key long, start int, words binary")
+    segments = flagged.groupBy("key", "twin").agg(F.collect_list(F.struct("mini", "start", "size", "hot")).alias("segments"))
+    squeezed = map_arrow(rows, _squeeze, "doc_id long, key long, twin long, z binary")
+    wanted = squeezed.select("key", "twin", "z").join(segments, ["key", "twin"])
+    words = map_arrow(wanted, _unsqueezed(_read_words, "z"), "group long, key long, twin long, start int, words binary")
     shards = max(1, -(-n // SHARD_SEGMENTS))
     ship(spark)
-    searched = words.withColumn("shard", F.pmod(F.xxhash64("group"), F.lit(shards))).select("shard", "key", "start", "words")
+    searched = words.withColumn("shard", F.pmod(F.xxhash64("group"), F.lit(shards))).select("shard", "key", "twin", "start", "words")
     repeats = repeats.unionByName(searched.groupBy("shard").applyInArrow(_search_shard, place))
-    gathered = repeats.groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("repeats"))
-    joined = squeezed.join(gathered, "key", "left").select("doc_id", "z", "repeats")
+    gathered = repeats.groupBy("key", "twin").agg(F.collect_list(F.struct("start", "size")).alias("repeats"))
+    joined = squeezed.join(gathered, ["key", "twin"], "left").select("doc_id", "z", "repeats")
     return map_arrow(joined, _unsqueezed(_take_out, "z"), "doc_id long, n_words long, n_removed long, kept string")

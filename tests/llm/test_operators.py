@@ -283,6 +283,26 @@ def test_substrings_random(spark, monkeypatch):
         assert by_id(substrings.remove_repeats(df), "n_words", "n_removed", "kept") == brute_repeats(data)
 
 
+def test_substrings_texts_of_one_id(spark):
+    rnd = random.Random(11)
+    make = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    a, b, c = make(30), make(25), make(22)
+    data = [(None, f"{a} {b} {make(60)}"), (None, b), (None, f"{make(5)} {a}"), (7, f"{c} {make(90)}"), (7, f"{make(3)} {c}"), (7, c), (7, c)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(df).collect())
+    twin = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text", F.col("doc_id").isNull()).alias("h")).collect()}
+    seen, want = set(), {}
+    for doc_id, text in sorted(set(data), key=lambda d: (d[0] is None, d[0] or 0, twin[d[1]])):
+        w, gone = words(text), set()
+        for i in range(len(w) - 19):
+            g = tuple(w[i : i + 20])
+            gone |= set(range(i, i + 20)) if g in seen else set()
+            seen.add(g)
+        want[doc_id, text] = (doc_id, len(w), len(gone))
+    assert got == Counter(want[d] for d in data)
+    assert sum(n for _, _, n in want.values()) > 0
+
+
 def test_fm_index():
     rnd = np.random.default_rng(1)
     text = np.append(rnd.integers(1, 4, 500), 0)  # 0 ends the text
