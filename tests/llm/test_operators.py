@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sievework.llm import ann, bpe, fm_index, minhash, mixing, pii, quality_rules, stages, stupid_backoff, substrings, token_ids, warc
+from sievework.llm import ann, bpe, fm_index, minhash, mixing, pii, quality_rules, queries, stages, stupid_backoff, substrings, token_ids, warc
 from sievework.llm.shared import fresh_dir
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -365,6 +365,18 @@ def test_stupid_backoff(docs, none, rows):
     assert stupid_backoff.score(none).count() == 0
 
 
+def test_trigram_query_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(queries.ORACLE_SQL["op8_stupid_backoff_trigram"]).fetchall()}
+    got = by_id(queries.QUERIES["op8_stupid_backoff_trigram"](spark, "/root/testdata/sf0.001"), "n_words", "log_score", "mean_log_score")
+    assert got.keys() == want.keys()
+    assert all(g == pytest.approx(want[k], abs=2e-4) for k, g in got.items())
+    bigrams = by_id(queries.QUERIES["op8_stupid_backoff"](spark, "/root/testdata/sf0.001"), "log_score")
+    assert any(abs(bigrams[k][0] - g[1]) > 0.01 for k, g in got.items())
+
+
 def test_pipeline_stages(spark, docs, none):
     for table in (docs, none):
         for name, stage in (("quality", stages.quality), ("near_dedup", stages.near_dedup), ("pii", stages.mask_pii), ("mixing", stages.mix)):
