@@ -1,10 +1,14 @@
-"""An FM-index over word ids: a suffix array sorted to a fixed depth, its Burrows-Wheeler transform in a wavelet matrix
-with block counts, and backward search of many patterns at once."""
+"""A compressed FM-index over word ids: the Burrows-Wheeler transform in a wavelet matrix of packed bits with block counts,
+and every SAMPLE-th entry of the suffix array. Suffixes are sorted to a fixed depth; text and suffix array aren't kept.
+Backward search takes many patterns at once."""
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Of the places of the text, one in so many is kept with the index, to find the others by steps through it.
+SAMPLE = 32
+
 
 class BitVector:
     """Bits with constant-time rank: 64-bit blocks and the number of ones before each."""
@@ -32,6 +36,7 @@ class WaveletMatrix:
             bit = (values >> level & 1).astype(bool)
             self.bits.append(BitVector(bit))
             values = np.concatenate([values[~bit], values[bit]])
+        del values
         self.start = self._walk(np.arange(size), np.zeros(size, np.int64))
 
     def _walk(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -41,6 +46,16 @@ class WaveletMatrix:
             i = np.where(one, self.n - bits.ones + r, i - r)
         return i
 
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The symbols at places ``i``."""
+        symbol = np.zeros(len(i), np.int64)
+        for bits in self.bits:
+            r = bits.rank(i)
+            one = bits.rank(i + 1) > r
+            symbol = symbol * 2 + one
+            i = np.where(one, self.n - bits.ones + r, i - r)
+        return symbol
+
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often ``symbol`` occurs before place ``i``, for arrays of both."""
         return self._walk(symbol, i) - self.start[symbol]
@@ -65,20 +80,38 @@ class FMIndex:
     """Index of ``text``, an array of symbols from 0 to ``size`` - 1, for patterns of up to ``depth`` symbols."""
 
     def __init__(self, text: np.ndarray, size: int, depth: int):
-        self.order = suffix_order(text, depth)
+        order = suffix_order(text, depth)
         self.counts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
-        self.matrix = WaveletMatrix(text[self.order - 1], size)
-
-    def search(self, text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward search of the patterns ``text[a : a + length]``: the matched length of each (its matching
-        statistic, up to ``length``) and its interval in the suffix order. A pattern whose interval holds one suffix,
-        itself, is given up there."""
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.order), np.int64)
-        matched, alive = np.zeros(len(at), np.int64), np.arange(len(at))
-        for j in range(length - 1, -1, -1):
-            symbol = text[at[alive] + j]
-            low[alive] = self.counts[symbol] + self.matrix.rank(symbol, low[alive])
-            high[alive] = self.counts[symbol] + self.matrix.rank(symbol, high[alive])
-            alive = alive[high[alive] - low[alive] > 1]
-            matched[alive] += 1
+        self.matrix = WaveletMatrix(text[order - 1], size)
+        kept = order % SAMPLE == 0
+        self.marks, self.places = BitVector(kept), order[kept].astype(np.uint32)
+
+    def search(self, stream: np.ndarray, at: np.ndarray, length: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Backward search of the patterns ``stream[a : a + n]``: how many symbols from its end on each matches (its
+        matching statistic, ``n`` at most) and the interval of that match in the order of suffixes. A pattern is given
+        up where its interval holds fewer than ``least`` suffixes."""
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), self.matrix.n, np.int64)
+        matched, alive, j = np.zeros(len(at), np.int64), np.flatnonzero(length > 0), 0
+        while len(alive):
+            symbol = stream[at[alive] + length[alive] - 1 - j]
+            a = self.counts[symbol] + self.matrix.rank(symbol, low[alive])
+            b = self.counts[symbol] + self.matrix.rank(symbol, high[alive])
+            fits = b - a >= least
+            alive, j = alive[fits], j + 1
+            low[alive], high[alive] = a[fits], b[fits]
+            matched[alive] = j
+            alive = alive[length[alive] > j]
         return matched, low, high
+
+    def locate(self, i: np.ndarray) -> np.ndarray:
+        """Places in the text of the suffixes ``i`` in their order, by steps back to sampled ones. Exact only where the
+        sorting depth told all suffixes apart."""
+        out, i, open_, steps = np.zeros(len(i), np.int64), i.copy(), np.arange(len(i)), 0
+        while len(open_):
+            here = i[open_]
+            known = self.marks.rank(here + 1) > self.marks.rank(here)
+            out[open_[known]] = self.places[self.marks.rank(here[known])] + steps
+            open_, here, steps = open_[~known], here[~known], steps + 1
+            symbol = self.matrix.access(here)
+            i[open_] = self.counts[symbol] + self.matrix.rank(symbol, here)
+        return out

@@ -1,21 +1,22 @@
 """Removal of repeated passages with compressed FM-indexes.
 
 A window is WINDOW consecutive words of a document; a word goes if a window over it has the same words as a window that
-starts earlier. Windows are brought together by minimizers: the least hash among a window's runs of RUN words. Windows
-in a row with one minimizer at one place form a segment, no two windows of which are equal, and equal windows have equal minimizers, so that they meet in one group:
-
-1. Scan: every task hashes words, cuts segments and emits (minimizer, digest, place). Of segments with equal contents
-   within a buffer only the first is sent on; the others are repeats already.
-2. Segments sorted by minimizer and digest: those whose digest came before are repeats; minimizers of a single
-   contents are dropped; the first segments of the others are candidates.
-3. The words of candidates are read again and dealt by minimizer to shards of about SHARD_SEGMENTS. Candidates of a
-   minimizer with more than HOT contents are cut to single windows, dealt by a digest of the window.
-4. A shard builds an FM-index over its segments and searches its windows backwards; intervals of two suffixes or more
-   that reach WINDOW words are repeats but for their first place. Windows whose 64-bit hash is alone in the shard can't
-   repeat and aren't searched.
-5. Repeats are gathered per document and taken out of the text.
-
-Every window is seen in one shard, so that the work grows with the text, not with the square of the shards.
+starts earlier. Holding every document against every shard's index would take the square of the corpus, so hashes route
+windows to the one shard where equal ones meet: by minimizers, the least hash among a window's runs of RUN words. Windows
+in a row with one minimizer at one place form a segment, no two windows of which are equal.
+
+1. Scan: every task hashes words, cuts segments and emits (minimizer, digest, place).
+2. Segments sorted by minimizer, digest and place: a minimizer that occurs once routes nothing and is dropped. Segments
+   with the same minimizer and digest, 128 bits together, have the same contents; the first is their head, the others
+   are its copies.
+3. Minimizers with more than HOT heads are routed anew by single windows: each is a segment whose minimizer and digest are
+   hashes of its words, so that a hot window has one head as well.
+4. The words of heads are read again and dealt by minimizer to shards of about SHARD_SEGMENTS. A shard builds an FM-index
+   over them and drops the suffix array. Heads are streamed against it, each once for all of its copies: backward search
+   gives their windows' matching statistics, up to WINDOW, and windows with the same interval are occurrences of the same
+   words, all but the first of them repeats. Heads with copies are searched as a whole too; where the index holds all
+   their words, their copies are repeats.
+5. Copies of confirmed heads and the repeats of shards are gathered per document and taken out of the text.
 
 Defined cases: a null text has no words; fewer words than a window lose nothing; a null doc_id counts as the last; every
 distinct pair of doc_id and text is a document, told apart by ``key`` and ``twin``, a hash of the text, and ordered by
@@ -37,10 +38,14 @@ from sievework.llm.shingles import mixed, rolling, word_hashes
 from sievework.shipping import ship
 
 WINDOW, RUN = 20, 5
-#: Words per buffer of the scan; segments per shard; contents from which a minimizer's segments are cut up.
+#: Words per buffer of the scan; heads per shard; heads from which a minimizer's segments are cut into windows.
 BUFFER_WORDS, SHARD_SEGMENTS, HOT = 4_000_000, 40_000, 20_000
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
+#: Most words of a segment: windows that share a run, and what the last of them adds.
+LONGEST = 2 * WINDOW - RUN
+PLACE = "key long, twin long, start int, size int"
+ROUTED = "mini long, digest long, " + PLACE
 
 
 def _segments(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -82,8 +87,13 @@ def _segments(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return least[first], digest, first, size
 
 
+def _routed(mini, digest, key, twin, start, size) -> pa.RecordBatch:
+    columns = [pa.array(mini), pa.array(digest), pa.array(key), pa.array(twin), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["mini", "digest", "key", "twin", "start", "size"])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, twin, text) to (mini, digest, key, twin, start, size); mini is null for repeats."""
+    """(key, twin, text) to ROUTED."""
     keys, twins, hashes, held = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
@@ -91,23 +101,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum([len(x) for x in hashes])
         mini, digest, first, size = _segments(h, ends)
         doc = np.searchsorted(ends, first, side="right")
-        key, twin = np.array(keys, np.int64)[doc], np.array(twins, np.int64)[doc]
         start = first - np.concatenate([[0], ends[:-1]])[doc]
-        order = np.lexsort((start, twin, key, digest, mini))
-        same = np.zeros(len(order), bool)
-        m, d = mini[order], digest[order]
-        same[1:] = (m[1:] == m[:-1]) & (d[1:] == d[:-1])
-        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        again = (key[order] == key[order][lead]) & (twin[order] == twin[order][lead]) & (start[order] == start[order][lead])
-        keep = ~same | ~again
-        order, same = order[keep], same[keep]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(mini[order].view(np.int64), mask=same), pa.array(digest[order].view(np.int64)), pa.array(key[order]), pa.array(twin[order]),
-                pa.array(start[order].astype(np.int32)), pa.array(size[order].astype(np.int32)),
-            ],
-            ["mini", "digest", "key", "twin", "start", "size"],
-        )
+        return _routed(mini.view(np.int64), digest.view(np.int64), np.array(keys, np.int64)[doc], np.array(twins, np.int64)[doc], start, size)
 
     for batch in batches:
         for key, twin, text in zip(*(batch.column(c).to_pylist() for c in ("key", "twin", "text"))):
@@ -124,126 +119,111 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _first_and_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by mini, digest, key, twin, start: repeats with a null mini, candidates with theirs. What is held from one
-    batch to the next is a row."""
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ROUTED in its order: those whose minimizer occurs at several places, with ``head`` for the first of a
+    digest and ``copied`` for heads with copies. What is held from one batch to the next is two rows."""
     names = ["mini", "digest", "key", "twin", "start", "size"]
-    lead = pending = None  # first row of the digest that is open; first row that waits for its mini's next digest
-
-    def batch_of(rows: np.ndarray, mini_known: bool) -> pa.RecordBatch:
-        mini = pa.array(rows[:, 0]) if mini_known else pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([mini, pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(rows[:, 4].astype(np.int32)), pa.array(rows[:, 5].astype(np.int32))], ["mini", "key", "twin", "start", "size"])
+    held = np.zeros((0, 6), np.int64)  # the last row, not yet sent, behind the one before it
+
+    def told(rows: np.ndarray, first: int, last: int) -> pa.RecordBatch:
+        """Of rows ``first`` to ``last``, whose neighbours are there as far as they exist, those that meet others."""
+        near = rows[1:, 0] == rows[:-1, 0]
+        same = near & (rows[1:, 1] == rows[:-1, 1])
+        back = lambda x: np.concatenate([[False], x])
+        ahead = lambda x: np.concatenate([x, [False]])
+        meets, head, copied = back(near) | ahead(near), ~back(same), ahead(same)
+        at = first + np.flatnonzero(meets[first:last])
+        routed = _routed(*(rows[at, i] for i in range(6)))
+        return pa.RecordBatch.from_arrays([*routed.columns, pa.array(head[at]), pa.array((head & copied)[at])], [*names, "head", "copied"])
 
     for batch in batches:
-        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1)
-        if lead is not None:
-            rows = np.concatenate([lead[None], rows])
-        same = np.zeros(len(rows), bool)
-        same[1:] = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
-        at = np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))
-        later = same & (rows[:, 2:5] != rows[at, 2:5]).any(axis=1)
-        if later.any():
-            yield batch_of(rows[later], False)
-        firsts = rows[~same]
-        new = firsts[1:] if lead is not None else firsts
-        lead = firsts[-1]
-        if pending is None:
-            chain, known = new, np.zeros(len(new), bool)
-        else:
-            chain, known = np.concatenate([pending[0][None], new]), np.concatenate([[pending[1]], np.zeros(len(new), bool)])
-        if len(chain):
-            near = chain[1:, 0] == chain[:-1, 0]
-            known[1:] |= near
-            known[:-1] |= near
-            if known[:-1].any():
-                yield batch_of(chain[:-1][known[:-1]], True)
-            pending = (chain[-1], known[-1])
-    if pending is not None and pending[1]:
-        yield batch_of(pending[0][None], True)
+        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1)])
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:, :5] != rows[:-1, :5]).any(axis=1)  # equal rows of the table are one place
+        rows = rows[new]
+        yield told(rows, len(held) - 1 if len(held) else 0, len(rows) - 1)
+        held = rows[-2:]
+    if len(held):
+        yield told(held, len(held) - 1, len(held))
 
 
 def _read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, twin, text, segments) to (group, key, twin, start, words)."""
+    """(key, twin, text, segments) to (mini, digest, copied, key, twin, start, words)."""
+    names = ["mini", "digest", "copied", "key", "twin", "start", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    for batch in batches:
+        rows = []
+        for key, twin, text, segments in zip(*(batch.column(c).to_pylist() for c in ("key", "twin", "text", "segments"))):
+            words = text.split()
+            rows += [(s["mini"], s["digest"], s["copied"], key, twin, s["start"], b" ".join(words[s["start"] : s["start"] + s["size"] + WINDOW - 1])) for s in segments]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, twin, text, segments) to ROUTED, a row per window of the segments, by hashes of its words."""
     import xxhash
 
     for batch in batches:
-        group, keys, twins, starts, out = [], [], [], [], []
+        mini, digest, keys, twins, starts = [], [], [], [], []
         for key, twin, text, segments in zip(*(batch.column(c).to_pylist() for c in ("key", "twin", "text", "segments"))):
             words = text.split()
             for s in segments:
-                if s["hot"]:
-                    for i in range(s["start"], s["start"] + s["size"]):
-                        text_of = b" ".join(words[i : i + WINDOW])
-                        group.append(xxhash.xxh3_64_intdigest(text_of) - (1 << 63))
-                        keys.append(key)
-                        twins.append(twin)
-                        starts.append(i)
-                        out.append(text_of)
-                else:
-                    group.append(s["mini"])
+                for i in range(s["start"], s["start"] + s["size"]):
+                    whole = xxhash.xxh3_128_intdigest(b" ".join(words[i : i + WINDOW]))
+                    mini.append((whole >> 64) - (1 << 63))
+                    digest.append((whole & (1 << 64) - 1) - (1 << 63))
                     keys.append(key)
                     twins.append(twin)
-                    starts.append(s["start"])
-                    out.append(b" ".join(words[s["start"] : s["start"] + s["size"] + WINDOW - 1]))
-        yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(keys, pa.int64()), pa.array(twins, pa.int64()), pa.array(starts, pa.int32()), pa.array(out, pa.binary())], ["group", "key", "twin", "start", "words"])
+                    starts.append(i)
+        longs = [np.array(x, np.int64) for x in (mini, digest, keys, twins, starts)]
+        yield _routed(*longs, np.ones(len(starts), np.int32))
 
 
 def _search_shard(table):  # applyInArrow takes a function of a table by its lack of hints
-    """The repeats among a shard's segments, as (key, twin, start, size)."""
+    """Of a shard's heads the repeats among them, as PLACE, and the heads with copies that the index holds, as mini and
+    digest."""
     key, twin, start = (table.column(c).to_numpy() for c in ("key", "twin", "start"))
     order = np.lexsort((start, twin, key))
+    fresh = np.ones(len(order), bool)  # rows that repeat a document bring its heads again
+    fresh[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (key, twin, start)], axis=0)
+    order = order[fresh]
     key, twin, start = key[order], twin[order], start[order].astype(np.int64)
+    mini, digest, copied = (table.column(c).to_numpy(zero_copy_only=False)[order] for c in ("mini", "digest", "copied"))
     texts = table.column("words").to_pylist()
     texts = [texts[i].split() for i in order]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (twin[1:] != twin[:-1]) | (start[1:] != start[:-1])
-    key, twin, start, texts = key[fresh], twin[fresh], start[fresh], [t for t, f in zip(texts, fresh) if f]
     ids: dict[bytes, int] = {}
     for words in texts:
         for w in words:
             ids.setdefault(w, len(ids) + 1)
     sizes = np.array([len(t) for t in texts])
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    text = np.zeros(int(sizes.sum() + len(sizes)), np.int64)  # segments, each followed by a 0
-    inside = np.ones(len(text), bool)
+    stream = np.zeros(int(sizes.sum() + len(sizes)), np.int32)  # segments, each followed by a 0
+    inside = np.ones(len(stream), bool)
     inside[begin + sizes] = False
-    text[inside] = np.fromiter((ids[w] for words in texts for w in words), np.int64, int(sizes.sum()))
-    windows = np.concatenate([np.arange(b, b + s - WINDOW + 1) for b, s in zip(begin, sizes)])
-    hashes = rolling(mixed(text.astype(np.uint64)), WINDOW)[windows]
-    _, where, back, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    queries = windows[where[count > 1]]
-    repeat = np.zeros(len(text), bool)
-    if len(queries):
-        index = FMIndex(text, len(ids) + 1, WINDOW)
-        pending = queries
-        while len(pending):  # equal hashes that differ in words are searched in the next turn
-            matched, low, high = index.search(text, pending, WINDOW)
-            low, high = low[matched == WINDOW], high[matched == WINDOW]
-            seen = np.zeros(len(text), bool)
-            if len(low):
-                by = np.argsort(low)
-                low, high = low[by], high[by]
-                lengths = high - low
-                flat = index.order[np.repeat(low - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())]
-                least = np.minimum.reduceat(flat, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-                repeat[flat] = True
-                repeat[least] = False
-                seen[flat] = True
-            seen[pending] = True
-            open_ = windows[(count[back] > 1) & ~seen[windows]]
-            done = np.zeros(len(text), bool) if pending is queries else done  # noqa: F821
-            done |= seen
-            open_ = open_[~done[open_]]
-            pending = open_[np.unique(hashes[np.searchsorted(windows, open_)], return_index=True)[1]] if len(open_) else open_
-    hit = repeat[windows]
-    seg = np.repeat(np.arange(len(sizes)), sizes - WINDOW + 1)
-    first = hit.copy()
+    stream[inside] = np.fromiter((ids[w] for words in texts for w in words), np.int32, int(sizes.sum()))
+    del texts
+    index = FMIndex(stream, len(ids) + 1, LONGEST)
+    counts = sizes - WINDOW + 1
+    seg = np.repeat(np.arange(len(sizes)), counts)
+    windows = begin[seg] + np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts)
+    matched, low, _ = index.search(stream, windows, np.full(len(windows), WINDOW), 2)
+    shared = np.flatnonzero(matched == WINDOW)  # windows that the index holds twice or more, in the order of places
+    hit = np.zeros(len(windows), bool)
+    hit[shared] = True
+    hit[shared[np.unique(low[shared], return_index=True)[1]]] = False
+    first, last = hit.copy(), hit.copy()
     first[1:] &= ~hit[:-1] | (seg[1:] != seg[:-1])
-    last = hit.copy()
     last[:-1] &= ~hit[1:] | (seg[1:] != seg[:-1])
     a, b = np.flatnonzero(first), np.flatnonzero(last)
     s = seg[a]
-    return pa.table([pa.array(key[s]), pa.array(twin[s]), pa.array((start[s] + windows[a] - begin[s]).astype(np.int32)), pa.array((b - a + 1).astype(np.int32))], ["key", "twin", "start", "size"])
+    with_copies = np.flatnonzero(copied)
+    matched, _, _ = index.search(stream, begin[with_copies], sizes[with_copies], 1)
+    held = with_copies[matched == sizes[with_copies]]
+    none = lambda n, kind: pa.nulls(n, kind)
+    places = [key[s], twin[s], (start[s] + windows[a] - begin[s]).astype(np.int32), (b - a + 1).astype(np.int32)]
+    out = [pa.chunked_array([none(len(s), pa.int64()), pa.array(x[held])]) for x in (mini, digest)]
+    out += [pa.chunked_array([pa.array(x), none(len(held), pa.int64() if x.dtype == np.int64 else pa.int32())]) for x in places]
+    return pa.table(out, ["mini", "digest", "key", "twin", "start", "size"])
 
 
 def _take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,49 +275,40 @@ def _unsqueezed(run, column: str):
     return wrapped
 
 
+def _met(routed: DataFrame) -> DataFrame:
+    """The rows of ``routed`` that ``_meet`` leaves."""
+    dealt = routed.repartition("mini").sortWithinPartitions("mini", "digest", "key", "twin", "start")
+    return cut(map_arrow(dealt, _meet, ROUTED + ", head boolean, copied boolean"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and ``kept``, the words that stay, of every document."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.xxhash64("text", F.col("doc_id").isNull()).alias("twin"), F.col("text").cast("binary").alias("text"))
-    place = "key long, twin long, start int, size int"
-    scanned = map_arrow(rows.select("key", "twin", "text"), _scan, "mini long, digest long, " + place)
-    # one shuffle for both kinds of rows: repeats of a buffer are dealt by document
-    dealt = scanned.repartition(F.coalesce("mini", F.xxhash64("key", "twin")))
-    local = F.col("mini").isNull()
-    sorted_rows = dealt.sortWithinPartitions("mini", "digest", "key", "twin", "start")
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def known() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                mini = batch.column("mini")
-                if mini.null_count:
-                    repeats.append(batch.filter(mini.is_null()).select(["mini", "key", "twin", "start", "size"]))
-                    batch = batch.filter(mini.is_valid())
-                if batch.num_rows:
-                    yield batch
-
-        repeats: list[pa.RecordBatch] = []
-        for batch in _first_and_later(known()):
-            while repeats:
-                yield repeats.pop()
-            yield batch
-        while repeats:
-            yield repeats.pop()
-
-    found = cut(map_arrow(sorted_rows, second, "mini long, " + place))
-    repeats, candidates = found.where(local).drop("mini"), found.where(~local)
-    hot = cut(candidates.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("mini"))
-    n_hot, n = hot.count(), candidates.count()
-    hot = F.broadcast(hot) if n_hot <= 100_000 else hot
-    flagged = candidates.join(hot.withColumn("hot", F.lit(True)), "mini", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    segments = flagged.groupBy("key", "twin").agg(F.collect_list(F.struct("mini", "start", "size", "hot")).alias("segments"))
     squeezed = map_arrow(rows, _squeeze, "doc_id long, key long, twin long, z binary")
-    wanted = squeezed.select("key", "twin", "z").join(segments, ["key", "twin"])
-    words = map_arrow(wanted, _unsqueezed(_read_words, "z"), "group long, key long, twin long, start int, words binary")
-    shards = max(1, -(-n // SHARD_SEGMENTS))
+
+    def read(segments: DataFrame, run, schema: str) -> DataFrame:
+        """``run`` over the texts that have some of ``segments``."""
+        wanted = segments.groupBy("key", "twin").agg(F.collect_list(F.struct("mini", "digest", "copied", "start", "size")).alias("segments"))
+        texts = squeezed.select("key", "twin", "z").join(wanted, ["key", "twin"])
+        return map_arrow(texts, _unsqueezed(run, "z"), schema)
+
+    met = _met(map_arrow(rows.select("key", "twin", "text"), _scan, ROUTED))
+    sizes = met.where("head").groupBy("mini").agg(F.count("*").alias("n"))
+    hot = cut(sizes.where(F.col("n") > HOT).select("mini"))
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= 100_000 else hot
+        again = _met(read(met.join(hot, "mini", "left_semi"), _windows, ROUTED))
+        met = met.join(hot, "mini", "left_anti").select(again.columns).unionByName(again)
+    heads, copies = met.where("head"), met.where("NOT head")
+    words = read(heads, _read_words, "mini long, digest long, copied boolean, key long, twin long, start int, words binary")
+    shards = max(1, -(-heads.count() // SHARD_SEGMENTS))
     ship(spark)
-    searched = words.withColumn("shard", F.pmod(F.xxhash64("group"), F.lit(shards))).select("shard", "key", "twin", "start", "words")
-    repeats = repeats.unionByName(searched.groupBy("shard").applyInArrow(_search_shard, place))
+    found = cut(words.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards))).groupBy("shard").applyInArrow(_search_shard, ROUTED))
+    confirmed = found.where("key IS NULL").select("mini", "digest").distinct()
+    repeats = found.where("key IS NOT NULL").select("key", "twin", "start", "size")
+    repeats = repeats.unionByName(copies.join(confirmed, ["mini", "digest"]).select("key", "twin", "start", "size"))
     gathered = repeats.groupBy("key", "twin").agg(F.collect_list(F.struct("start", "size")).alias("repeats"))
     joined = squeezed.join(gathered, ["key", "twin"], "left").select("doc_id", "z", "repeats")
     return map_arrow(joined, _unsqueezed(_take_out, "z"), "doc_id long, n_words long, n_removed long, kept string")
