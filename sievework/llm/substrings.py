@@ -46,6 +46,8 @@ _BASE = 0x9E3779B97F4A7C15
 LONGEST = 2 * WINDOW - RUN
 PLACE = "key long, twin long, start int, size int"
 ROUTED = "mini long, digest long, " + PLACE
+#: With 1 for the first segment of a digest in its task's buffer and 2 for its copies there.
+SCANNED = ROUTED + ", again tinyint"
 
 
 def _segments(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -87,13 +89,15 @@ def _segments(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return least[first], digest, first, size
 
 
-def _routed(mini, digest, key, twin, start, size) -> pa.RecordBatch:
+def _routed(mini, digest, key, twin, start, size, again=None) -> pa.RecordBatch:
+    """Rows of ROUTED; with ``again``, of SCANNED."""
     columns = [pa.array(mini), pa.array(digest), pa.array(key), pa.array(twin), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, ["mini", "digest", "key", "twin", "start", "size"])
+    names = ["mini", "digest", "key", "twin", "start", "size"]
+    return pa.RecordBatch.from_arrays(columns, names) if again is None else pa.RecordBatch.from_arrays([*columns, pa.array(again)], [*names, "again"])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, twin, text) to ROUTED."""
+    """(key, twin, text) to SCANNED."""
     keys, twins, hashes, held = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
@@ -102,7 +106,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mini, digest, first, size = _segments(h, ends)
         doc = np.searchsorted(ends, first, side="right")
         start = first - np.concatenate([[0], ends[:-1]])[doc]
-        return _routed(mini.view(np.int64), digest.view(np.int64), np.array(keys, np.int64)[doc], np.array(twins, np.int64)[doc], start, size)
+        mini, digest, key, twin = mini.view(np.int64), digest.view(np.int64), np.array(keys, np.int64)[doc], np.array(twins, np.int64)[doc]
+        order = np.lexsort((start, twin, key, digest, mini))
+        fresh = np.ones(len(order), bool)  # equal rows of the table are one place
+        fresh[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (mini, digest, key, twin, start)], axis=0)
+        order = order[fresh]
+        same = np.zeros(len(order), bool)
+        same[1:] = (mini[order[1:]] == mini[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]])
+        again = same.astype(np.int8) * 2
+        again[:-1] = np.where(same[1:] & ~same[:-1], 1, again[:-1])
+        return _routed(mini[order], digest[order], key[order], twin[order], start[order], size[order], again)
 
     for batch in batches:
         for key, twin, text in zip(*(batch.column(c).to_pylist() for c in ("key", "twin", "text"))):
@@ -120,10 +133,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ROUTED in its order: those whose minimizer occurs at several places, with ``head`` for the first of a
-    digest and ``copied`` for heads with copies. What is held from one batch to the next is two rows."""
+    """Rows of SCANNED, copies first and the others in the order of ROUTED: copies, and those whose minimizer occurs at
+    several places, with ``head`` for the first of a digest and ``copied`` for heads with copies. What is held from one
+    batch to the next is two rows."""
     names = ["mini", "digest", "key", "twin", "start", "size"]
-    held = np.zeros((0, 6), np.int64)  # the last row, not yet sent, behind the one before it
+    held = np.zeros((0, 7), np.int64)  # the last row, not yet sent, behind the one before it
 
     def told(rows: np.ndarray, first: int, last: int) -> pa.RecordBatch:
         """Of rows ``first`` to ``last``, whose neighbours are there as far as they exist, those that meet others."""
@@ -131,13 +145,21 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = near & (rows[1:, 1] == rows[:-1, 1])
         back = lambda x: np.concatenate([[False], x])
         ahead = lambda x: np.concatenate([x, [False]])
-        meets, head, copied = back(near) | ahead(near), ~back(same), ahead(same)
+        ahead_in_buffer = rows[:, 6] == 1
+        meets, head, copied = back(near) | ahead(near) | ahead_in_buffer, ~back(same), ahead(same) | ahead_in_buffer
         at = first + np.flatnonzero(meets[first:last])
         routed = _routed(*(rows[at, i] for i in range(6)))
         return pa.RecordBatch.from_arrays([*routed.columns, pa.array(head[at]), pa.array((head & copied)[at])], [*names, "head", "copied"])
 
     for batch in batches:
-        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1)])
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (*names, "again")], axis=1)
+        copies = rows[rows[:, 6] == 2]
+        if len(copies):
+            no = pa.array(np.zeros(len(copies), bool))
+            yield pa.RecordBatch.from_arrays([*_routed(*(copies[:, i] for i in range(6))).columns, no, no], [*names, "head", "copied"])
+        rows = np.concatenate([held, rows[rows[:, 6] != 2]])
+        if len(rows) == len(held):
+            continue
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:, :5] != rows[:-1, :5]).any(axis=1)  # equal rows of the table are one place
         rows = rows[new]
@@ -160,7 +182,7 @@ def _read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, twin, text, segments) to ROUTED, a row per window of the segments, by hashes of its words."""
+    """(key, twin, text, segments) to SCANNED, a row per window of the segments, by hashes of its words."""
     import xxhash
 
     for batch in batches:
@@ -176,7 +198,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     twins.append(twin)
                     starts.append(i)
         longs = [np.array(x, np.int64) for x in (mini, digest, keys, twins, starts)]
-        yield _routed(*longs, np.ones(len(starts), np.int32))
+        yield _routed(*longs, np.ones(len(starts), np.int32), np.zeros(len(starts), np.int8))
 
 
 def _search_shard(table):  # applyInArrow takes a function of a table by its lack of hints
@@ -276,8 +298,11 @@ def _unsqueezed(run, column: str):
 
 
 def _met(routed: DataFrame) -> DataFrame:
-    """The rows of ``routed`` that ``_meet`` leaves."""
-    dealt = routed.repartition("mini").sortWithinPartitions("mini", "digest", "key", "twin", "start")
+    """The rows of ``routed`` (SCANNED) that ``_meet`` leaves. Copies within a buffer are dealt by document, so that a
+    hot minimizer is a row per buffer."""
+    copy = F.col("again") == 2
+    dealt = routed.repartition(F.when(copy, F.xxhash64("key", "twin")).otherwise(F.col("mini")))
+    dealt = dealt.sortWithinPartitions(F.when(copy, 0).otherwise(1), "mini", "digest", "key", "twin", "start")
     return cut(map_arrow(dealt, _meet, ROUTED + ", head boolean, copied boolean"))
 
 
@@ -293,13 +318,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         texts = squeezed.select("key", "twin", "z").join(wanted, ["key", "twin"])
         return map_arrow(texts, _unsqueezed(run, "z"), schema)
 
-    met = _met(map_arrow(rows.select("key", "twin", "text"), _scan, ROUTED))
+    met = _met(map_arrow(rows.select("key", "twin", "text"), _scan, SCANNED))
     sizes = met.where("head").groupBy("mini").agg(F.count("*").alias("n"))
     hot = cut(sizes.where(F.col("n") > HOT).select("mini"))
     n_hot = hot.count()
     if n_hot:
         hot = F.broadcast(hot) if n_hot <= 100_000 else hot
-        again = _met(read(met.join(hot, "mini", "left_semi"), _windows, ROUTED))
+        again = _met(read(met.join(hot, "mini", "left_semi"), _windows, SCANNED))
         met = met.join(hot, "mini", "left_anti").select(again.columns).unionByName(again)
     heads, copies = met.where("head"), met.where("NOT head")
     words = read(heads, _read_words, "mini long, digest long, copied boolean, key long, twin long, start int, words binary")
