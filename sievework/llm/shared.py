@@ -14,14 +14,20 @@ from sievework.shipping import ship
 #: Words are runs of anything but these six ASCII characters.
 SPACES = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-#: Bins of the id histogram from which range shards are cut; what the driver collects is at most this many rows.
+#: Bins, at least, of the id histogram from which range shards are cut.
 RANGE_BINS = 4096
+#: Rows and bytes of an Arrow batch between the JVM and its workers, where the session leaves Spark's defaults: both
+#: sides hold whole batches outside the heap.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where none is set."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Only in local mode, where all are one
+    process, a temporary one does."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.getConf().get("spark.checkpoint.dir") and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='sievework-')}")
     return sc.getCheckpointDir()
 
@@ -46,25 +52,55 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{SPACES}+"))
 
 
+def _place(key: str, starts: list[int]) -> Column:
+    """The number of ``starts``, sorted, that are at most the long column ``key``, less one: a binary search."""
+    table = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
+
+    def halve(at: Column, step: Column) -> Column:
+        return F.when(F.coalesce(F.get(table, at + step) <= F.col(key), F.lit(False)), at + step).otherwise(at)
+
+    steps = [1 << b for b in range(len(starts).bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)
+
+
 def range_shards(df: DataFrame, key: str, size: Column, target: int) -> tuple[Column, int]:
     """An int expression for the shard of a row, and the number of shards: consecutive ranges of the long column
-    ``key`` of about ``target`` units of ``size`` each. They depend on the rows only, so that a rerun cuts the same
-    shards. Null keys go to shard 0."""
+    ``key`` of about ``target`` units of ``size`` each, as many as the sizes ask for. They depend on the rows only, so
+    that a rerun cuts the same shards. A histogram of equal widths is refined where a bin holds more than a fourth of
+    the target, so that ids that lie far out don't crowd the others into a bin; only a single id can't be cut. The
+    driver holds a number per bin: a few per shard, RANGE_BINS at least. Null keys go to shard 0."""
     low, high = df.agg(F.min(key), F.max(key)).first()
     if low is None:
         return F.lit(0), 1
-    width = max(1, -(-(high - low + 1) // (RANGE_BINS - 2)))
-    first = int(low / width) if abs(low) < 2**52 else (abs(low) // width) * (1 if low >= 0 else -1)
-    place = F.expr(f"CAST(`{key}` DIV CAST({width} AS BIGINT) - CAST({first} AS BIGINT) AS INT)")
-    sums = {r["bin"]: r["n"] for r in df.where(F.col(key).isNotNull()).groupBy(place.alias("bin")).agg(F.sum(size).cast("long").alias("n")).collect()}
-    shard_of, shard, filled = [], 0, 0
-    for b in range(max(sums) + 1):
-        if filled and filled + sums.get(b, 0) > target:
-            shard, filled = shard + 1, 0
-        filled += sums.get(b, 0)
-        shard_of.append(shard)
-    lookup = F.lit(shard_of).cast("array<int>")
-    return F.when(F.col(key).isNull(), 0).otherwise(F.get(lookup, place)), shard + 1
+    sums, open_ = {}, [(low, high + 1)]  # weight by start of the bins that are done; bins to be cut, ends exclusive
+    ends = {}
+    while open_:
+        each = max(2, RANGE_BINS // len(open_))
+        widths = [max(1, -(-(b - a) // each)) for a, b in open_]
+        starts = [a for a, _ in open_]
+        numbers = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
+        rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key_"), size.cast("long").alias("size_")).withColumn("at", _place("key_", starts))
+        of = {"begin": F.get(numbers(starts), F.col("at")), "width": F.get(numbers(widths), F.col("at")), "last": F.get(numbers([b - 1 for _, b in open_]), F.col("at"))}
+        # a difference of two longs may pass 64 bits
+        part = F.expr("CAST((CAST(key_ AS DECIMAL(38,0)) - begin) DIV width AS BIGINT)")
+        rows = rows.withColumns(of).where("key_ BETWEEN begin AND last").withColumn("part", part)
+        found = rows.groupBy("at", "part").agg(F.sum("size_").alias("n")).collect()
+        again = []
+        for r in sorted(found, key=lambda r: (r["at"], r["part"])):
+            a = starts[r["at"]] + r["part"] * widths[r["at"]]
+            b = min(a + widths[r["at"]], open_[r["at"]][1])
+            if 4 * r["n"] > target and b - a > 1:
+                again.append((a, b))
+            else:
+                sums[a], ends[a] = r["n"], b
+        open_ = again
+    bounds, filled = [], 0
+    for a in sorted(sums):
+        if not bounds or filled and filled + sums[a] > target:
+            bounds.append(a)
+            filled = 0
+        filled += sums[a]
+    return F.when(F.col(key).isNull(), 0).otherwise(F.greatest(F.lit(0), _place(key, bounds))), len(bounds)
 
 
 def filesystem(uri: str):
@@ -89,14 +125,26 @@ def take_room(name: str, forget: Callable[[], None], for_task: bool = False) ->
         _task_caches[name] = forget
 
 
+def after_task(name: str, forget: Callable[[], None]) -> None:
+    """``forget`` is called whenever a task ends."""
+    _task_caches[name] = forget
+
+
 def end_task() -> None:
     for empty in _task_caches.values():
         empty()
 
 
+def small_batches(spark: SparkSession) -> None:
+    for key, (default, value) in ARROW.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers, and the task's caches emptied at its end."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def wrapped(batches):
         from sievework.llm.shared import end_task
