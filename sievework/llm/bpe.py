@@ -33,12 +33,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.shared import map_arrow, take_room
+from sievework.llm.shared import after_task, cut, map_arrow, take_room
 
 #: Words compiled into the lexicon.
 LEXICON_WORDS = 32_768
-#: Distinct words and distinct chunks between white space that a worker remembers.
-CACHE, CHUNKS = 350_000, 150_000
+#: Steps per doubling at which the lexicon's least count may lie.
+PER_DOUBLING = 64
+#: Bytes of words and of chunks between white space that a worker remembers, until its task ends; what an entry takes
+#: besides its characters and ids, and the longest that is kept.
+CACHE, CHUNKS, ENTRY, LONG = 72 << 20, 32 << 20, 200, 64
 #: The first code point that Unicode hasn't assigned; below it, letters are the same in all its versions.
 FIRST_UNKNOWN = "\u0378"
 #: White space of the pattern engine: what Unicode calls so.
@@ -239,25 +242,41 @@ def compile_lexicon(words: dict[bytes, list[int]], path: str) -> int:
 
 
 def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
-    """The ``n`` most frequent runs of letters of all texts, in lower case; ties go to the smaller word."""
+    """The most frequent runs of letters of all texts, in lower case: all whose count reaches a limit, the least one of
+    PER_DOUBLING a doubling that at most ``n`` words reach. A histogram of counts tells the limit, so that the driver
+    gets its few bins and those words, whatever the number of partitions."""
     found = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
-    top = found.groupBy("word").count().where(F.length("word").between(1, 64)).orderBy(F.desc("count"), "word").limit(n)
-    return [r["word"] for r in top.collect()]
+    counts = cut(found.groupBy("word").count().where(F.length("word").between(1, 64)))
+    level = F.floor(F.log2("count") * PER_DOUBLING).cast("int")
+    limit, taken = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        if taken + r["words"] > n:
+            break
+        limit, taken = r["level"], taken + r["words"]
+    return [] if limit is None else [r["word"] for r in counts.where(level >= limit).select("word").collect()]
 
 
 class Remembered(dict):
-    """A dict that computes what it lacks, and starts anew beyond ``limit`` entries."""
+    """A dict that computes what it lacks, and starts anew beyond ``room`` bytes; long keys aren't kept."""
 
-    def __init__(self, compute, limit: int):
+    def __init__(self, compute, room: int):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.room, self.held = compute, room, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        got = self[key] = self.compute(key)
+        got = self.compute(key)
+        if len(key) <= LONG:
+            self.held += ENTRY + len(key) + len(got)
+            if self.held > self.room:
+                self.clear()
+                self.held = 0
+            self[key] = got
         return got
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 class Coder:
     """A worker's encoder: what it has met before, else the lexicon, else exact merges; with ``library`` the words are
@@ -310,6 +329,11 @@ class Coder:
         return b" ".join(map(self.merger.tokens.__getitem__, ids))
 
 
+    def forget(self) -> None:
+        self.words.forget()
+        self.chunks.forget()
+
+
 _coders: dict[tuple[str, str | None], Coder] = {}
 _sent: set[tuple[str, str]] = set()
 
@@ -320,6 +344,7 @@ def coder(tokenizer_path: str, lexicon_name: str | None) -> Coder:
     if key not in _coders:
         _coders.clear()
         _coders[key] = Coder(tokenizer_path, SparkFiles.get(lexicon_name) if lexicon_name else None)
+    after_task("bpe", _coders[key].forget)
     return _coders[key]
 
 
