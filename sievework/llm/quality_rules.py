@@ -1,8 +1,8 @@
 """Quality rules: counts within a document, and lines that many documents of a host share.
 
 A line is normalised (lower case, digits to 0, runs of white space to one space, trimmed) and hashed. For each host and
-line the documents that hold it are counted; documents of one host with the same text count once, so that a copied
-document is no boilerplate. A line above the host's limit, ``max(MIN_DOCS, SHARE of the host's distinct texts)``, is
+line the distinct documents (doc_id) that hold it are counted; copies count, unless ``by_text`` makes the documents of a
+host with the same text one. A line above the host's limit, ``max(MIN_DOCS, SHARE of the host's documents)``, is
 removed from the host's documents, and a document that loses more than DEPLETED of its words is rejected.
 
 All on DataFrame functions. What is shuffled are hashes, counts and digests; a text is never moved. A hot line or host is
@@ -10,7 +10,7 @@ counted in parts before the shuffle; the join of lines with frequent lines is a
 adaptive execution splits.
 
 Defined cases: a null text has no words and fails the base rules; a null host is a host of its own; rows that repeat a
-document count as one text and each gets its verdict; an empty table gives no rows; texts of any length and any number
+document count as one document and each gets its verdict; rows without a doc_id are one document per text; an empty table gives no rows; texts of any length and any number
 of lines are taken whole; names of other columns don't matter, those of the result replace equal ones.
 """
 
@@ -30,6 +30,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Bytes up to which the table of texts with frequent lines is broadcast, at ROW_BYTES a text and 8 a line; a larger one
 #: is joined by a shuffle.
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 120
+#: What stands for a null doc_id.
+NO_ID = -(1 << 63)
 BLANK = r"^[\x20\x09-\x0D]*$"
 
 
@@ -81,28 +83,31 @@ def normal_line(line: Column) -> Column:
 
 
 def host_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """host, text_id, line (hash), words: the normalised lines of each distinct text of a host, with their words summed
-    over all copies of the text."""
+    """host, text_id, line (hash), docs, words: the normalised lines of each distinct text of a host, with the documents
+    that have the text and the line's words summed over all its rows."""
     line = F.explode(F.transform(F.split("text", "\n"), normal_line)).alias("line")
-    rows = docs.where(F.col("text").isNotNull()).select(F.col(host).alias("host"), F.md5("text").alias("text_id"), line).where("line <> ''")
+    doc = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")
+    rows = docs.where(F.col("text").isNotNull()).select(F.col(host).alias("host"), F.md5("text").alias("text_id"), doc, line).where("line <> ''")
     n = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    return rows.select("host", "text_id", F.xxhash64("line").alias("line"), n.cast("long").alias("n")).groupBy("host", "line", "text_id").agg(F.sum("n").alias("words"))
+    hashed = rows.select("host", "text_id", "doc", F.xxhash64("line").alias("line"), n.cast("long").alias("n"))
+    return hashed.groupBy("host", "line", "text_id").agg(F.count_distinct("doc").alias("docs"), F.sum("n").alias("words"))
 
 
-def removed_lines(lines: DataFrame) -> DataFrame:
+def removed_lines(lines: DataFrame, by_text: bool = False) -> DataFrame:
     """Rows of ``lines`` above their host's limit."""
-    sizes = lines.select("host", "text_id").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > MIN_DOCS)
-    frequent = often.join(sizes, often["host"].eqNullSafe(sizes["host"])).where(F.col("docs") > SHARE * F.col("texts"))
+    n = F.lit(1) if by_text else F.col("docs")
+    sizes = lines.groupBy("host", "text_id").agg(F.max(n).alias("n")).groupBy("host").agg(F.sum("n").alias("all_docs"))
+    often = lines.groupBy("host", "line").agg(F.sum(n).alias("with_line")).where(F.col("with_line") > MIN_DOCS)
+    frequent = often.join(sizes, often["host"].eqNullSafe(sizes["host"])).where(F.col("with_line") > SHARE * F.col("all_docs"))
     frequent = frequent.select(often["host"].alias("f_host"), F.col("line").alias("f_line"))
     return lines.join(frequent, lines["host"].eqNullSafe(frequent["f_host"]) & (lines["line"] == frequent["f_line"])).drop("f_host", "f_line")
 
 
-def quality(docs: DataFrame, host: str = "source") -> DataFrame:
+def quality(docs: DataFrame, host: str = "source", by_text: bool = False) -> DataFrame:
     """doc_id, host, text_id, the base counts, base_failed, depleted and kept of every document."""
     counted = docs.select("doc_id", F.col(host).alias("host"), F.md5("text").alias("text_id"), base_counts(F.col("text")).alias("c"))
     counted = cut(counted.select("doc_id", "host", "text_id", "c.*"))
-    removed = removed_lines(cut(host_lines(docs, host)))
+    removed = removed_lines(cut(host_lines(docs, host)), by_text)
     lost = removed.groupBy("host", "text_id").agg(F.sum("words").alias("lost"))
     whole = counted.groupBy("host", "text_id").agg(F.sum("n_words").alias("words"))
     both = lost.join(whole, lost["host"].eqNullSafe(whole["host"]) & (lost["text_id"] == whole["text_id"]))
@@ -113,10 +118,11 @@ def quality(docs: DataFrame, host: str = "source") -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).drop("d_host", "d_text")
 
 
-def kept_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents that pass, without the lines above their host's limit; n_chars, if there, follows the text."""
+def kept_documents(docs: DataFrame, host: str = "source", by_text: bool = False) -> DataFrame:
+    """The documents that pass, without the lines above their host's limit; n_chars, if there, follows the text. The base
+    rules judge the text as it came, as in ``quality``; what is left isn't judged again."""
     lines = cut(host_lines(docs, host))
-    removed = removed_lines(lines)
+    removed = removed_lines(lines, by_text)
     gone = cut(removed.groupBy("host", "text_id").agg(F.collect_set("line").alias("gone")))
     gone = gone.select(F.col("host").alias("g_host"), F.col("text_id").alias("g_text"), "gone")
     size = gone.agg(F.sum(ROW_BYTES + 8 * F.size("gone") + F.coalesce(F.length("g_host"), F.lit(0)))).first()[0] or 0

@@ -78,8 +78,8 @@ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_i
 rw AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(3)) AS k) GROUP BY doc_id),
 x AS (SELECT host, text_id, doc_id, regexp_replace(regexp_replace(trim(lower(unnest(l)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
     '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') AS line FROM c),
-often AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text_id) AS n FROM x WHERE line <> '' GROUP BY ALL)
-    JOIN (SELECT host, count(DISTINCT text_id) AS texts FROM x WHERE line <> '' GROUP BY ALL) USING (host) WHERE n > 20 AND n > 0.01 * texts),
+often AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT doc_id) AS n FROM x WHERE line <> '' GROUP BY ALL)
+    JOIN (SELECT host, count(DISTINCT doc_id) AS docs FROM x WHERE line <> '' GROUP BY ALL) USING (host) WHERE n > 20 AND n > 0.01 * docs),
 lost AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM x JOIN often USING (host, line) GROUP BY doc_id),
 o AS (SELECT doc_id, n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
     len(full_lines) - len(list_distinct(full_lines)) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS lost
