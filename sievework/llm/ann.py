@@ -17,6 +17,7 @@ fewer candidates than asked for all are returned; an empty table gives no rows;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ SAMPLE, ROUNDS, NEAR = 4096, 8, 0.2
 #: Queries that are scanned at once; entries of a group, whose codes a task holds: there are as many groups as shuffle
 #: partitions, within these bounds.
 QUERY_BLOCK, GROUP_LEAST, GROUP_MOST = 256, 1024, 4_000_000
-#: Entries per query and group that a scan passes on, and entries per query that are reranked.
+#: Entries per query and group that a scan passes on, and entries per query that are reranked, at least.
 CANDIDATES = 256
 PACKED = "group int, kind int, ids binary, data binary"
 
@@ -149,12 +150,14 @@ def inner_product(a: Column, b: Column) -> Column:
 
 def search(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id", column: str = "embedding", candidates: int = CANDIDATES) -> DataFrame:
     """query_id, rank, vec_id, score: of each vector for which ``is_query`` (on ``id``) holds the ``k`` others of
-    largest inner product among those that the scan finds."""
+    largest inner product among those that the scan finds. It finds ``candidates`` entries, or more if ``k`` or the
+    square root of the number of entries asks for more."""
     rows = cut(usable(vectors, id_column, column))
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     least = rows.withColumn("place", place).where(F.col("place") <= k + 1)
     entries = cut(least.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("entry", F.col("ids")[0]))
     n = entries.count()
+    candidates = max(candidates, 2 * (k + 1), math.isqrt(n))
     queries = rows.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     n_queries = queries.count()
     if n == 0 or n_queries == 0:
