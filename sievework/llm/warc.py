@@ -25,13 +25,15 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.shared import cut, filesystem, map_arrow, range_shards
 
-#: Payload bytes per shard and compressed bytes per file.
-SHARD_BYTES, FILE_BYTES = 16 << 20, 32 << 20
+#: Payload bytes per shard, at least, the number of shards from which they grow instead, and the share of a shard's
+#: payload bytes that a file's compressed bytes pass before the next file is begun.
+SHARD_BYTES, MOST_SHARDS, FILE_SHARE = 16 << 20, 50_000, 16
 #: WARC-Date of every record unless the caller gives one: a fixed value keeps the archive deterministic.
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 6
@@ -114,12 +116,16 @@ def revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     return known.join(twice, ["sha1", "n"]).where("page_id < last").select("page_id", "sha1", "last").distinct()
 
 
-def write_warc(pages: DataFrame, out_dir: str, min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES, date: str = DATE) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) as WARC files below ``out_dir``; returns the manifest, a row per file."""
+def write_warc(pages: DataFrame, out_dir: str, min_revisit_bytes: int = 0, file_bytes: int | None = None, date: str = DATE) -> DataFrame:
+    """Write ``pages`` (page_id, url, html) as WARC files below ``out_dir``; returns the manifest, a row per file. Files
+    are rolled at ``file_bytes``, by default a share of a shard, which grows with the input."""
     spark = pages.sparkSession
     fs, path = filesystem(out_dir)
     fs.create_dir(path, recursive=True)
-    shard_of, n = range_shards(pages, "page_id", F.octet_length(F.coalesce("html", F.lit(""))) + 512, SHARD_BYTES)
+    size = F.octet_length(F.coalesce("html", F.lit(""))) + 512
+    shard_bytes = max(SHARD_BYTES, (pages.agg(F.sum(size.cast("long"))).first()[0] or 0) // MOST_SHARDS)
+    shard_of, n = range_shards(pages, "page_id", size, shard_bytes)
+    file_bytes = file_bytes or shard_bytes // FILE_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(out_dir)
@@ -170,6 +176,9 @@ def write_warc(pages: DataFrame, out_dir: str, min_revisit_bytes: int = 0, file_
     placed = placed.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("sha1").asc_nulls_last(), "url", "payload")
     files = cut(map_arrow(placed, run, MANIFEST))
     files.coalesce(1).sortWithinPartitions("shard", "seq").write.mode("overwrite").parquet(f"{out_dir}/manifest")
+    for info in fs.get_file_info(pafs.FileSelector(path)):  # what failed attempts have left
+        if info.base_name.startswith(".tmp-"):
+            fs.delete_file(info.path)
     total = files.agg(F.count("*").alias("files"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes")).first()
     with fs.open_output_stream(f"{path}/.tmp-summary") as f:
         f.write(json.dumps(total.asDict()).encode())
