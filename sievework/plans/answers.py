@@ -22,10 +22,10 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"SELECT doc_id, {sql_normal('substr(text, 1, 300)')} AS normal FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, {sql_normal('text')} AS normal FROM documents")
 def x1_normalize_answer(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where("lang = 'en'")
-    return docs.select("doc_id", T.normalize_answer(F.substring("text", 1, 300)).alias("normal"))
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", T.normalize_answer(F.col("text")).alias("normal"))
 
 
 @query(f"WITH {RESPONSES} SELECT doc_id, answer FROM p")
@@ -56,9 +56,9 @@ def x6_judge_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.judge_verdict(reply).alias("v")).select("doc_id", F.col("v.score").cast("bigint").alias("score"), "v.explanation")
 
 
-@query("SELECT doc_id, regexp_replace(trim(lower(substr(text, 1, 200))), '\\s+', ' ', 'g') AS normal FROM documents")
+@query("SELECT doc_id, regexp_replace(trim(lower(text)), '\\s+', ' ', 'g') AS normal FROM documents")
 def x7_normalize_string(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.normalize_string(F.substring("text", 1, 200)).alias("normal"))
+    return table(spark, sf, "documents").select("doc_id", T.normalize_string(F.col("text")).alias("normal"))
 
 
 @query("""WITH w AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM documents),

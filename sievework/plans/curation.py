@@ -30,10 +30,10 @@ def query(sql: str | None = None):
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.substring("text", 1, 30).alias("q"), F.get(F.split("text", " "), F.lit(0)).alias("a"), F.array("source").alias("alt"), (F.col("doc_id") % 7 == 0).alias("ook"))
+    return docs.select("doc_id", F.col("text").alias("q"), F.get(F.split("text", " "), F.lit(0)).alias("a"), F.array("source").alias("alt"), (F.col("doc_id") % 7 == 0).alias("ook"))
 
 
-@query("""WITH q AS (SELECT doc_id, CASE WHEN ends_with(trim(substr(text, 1, 30)), '?') THEN trim(substr(text, 1, 30)) ELSE trim(substr(text, 1, 30)) || '?' END AS q, string_split(text, ' ')[1] AS a, source FROM documents)
+@query("""WITH q AS (SELECT doc_id, CASE WHEN ends_with(trim(text), '?') THEN trim(text) ELSE trim(text) || '?' END AS q, string_split(text, ' ')[1] AS a, source FROM documents)
 SELECT doc_id AS idx, 'questions' AS data_source, 'Answer: ' || q || ' Now.' AS content, [a, source] AS target, doc_id % 7 = 0 AS ook FROM q""")
 def p1_v13_v15_question_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Question rows, with one block of the template replaced."""
@@ -69,9 +69,9 @@ def p6_p7_references(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("source", prep.references(refs, 3).alias("docs"))
 
 
-@query("""WITH h AS (SELECT page_id, trim(substr(html, 1, 200)) AS h FROM pages) SELECT page_id, replace(regexp_replace(replace(h || ' [title] [x]  y', ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' ') AS clean, upper(substr(h, 2, 1)) || lower(substr(h, 3)) AS capital FROM h""")
+@query("""WITH h AS (SELECT page_id, trim(html) AS h FROM pages) SELECT page_id, replace(regexp_replace(replace(h || ' [title] [x]  y', ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' ') AS clean, upper(substr(h, 2, 1)) || lower(substr(h, 3)) AS capital FROM h""")
 def p9_p10_clean(spark: SparkSession, sf: str) -> DataFrame:
-    h = F.trim(F.substring("html", 1, 200))
+    h = F.trim("html")
     return table(spark, sf, "pages").select("page_id", T.hellaswag_clean(F.concat(h, F.lit(" [title] [x]  y"))).alias("clean"), T.mixed_case_first(F.substring(h, F.lit(2), F.length(h))).alias("capital"))
 
 
@@ -201,11 +201,11 @@ def r26_v5_binary_code(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.when(F.avg(ok.cast("int")) > 0.99, 1).otherwise(0).alias("binary_"), F.bool_and(ok).alias("every"))
 
 
-@query("SELECT event_id, row_number() OVER (PARTITION BY run ORDER BY event_id) AS nth FROM (SELECT *, sum(new) OVER (ORDER BY event_id) AS run FROM (SELECT event_id, CASE WHEN event_type = lag(event_type) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events WHERE user_id = 7))")
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) AS nth FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (SELECT event_id, user_id, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events))")
 def v1_trajectory_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """The number of a row within its run of equal values."""
     order = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, sf, "events").where("user_id = 7").withColumn("new", F.when(F.col("event_type") == F.lag("event_type").over(order), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    rows = table(spark, sf, "events").withColumn("new", F.when(F.col("event_type") == F.lag("event_type").over(order), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
     return rows.select("event_id", F.row_number().over(Window.partitionBy("user_id", "run").orderBy("event_id")).alias("nth"))
 
 
@@ -243,11 +243,11 @@ def v9_repeatness(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", (X.repeatness_score(F.col("text")) > 0.2).alias("repeats"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id, list_inner_product(e::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings WHERE vec_id >= 20),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, list_inner_product(e::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def k1_j12_dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    found = retrieval.dense_topk(e.where("vec_id >= 20"), e.where("vec_id < 20"), 10)
+    found = retrieval.dense_topk(e, e.where("vec_id % 50 = 0"), 10)
     return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", R6(F.col("score"), "score"))
 
 
@@ -354,9 +354,9 @@ def s8_masked_fields(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.get_json_object("page_id", "$.v").cast("bigint").alias("page_id"), "url")
 
 
-@query("SELECT l_orderkey, count(DISTINCT l_linenumber) AS tests FROM lineitem WHERE l_orderkey < 3000 GROUP BY l_orderkey")
+@query("SELECT l_orderkey, count(DISTINCT l_linenumber) AS tests FROM lineitem GROUP BY l_orderkey")
 def s11_s12_tests_by_problem(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").where("l_orderkey < 3000").dropDuplicates(["l_orderkey", "l_linenumber"]).withColumn("a", F.col("l_quantity").cast("string"))
+    rows = table(spark, sf, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"]).withColumn("a", F.col("l_quantity").cast("string"))
     tests = io.tests_by_problem(rows, "l_orderkey", "l_linenumber", "a", "l_returnflag")
     return tests.select("l_orderkey", F.size("tests").cast("bigint").alias("tests"))
 

@@ -104,9 +104,9 @@ def s2_nested_keys(spark: SparkSession, sf: str) -> DataFrame:
     return nested.select("doc_id", F.col("extra.a.q").alias("prompt"), F.col("extra.b").alias("response")) if drilled.columns == ["prompt", "response"] else drilled
 
 
-@query("SELECT source AS prompt, text AS chosen, lang AS rejected FROM documents WHERE doc_id < 50")
+@query("SELECT source AS prompt, text AS chosen, lang AS rejected FROM documents")
 def s3_preference_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return io.preference(table(spark, sf, "documents").where("doc_id < 50").select(F.col("source").alias("prompt"), F.col("text").alias("chosen"), F.col("lang").alias("rejected"), "n_chars"))
+    return io.preference(table(spark, sf, "documents").select(F.col("source").alias("prompt"), F.col("text").alias("chosen"), F.col("lang").alias("rejected"), "n_chars"))
 
 
 @query("SELECT conv_id, count(*) AS turns, NULL::VARCHAR AS tools FROM conversations GROUP BY conv_id")
@@ -123,19 +123,19 @@ def s5_s6_s13_jsonl_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return io.jsonl(spark, out, "doc_id long, source string, text string")
 
 
-@query("SELECT o_orderkey, o_orderkey % 3 AS step, o_orderkey % 3 AS extra FROM orders WHERE o_orderkey < 500")
+@query("SELECT o_orderkey, o_orderkey % 3 AS step, o_orderkey % 3 AS extra FROM orders")
 def s9_s14_step_dumps(spark: SparkSession, sf: str) -> DataFrame:
     """A folder per step; a step that is written again replaces itself."""
-    out, rows = scratch(spark), table(spark, sf, "orders").where("o_orderkey < 500").select("o_orderkey")
+    out, rows = scratch(spark), table(spark, sf, "orders").select("o_orderkey")
     for step in (0, 1, 2, 1):
         io.write_step(rows.where(F.col("o_orderkey") % 3 == step), out, step, {"extra": F.lit(step).cast("bigint")})
     return spark.read.schema("o_orderkey long, extra long, step long").json(out).select("o_orderkey", "step", "extra")
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id < 300")
+@query("SELECT doc_id, source FROM documents")
 def s16_s18_resumed_append(spark: SparkSession, sf: str) -> DataFrame:
     """Two runs of an appending writer, the second with what the first left out."""
-    out, docs = scratch(spark), table(spark, sf, "documents").where("doc_id < 300").select("doc_id", "source")
+    out, docs = scratch(spark), table(spark, sf, "documents").select("doc_id", "source")
     for part in (docs.where("doc_id % 2 = 0"), docs):
         try:
             done = spark.read.parquet(out).select(F.md5(F.col("doc_id").cast("string")).alias("h"))

@@ -64,7 +64,7 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 TOKENS = """k AS (SELECT user_id AS uid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value / 97.0 AS reward,
   (props->>'$.k')::DOUBLE / 100.0 AS value, -(value % 7) / 5.0 - 0.1 AS old_logp, -((props->>'$.k')::DOUBLE % 9) / 6.0 - 0.1 AS ref_logp,
-  CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS mask, event_id, event_type FROM events WHERE user_id < 200)"""
+  CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS mask, event_id, event_type FROM events)"""
 
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
