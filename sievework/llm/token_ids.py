@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.bpe import Coder
-from sievework.llm.shared import after_task, cut, filesystem, map_arrow, range_shards, take_room
+from sievework.llm.shared import cut, filesystem, map_arrow, range_shards, take_room
 
 MAGIC = b"SWTOK001"
 HEAD, FOOT = "<8sH32s", "<QQI8s"
@@ -40,7 +40,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 256, 8_000, 64 * 1024
 #: Text bytes per shard and compressed bytes per file.
 SHARD_BYTES, FILE_BYTES = 32 << 20, 64 << 20
 LEVEL = 3
-#: Bytes of words and chunks that a worker remembers until its task ends.
+#: Bytes of words and chunks that a worker remembers.
 ROOM = (120 << 20, 48 << 20)
 
 _encoders: dict[str, "Encoder"] = {}
@@ -62,7 +62,6 @@ def encoder(path: str) -> Encoder:
     take_room("token_ids", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
-    after_task("token_ids", _encoders[path].coder.forget)
     return _encoders[path]
 
 
@@ -89,8 +88,9 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
     import zstandard
 
     short = docs.where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    # documents of a hash below a limit that twice the sample is expected to pass; equal rows are one
-    share = min(1.0, 2 * SAMPLE_DOCS / max(1, short.count()))
+    # documents of a hash below a limit that four times the sample is expected to pass, long ones among them; equal rows
+    # are one
+    share = min(1.0, 4 * SAMPLE_DOCS / max(1, docs.count()))
     few = short.where(F.shiftrightunsigned("h", 24) < max(1, int(share * (1 << 40)))).groupBy("h").agg(F.min("text").alias("text"))
     rows = few.orderBy("h").limit(SAMPLE_DOCS).collect()
     ids = encoder(tokenizer_path).encode([r["text"].encode() for r in rows])
