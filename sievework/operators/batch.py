@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def with_row_id(df: DataFrame, order: str) -> DataFrame:
@@ -138,3 +139,16 @@ def mini_batches(rows: DataFrame, size: int, epochs: int, check: bool = True) ->
     if check and rows.count() % size:
         raise ValueError(f"batches of {size} don't divide the rows")
     return repeated(rows.withColumn("batch", F.floor(F.col("row_id") / size)), F.lit(epochs), "epoch")
+
+
+def flattened(df: DataFrame, sep: str = "/") -> DataFrame:
+    """Leaves of nested structs as columns, named by their path with ``sep``; arrays and maps stay whole."""
+
+    def leaves(kind: StructType, column: Column | None, path: str) -> list[Column]:
+        out = []
+        for f in kind.fields:
+            c, name = (F.col(f"`{f.name}`") if column is None else column.getField(f.name)), path + f.name
+            out += leaves(f.dataType, c, name + sep) if isinstance(f.dataType, StructType) else [c.alias(name)]
+        return out
+
+    return df.select(*leaves(df.schema, None, ""))

@@ -97,3 +97,20 @@ def validation(df: DataFrame, source: str, prompt: str, value: str) -> DataFrame
     """Per source the mean over prompts of mean@N, the population deviation, and the expected best and worst of N."""
     per = df.groupBy(source, prompt).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.max(value).alias("best"), F.min(value).alias("worst"))
     return per.groupBy(source).agg(*(F.avg(c).alias(c) for c in ("mean", "std", "best", "worst")))
+
+
+#: Explanations that the summary counts.
+MISSING, UNBOXED, EXACT = "missing (no llm-as-a-judge applied)", "Evaluation Error: prediction not in \\boxed{} format", "exact match"
+
+
+def evaluation_summary(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row of counts and rates over the best attempt of each ``key`` (score, explanation): the highest score, and of
+    equal ones the first by ``order``, then by explanation. An empty table has total 0 and null rates."""
+    best = df.groupBy(key).agg(F.min_by(F.struct("score", "explanation"), F.struct(-F.col("score"), F.col(order), F.col("explanation"))).alias("b")).select("b.*")
+    says = lambda x: F.count_if(F.col("explanation") == x)
+    counted = best.agg(F.count("*").alias("total"), F.count_if(F.col("score") == 1).alias("n_correct"), says(MISSING).alias("n_miss"), says(UNBOXED).alias("n_no_boxed"), says(EXACT).alias("n_exact_match"))
+    wrong = F.col("total") - F.col("n_correct") - F.col("n_miss")
+    counted = counted.withColumns({"n_hallucination": wrong, "n_hallucination_boxed": wrong - F.col("n_no_boxed")})
+    rate = lambda x: F.try_divide(x.cast("double"), F.col("total"))
+    rates = {"accuracy": "n_correct", "missing": "n_miss", "em": "n_exact_match", "no_boxed": "n_no_boxed", "hallucination": "n_hallucination", "hallucination_boxed": "n_hallucination_boxed"}
+    return counted.withColumns({"score": rate(2 * F.col("n_correct") + F.col("n_miss") - F.col("total")), **{k: rate(F.col(v)) for k, v in rates.items()}})

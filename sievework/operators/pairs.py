@@ -37,3 +37,16 @@ def choose(df: DataFrame, prompt: str, responses: str, rewards: str, how: str, p
     worst = F.col("i") + F.col("j") - best
     at = lambda k: F.get(F.col(responses), k)
     return picked.select(prompt, at(best).alias("chosen"), at(worst).alias("rejected"), (F.get(r, best) - F.get(r, worst)).alias("margin"))
+
+
+def encoded_pair(prompt: Column, chosen: Column, rejected: Column, length: int, eos: int | None = None) -> Column:
+    """input_ids and attention_mask of a prompt's ids with the chosen and with the rejected response's, in this order;
+    ``eos`` ends a response, and both are cut or filled with 0 at the right to ``length``."""
+
+    def fitted(ids: Column) -> Column:
+        return F.slice(F.concat(ids, F.array_repeat(F.lit(0).cast("bigint"), length)), 1, length)
+
+    end = F.array().cast("array<bigint>") if eos is None else F.array(F.lit(eos).cast("bigint"))
+    whole = [F.concat(*(x.cast("array<bigint>") for x in (prompt, response)), end) for response in (chosen, rejected)]
+    masks = [F.transform(ids, lambda _: F.lit(1).cast("bigint")) for ids in whole]
+    return F.struct(F.array(*map(fitted, whole)).alias("input_ids"), F.array(*map(fitted, masks)).alias("attention_mask"))

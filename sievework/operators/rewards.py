@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.functions.final_answer import score_at_last_token
 
 
 def _abstains(answer: Column) -> Column:
@@ -102,3 +103,15 @@ def score_by_source(source: Column, response: Column, goldens: Column) -> Column
     for prefix, scorer in reversed(SCORERS.items()):
         out = F.when(source.startswith(prefix), scorer(response, goldens)).otherwise(out)
     return out
+
+
+def batch_rewards(df: DataFrame, length: str, scorer: Callable[[DataFrame], Column], extras: list[str] | None = None) -> DataFrame:
+    """``df`` with the rewards of a scorer that sees the whole batch: ``rewards`` has the score at the last of a row's
+    ``length`` tokens and 0 before it, ``acc`` is the score as a number, and ``extras`` are further fields of a scorer
+    that gives a struct with ``score``. Where ``df`` has ``rm_scores`` they are the rewards, and nothing is scored."""
+    if "rm_scores" in df.columns:
+        return df.withColumn("rewards", F.col("rm_scores"))
+    scored = df.withColumn("acc", scorer(df))
+    score = F.col("acc.score") if extras is not None else F.col("acc")
+    found = {x: F.col("acc")[x] for x in extras or ()}
+    return scored.withColumns({**found, "rewards": score_at_last_token(F.col(length), score.cast("double")), "acc": score.cast("double")})

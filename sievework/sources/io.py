@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,3 +69,19 @@ def write_step(df: DataFrame, path: str, step: int, extra: dict[str, Column] | N
 def stringified(df: DataFrame, form: str = "yyyy-MM-dd'T'HH:mm:ss") -> DataFrame:
     """Timestamps at any depth of a row as text, by way of JSON."""
     return df.select(F.to_json(F.struct(*df.columns), {"timestampFormat": form, "timestampNTZFormat": form}).alias("json"))
+
+
+def write_evaluation(metrics: DataFrame, results: DataFrame, path: str) -> None:
+    """The one row of ``metrics`` as ``{"metrics": {...}}``, and ``results`` as JSON lines beside it."""
+    metrics.select(F.struct(*metrics.columns).alias("metrics")).coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+    results.write.mode("overwrite").json(f"{path}/results")
+
+
+def dumped_or_made(spark: SparkSession, folder: str, name: str, size: int, n: int, make: Callable[[], DataFrame]) -> DataFrame:
+    """The dump of an earlier run with the same name, batch size and number of responses; where there is none,
+    ``make()``, which is written first. A dump counts from its commit mark on, so that a broken one is made again."""
+    path = f"{folder}/{name}_GBS{size}__N{n}"
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

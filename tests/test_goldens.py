@@ -290,3 +290,22 @@ def test_resampling_follows_weights(spark):
     rows = mixtures.resampled(df, F.col("w"), 3000, 1, "id").groupBy("id").count().collect()
     share = {r["id"]: r["count"] / 3000 for r in rows}
     assert share.get(0, 0) < 0.01 and share[3] == pytest.approx(0.5, abs=0.05)
+
+
+def test_matched_and_plain_answers(spark):
+    from sievework.functions import matching as M
+
+    replies = [
+        ("The answer is 42.", (True, "42.")), ("So the ANSWER: x = 7. Done", (True, "7")), ("no digits here: yes", (False, "yes")),
+        ("first \\boxed{1} then \\boxed{\\frac{2}{3}}", (True, "\\frac{2}{3}")), ("broken \\boxed{5", (False, "broken \\boxed{5")), ("12 is the answer", (True, "12")), ("", (False, "")), (None, None),
+    ]
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(replies)], "i int, r string")
+    got = {r["i"]: r["m"] and tuple(r["m"]) for r in df.select("i", M.matched_answer(F.col("r")).alias("m")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(replies)}
+    answers = [
+        ("\\text{Red}", "red"), ("$1,234,567$", "1234567"), ("1,234,567,890", "1,234,567,890"), ("5 centimeters", "5"), ("7\\frac{3}{4}", "7+3/4"), ("3.0", "3"), ("1, 2 and 3", "1, 2 , 3"),
+        ("{x}", "x"), ("\\sqrt{\\pi}", "sqrt(pi)"), ("-  2", "-2"), ("2 million", "2 *10^6"), ("90^\\circ", "90"), ("", ""), (None, None),
+    ]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(answers)], "i int, a string")
+    got = {r["i"]: r["p"] for r in df.select("i", M.plain_answer(F.col("a")).alias("p")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(answers)}
