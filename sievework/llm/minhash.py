@@ -13,8 +13,8 @@ until its rows can't be joined further. A pair is passed over only if a chain of
 estimated similarity is below LIKELY. Every link rests on the exact Jaccard similarity of full sets.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; a text with fewer words than a shingle
-is one shingle; rows that repeat a doc_id are one node; rows without a doc_id are left as they are, unlinked; an empty
-table gives no rows; extra columns are ignored.
+is one shingle; rows that repeat a doc_id are one document, linked with whatever one of its texts is linked with; rows
+without a doc_id are left as they are, unlinked; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,17 +102,21 @@ def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """node, shingles (packed) of the documents that ``nodes`` names."""
+    """node, shingles (packed) of the sets that ``nodes`` (node, doc, set_id) names: that of a text of the document
+    ``doc`` whose set has the hash ``set_id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 sets = [shingle_set(t or b"", n).tobytes() for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+                right = [xxhash.xxh3_128_digest(s) == h for s, h in zip(sets, batch.column("set_id").to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"]).filter(pa.array(right, pa.bool_()))
 
     nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    named = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(nodes, "node", "left_semi")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text")).join(nodes, "doc").select("node", "set_id", "text")
     return map_arrow(named, run, "node long, shingles binary").dropDuplicates(["node"])
 
 
@@ -188,8 +192,9 @@ def _tasks(nodes: DataFrame) -> DataFrame:
     return placed.join(tasks, ["cluster", "unit", "block"]).select("cluster", "ua", "i", "ub", "j", "node", "component", "n")
 
 
-def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """node, component of the classes (node, n, bands, sig) that are linked."""
+def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, known_links: DataFrame | None = None) -> DataFrame:
+    """node, component of the classes (node, doc, set_id, n, bands, sig) that are linked; ``known_links`` (a, b) hold
+    from the start."""
     spread = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("rows")).where("rows > 1")
     mates = spread.join(shared, "key").where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("bands"))
@@ -197,9 +202,10 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     clusters = cut(components(mates.select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
     roots = clusters.select(F.col("component").alias("node")).distinct()
     nodes = cut(clusters.select("node", F.col("component").alias("cluster")).unionByName(roots.withColumn("cluster", F.col("node"))))
-    sets = cut(full_sets(docs, nodes.select("node"), n))
+    sets = cut(full_sets(docs, classes.select("node", "doc", "set_id").join(nodes.select("node"), "node", "left_semi"), n))
     best = mates.groupBy("node").agg(F.max_by("pivot", F.struct("bands", -F.col("pivot"))).alias("b")).select(F.col("node").alias("a"), "b")
-    found = cut(confirmed(best, sets, percent))
+    found = confirmed(best, sets, percent)
+    found = cut(found if known_links is None else found.unionByName(known_links))
     labels = components(found)
     known = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     slim = classes.select("node", "n", "sig")
@@ -214,16 +220,37 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     return components(cut(found.unionByName(more)))
 
 
+def _own_nodes(same: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``same`` (set_id, doc, ...) with a node per set, and the links (a, b) between nodes of one document. The node is
+    the document's id; of a document with several sets all but one get a hash that is no other node's."""
+    first = same.groupBy("doc").agg(F.max("set_id").alias("first"), F.count("*").alias("sets")).where("sets > 1")
+    more = cut(same.join(first, "doc").where("set_id <> first").select("set_id", "doc"))
+    if more.isEmpty():
+        return same.withColumn("node", F.col("doc")), None
+    salt = 0
+    while True:
+        named = cut(more.withColumn("own", F.xxhash64("set_id", "doc", F.lit(salt))))
+        taken = named.join(same.select(F.col("doc").alias("own")), "own", "left_semi")
+        if taken.isEmpty() and named.groupBy("own").count().where("count > 1").isEmpty():
+            break
+        salt += 1
+    nodes = same.join(named.select("set_id", "own"), "set_id", "left").withColumn("node", F.coalesce("own", "doc")).drop("own")
+    return cut(nodes), named.select(F.col("own").alias("a"), F.col("doc").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; ``n`` words make a shingle, and documents are linked
     from ``percent`` of similarity on."""
     rows = cut(summaries(docs, n))
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = full.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    same = cut(same)
-    classes = same.groupBy("node").agg(F.max_by(F.struct("n", "bands", "sig"), "set_id").alias("c")).select("node", "c.*")
-    labels = links(docs, classes, n, percent)
-    names = same.select("set_id", "node").join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
+    same = full.groupBy("set_id").agg(F.min(F.col("doc_id").cast("long")).alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes, own = _own_nodes(cut(same))
+    labels = links(docs, classes, n, percent, own)
+    names = classes.select("set_id", "doc", "node").join(labels, "node", "left").select("set_id", "doc", F.coalesce("component", "node").alias("component"))
+    if own is not None:  # a component's least node may be a hash
+        least = names.groupBy("component").agg(F.min("doc").alias("least"))
+        names = names.join(least, "component").select("set_id", F.col("least").alias("component"))
+    names = names.select("set_id", "component")
     out = rows.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).join(names, "set_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

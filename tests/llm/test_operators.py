@@ -129,6 +129,22 @@ def test_minhash_large_group_is_joined_by_chains(spark):
     assert {c for (c,) in got.values()} == {0}
 
 
+def test_minhash_documents_with_several_texts(spark):
+    rnd = random.Random(11)
+    make = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    a, b, c = make(), make(), make()
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    data = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (7, near(a)), (9, " ".join(b)), (12, near(b)), (3, " ".join(c)), (3, " ".join(c)), (20, "few"), (None, " ".join(c)), (21, None), (21, near(c))]
+    schema = "doc_id long, text string"
+    for parts in (1, 5):
+        got = by_id(minhash.near_duplicates(spark.createDataFrame(data, schema).repartition(parts).where("doc_id IS NOT NULL AND doc_id <> 21"), 4), "component_id")
+        assert got == {5: (5,), 7: (5,), 9: (5,), 12: (5,), 3: (3,), 20: (20,)}
+    rows = minhash.near_duplicates(spark.createDataFrame(data, schema), 4).collect()
+    assert sorted(r["component_id"] for r in rows if r["doc_id"] == 21) == [3, 21]
+    left = stages.near_dedup(spark, spark.createDataFrame(data[:10], schema), "")
+    assert Counter(map(tuple, left.collect())) == Counter({data[0]: 1, data[1]: 1, data[6]: 1, data[8]: 1, data[9]: 1})
+
+
 def test_pii(docs, none, rows):
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
