@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sievework.llm import ann, bpe, fm_index, minhash, mixing, pii, quality_rules, queries, stages, stupid_backoff, substrings, token_ids, warc
+from sievework.llm.components import components
 from sievework.llm.shared import fresh_dir, range_shards
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -129,6 +130,24 @@ def test_minhash_large_group_is_joined_by_chains(spark):
     assert {c for (c,) in got.values()} == {0}
 
 
+def test_components(spark):
+    rnd = random.Random(8)
+    chain = [(i, i + 1) for i in range(200, 260)]
+    star = [(100, i) for i in range(300, 400)]
+    loose = [(rnd.randrange(1000, 1400), rnd.randrange(1000, 1400)) for _ in range(180)]
+    edges = [*chain, *star, *loose, (7, 7), (5, -9), (-9, 5), (5, -9), (2**62, 3), (259, 399)]
+    least = {x: x for e in edges for x in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    want = {x: m for x, m in least.items() if x != m}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    for limit in (1 << 18, 100, 5, 1):  # one task, stars until few edges are left, stars to their end
+        rows = components(df, limit).collect()
+        assert {r["node"]: r["component"] for r in rows} == want and len(rows) == len(want)
+    assert components(df.where("a = b")).count() == components(df.limit(0)).count() == 0
+
+
 def test_minhash_documents_with_several_texts(spark):
     rnd = random.Random(11)
     make = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(60)]
