@@ -174,12 +174,12 @@ def _tasks(nodes: DataFrame) -> DataFrame:
     """``nodes`` (cluster, node, component, n) of clusters with several components, dealt to tasks: each pair of nodes
     in different components of a cluster meets in one. A component of more than BLOCK nodes is a unit of its own, whose
     blocks are never held against each other; the small ones of a cluster are one unit."""
-    several = nodes.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cluster")
-    rows = nodes.join(several, "cluster", "left_semi")
-    sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("size"))
-    sizes = sizes.withColumn("unit", F.when(F.col("size") > BLOCK, F.col("component")).otherwise(F.lit(-1).cast("long")))
+    sizes = cut(nodes.groupBy("cluster", "component").agg(F.count("*").alias("size")))
+    several = sizes.groupBy("cluster").agg(F.count("*").alias("found")).where("found > 1").select("cluster")
+    sizes = sizes.join(several, "cluster", "left_semi").withColumn("unit", F.when(F.col("size") > BLOCK, F.col("component")).otherwise(F.lit(-1).cast("long")))
     units = cut(sizes.groupBy("cluster", "unit").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"), F.max("size").alias("largest")))
-    placed = rows.join(sizes.select("cluster", "component", "size", "unit"), ["cluster", "component"]).join(units.select("cluster", "unit", "blocks"), ["cluster", "unit"])
+    # nodes meet their component's row by both keys, so that a hot cluster isn't a task's
+    placed = nodes.join(cut(sizes.join(units.select("cluster", "unit", "blocks"), ["cluster", "unit"])), ["cluster", "component"])
     dealt = F.when(F.col("size") > BLOCK, F.xxhash64("node")).otherwise(F.xxhash64("component"))
     placed = placed.withColumn("block", F.pmod(dealt, F.col("blocks")).cast("int"))
     left = units.select("cluster", F.col("unit").alias("ua"), F.col("blocks").alias("na"), F.col("largest").alias("la"))
