@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 RANGE_BINS = 4096
 #: Rows and bytes of an Arrow batch between the JVM and its workers, where the session leaves Spark's defaults: both
 #: sides hold whole batches outside the heap.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "1m")}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -131,8 +134,13 @@ def after_task(name: str, forget: Callable[[], None]) -> None:
 
 
 def end_task() -> None:
+    """Empties the task's caches and gives free memory back to the system, which a worker that is reused or idle would
+    else hold beside the JVM."""
     for empty in _task_caches.values():
         empty()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def small_batches(spark: SparkSession) -> None:

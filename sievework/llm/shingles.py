@@ -7,7 +7,7 @@ import numpy as np
 from sievework.llm.shared import take_room
 
 #: Distinct words a worker remembers.
-WORDS = 400_000
+WORDS = 100_000
 _known: dict[bytes, int] = {}
 
 
