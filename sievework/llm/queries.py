@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import ann, bpe, minhash, mixing, pii, quality_rules, stupid_backoff, substrings, token_ids, warc
+from sievework.llm import ann, bpe, merkle, minhash, mixing, phrases, pii, quality_rules, resharding, stupid_backoff, substrings, token_ids, warc
 from sievework.llm.shared import fresh_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -175,3 +175,73 @@ s AS (SELECT doc_id, ln(CASE WHEN i > 2 AND c3 > 0 THEN c3 / before2 ELSE (CASE
     ELSE (CASE WHEN i > 1 THEN 0.4::DOUBLE ELSE 1 END) * CASE WHEN c1 > 0 THEN c1 / words_left ELSE 1 / (words_left + 1) END END END) AS l FROM b)
 SELECT d.doc_id, len(w) AS n_words, round(coalesce(sum(l), 0), 4) AS log_score,
   CASE WHEN len(w) > 0 THEN round(sum(l) / len(w), 6) END AS mean_log_score FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, d.w"""
+
+
+#: Shards of the layout that op11 takes documents from, by a hash of doc_id, and of the one it makes.
+OLD_SHARDS, NEW_SHARDS = 6, 8
+
+
+@query
+def op11_resharding(spark: SparkSession, sf: str) -> DataFrame:
+    """From six shards, uneven as hashes make them, to eight of equal bytes."""
+    out = fresh_dir(spark, "layout")
+    resharding.write_layout(spark.read.parquet(f"{sf}/documents.parquet"), out, F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)))
+    resharding.reshard(spark, out, NEW_SHARDS)
+    read = resharding.read_layout(spark, out)
+    crc = F.crc32(F.coalesce("row.text", F.lit(""))).alias("text_crc32")
+    return read.select("row.doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    rows = merkle.manifest(spark.read.parquet(f"{sf}/documents.parquet"), tampered)
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
+    rows = rows.withColumn("folded_root", merkle.folded(F.col("tampered_leaf"), F.col("proof")))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+ORACLE_SQL["op13_phrases"] = r"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+s AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+o AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, k, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+i AS (SELECT lang, array_to_string(w[b : b + m - 1], ' ') AS phrase, max(a) AS outside FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS b
+    FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY ALL),
+t AS (SELECT c.* FROM c LEFT JOIN i USING (lang, phrase) WHERE outside IS NULL OR 100 * outside < 80 * a),
+x AS (SELECT lang, phrase, a, j, array_to_string(w[1 : j], ' ') AS one, array_to_string(w[j + 1 :], ' ') AS two FROM (SELECT *, unnest(range(1, k)) AS j FROM t)),
+y AS (SELECT x.lang, x.phrase, a, j, g.f AS l, h.f AS r, (2000000 * a::HUGEINT) // (g.f + h.f) AS score
+    FROM x JOIN f g ON g.lang = x.lang AND g.phrase = one JOIN f h ON h.lang = x.lang AND h.phrase = two),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM q JOIN s USING (lang) WHERE rank <= 2000"""
+
+
+# crc32 of a document's number, bit by bit, as DuckDB has no such function
+ORACLE_SQL["op12_merkle"] = r"""
+WITH RECURSIVE f AS (SELECT doc_id, lang, text, row_number() OVER () AS row_, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'),
+    coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head FROM documents),
+y AS (SELECT row_, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) AS crc FROM f),
+x AS (SELECT doc_id, coalesce('=' || lang, '') AS g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN crc % 3 = 0
+    THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed FROM f JOIN y USING (row_)),
+b AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM x),
+t AS (SELECT g, 0 AS k, i, n, leaf AS h FROM b UNION ALL
+  SELECT g, k + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, k, i // 8, n),
+r AS (SELECT g, h, max(k) OVER (PARTITION BY g) AS depth, row_number() OVER (ORDER BY g) - 1 AS j, count(*) OVER () AS m FROM t WHERE n = 1),
+u AS (SELECT 0 AS k, j AS i, m AS n, h FROM r UNION ALL SELECT k + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY k, i // 8, n),
+a AS (SELECT g, k, i, n, h, i // 8 AS run FROM t WHERE n > 1 UNION ALL SELECT r.g, depth + u.k, u.i, u.n, u.h, u.i // 8 FROM u, r WHERE u.n > 1 AND u.i // 8 = (r.j // (8 ** u.k)::BIGINT) // 8),
+s AS (SELECT a.g, a.k, a.i, coalesce(string_agg(z.h, '' ORDER BY z.i) FILTER (z.i < a.i), '') AS l, coalesce(string_agg(z.h, '' ORDER BY z.i) FILTER (z.i > a.i), '') AS o
+  FROM a JOIN a z ON z.g = a.g AND z.k = a.k AND z.run = a.run GROUP BY a.g, a.k, a.i),
+w AS (SELECT b.g, b.i, b.doc_id, leaf, h AS subroot, j, depth, 0 AS k, '' AS proof, coalesce(changed, leaf) AS c FROM b JOIN r USING (g) UNION ALL
+  SELECT w.g, w.i, doc_id, leaf, subroot, j, depth, w.k + 1, proof || l || o, sha256(l || c || o) FROM w JOIN s ON s.g = w.g AND s.k = w.k
+    AND s.i = CASE WHEN w.k < depth THEN w.i // (8 ** w.k)::BIGINT ELSE j // (8 ** (w.k - depth))::BIGINT END),
+e AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY g, i ORDER BY k DESC) = 1)
+SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(proof) AS proof_sha256, c AS folded_root, c = (SELECT h FROM u WHERE n = 1) AS verified FROM e"""
