@@ -3,8 +3,10 @@
 Texts are split into pieces at punctuation, and equal pieces of a language become one with a multiplicity. Tasks count
 the weighted n-grams of some FLUSH_WORDS words of distinct pieces, and deal them by a hash to buckets as compressed
 blobs. Each bucket is counted by duckdb under a memory limit, out of core beyond it, and only n-grams seen LEAST times
-or more go on: parts of a frequent phrase are frequent too. Every candidate then asks for the counts of its parts;
-requests are shuffled to the counts by (lang, part), and the answers back to their phrase.
+or more go on: parts of a frequent phrase are frequent too. So words and pairs are counted first, and longer n-grams
+only where all their pairs are in a bitmap of the frequent ones; the bitmap's size is bound, and what it lets through by
+chance costs time and changes no count. Every candidate then asks for the counts of its parts; requests are shuffled to
+the counts by (lang, part), and the answers back to their phrase.
 
 Defined cases: a null or blank text has no words; a null lang is ``und``; a document counts as often as its row is
 repeated; doc_ids, null or repeated, play no part; an empty table gives no rows; other columns are ignored. Counts are
@@ -21,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.merkle import lower_ascii
+from sievework.llm.merkle import lower_ascii, numbered
 from sievework.llm.shared import fresh_dir, map_arrow, partitions
 from sievework.llm.shingles import mixed
 from sievework.shipping import ship
@@ -32,8 +35,8 @@ from sievework.shipping import ship
 LONGEST, LEAST, TOP, INSIDE_PERCENT, SCALE = 4, 30, 2000, 80, 2_000_000
 #: Words that a task counts at once, n-grams that a bucket gets on average at most, and duckdb's memory.
 FLUSH_WORDS, BUCKET_GRAMS, MEMORY = 1 << 20, 6_000_000, "400MB"
-#: Parts of a language's candidates that are ranked on their own before they meet.
-SALTS = 32
+#: Bits of the bitmap at most (32 MB, broadcast), and of each slice of it that a task makes.
+BITMAP_BITS, SLICE_BITS = 1 << 28, 1 << 20
 _GRAMS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
@@ -58,10 +61,28 @@ def _weighted(inverse: np.ndarray, size: int, weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grams(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
-    """For each length the distinct n-grams of pieces: langs, phrases, weights and hashes."""
+def _named_hashes(langs: list[str], lang: np.ndarray, words: list[str], word: np.ndarray) -> np.ndarray:
+    """A hash of each (lang, word), given as places in ``langs`` and ``words``."""
     import xxhash
 
+    seeds = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in langs), np.uint64, len(langs))
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    return mixed(hashes[word] ^ seeds[lang])
+
+
+def _longer(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram from that of all words but the last and that of the last."""
+    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + last)
+
+
+def _in_bitmap(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    place = hashes & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _grams(held: list[pa.RecordBatch], lengths: range, pairs: np.ndarray | None) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """For each of ``lengths`` the distinct n-grams of pieces: langs, phrases, weights and hashes. Where ``pairs`` is
+    given, only n-grams whose pairs are all in that bitmap."""
     table = pa.Table.from_batches(held).combine_chunks()
     langs = table.column("lang").combine_chunks().dictionary_encode()
     split = pc.split_pattern(table.column("piece").combine_chunks(), " ")
@@ -75,28 +96,32 @@ def _grams(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, np.
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(row))  # words from here to the piece's end
     weight, lang_of = table.column("m").to_numpy()[row], langs.indices.to_numpy().astype(np.int64)[row]
     first, word = np.unique(lang_of * len(vocabulary) + codes, return_inverse=True)
-    names, lang = vocabulary.take(pa.array(first % len(vocabulary))), first // len(vocabulary)
-    seed = [xxhash.xxh3_64_intdigest(x) for x in langs.dictionary.to_pylist()]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary.to_pylist()), np.uint64, len(vocabulary))
-    one = mixed(hashes[first % len(vocabulary)] ^ np.array(seed, np.uint64)[lang])
-    at, gram, phrases, hashed, spoken = np.arange(len(row)), word, names, one, lang
-    for n in range(1, LONGEST + 1):
+    spoken, spelt = first // len(vocabulary), first % len(vocabulary)
+    names, one = vocabulary.take(pa.array(spelt)), _named_hashes(langs.dictionary.to_pylist(), spoken, vocabulary.to_pylist(), spelt)
+    at, gram, phrases, hashed = np.arange(len(row)), word, names, one
+    for n in range(1, lengths.stop):
         if n > 1:
             keep = left[at] >= n
+            if n > 2 and pairs is not None:
+                keep &= follows[at + n - 2]
             at = at[keep]
             keys, gram = np.unique(gram[keep] * len(first) + word[at + n - 1], return_inverse=True)
             before, last = keys // len(first), keys % len(first)
+            hashed, spoken = _longer(hashed[before], one[last]), spoken[before]
+            if n == 2 and pairs is not None:
+                known = _in_bitmap(hashed, pairs)[gram]
+                follows = np.zeros(len(row) + 1, bool)  # whether a frequent pair begins here
+                follows[at] = known
+                at, gram = at[known], gram[known]
             phrases = pc.binary_join_element_wise(phrases.take(pa.array(before)), names.take(pa.array(last)), " ")
-            hashed = mixed(hashed[before] * np.uint64(0x9E3779B97F4A7C15) + one[last])
-            spoken = spoken[before]
-        if len(at):
+        if n >= lengths.start and len(at):
             yield langs.dictionary.take(pa.array(spoken)), phrases, _weighted(gram, len(phrases), weight[at]), hashed
 
 
-def _blobs(held: list[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _blobs(held: list[pa.RecordBatch], buckets: int, lengths: range, pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """A blob of n-grams for each bucket."""
     parts: dict[int, list[pa.RecordBatch]] = {}
-    for lang, phrase, f, hashed in _grams(held):
+    for lang, phrase, f, hashed in _grams(held, lengths, pairs):
         bucket = (hashed % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         sorted_ = pa.RecordBatch.from_arrays([lang, phrase, pa.array(f)], schema=_GRAMS).take(pa.array(order))
@@ -135,22 +160,25 @@ def _counted(table, least: int):
     return found
 
 
-def frequent(distinct: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, phrase, f of the n-grams of up to LONGEST words that occur ``least`` times or more in ``distinct``."""
+def frequent(distinct: DataFrame, lengths: range, least: int = LEAST, pairs: Broadcast | None = None) -> DataFrame:
+    """lang, phrase, f of the n-grams of ``lengths`` words that occur ``least`` times or more in ``distinct``; ``pairs``
+    is a bitmap of the hashes of frequent pairs."""
     words = distinct.agg(F.sum(_words("piece"))).first()[0] or 0
-    buckets = max(1, -(-words * LONGEST // BUCKET_GRAMS), min(words // 1000, partitions(distinct.sparkSession)))
+    buckets = max(1, -(-words * len(lengths) // BUCKET_GRAMS), min(words // 1000, partitions(distinct.sparkSession)))
     ship(distinct.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = None if pairs is None else np.frombuffer(pairs.value, np.uint8)
         held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows + pc.sum(pc.count_substring(batch.column("piece"), " ")).as_py() if batch.num_rows else 0
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows + pc.sum(pc.count_substring(batch.column("piece"), " ")).as_py()
             if size >= FLUSH_WORDS:
-                yield from _blobs(held, buckets)
+                yield from _blobs(held, buckets, lengths, bitmap)
                 held, size = [], 0
         if size:
-            yield from _blobs(held, buckets)
+            yield from _blobs(held, buckets, lengths, bitmap)
 
     def count(table):  # applyInArrow takes a function of a table by its lack of hints
         return _counted(table, least)
@@ -159,6 +187,33 @@ def frequent(distinct: DataFrame, least: int = LEAST) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(count, "lang string, phrase string, f long")
 
 
+def bitmap(pairs: DataFrame) -> Broadcast:
+    """The hashes of ``pairs`` (lang, phrase) as bits of a table of at most BITMAP_BITS, made slice by slice."""
+    spark = pairs.sparkSession
+    bits = min(BITMAP_BITS, 1 << max(3, (16 * pairs.count()).bit_length()))
+    part = min(bits, SLICE_BITS)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, split = batch.column("lang").dictionary_encode(), pc.split_pattern(batch.column("phrase"), " ")
+            words = split.flatten().dictionary_encode()
+            lang = langs.indices.to_numpy().astype(np.int64).repeat(2)
+            one = _named_hashes(langs.dictionary.to_pylist(), lang, words.dictionary.to_pylist(), words.indices.to_numpy())
+            at = (_longer(one[0::2], one[1::2]) & np.uint64(bits - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // part), pa.array(at % part)], ["slice", "bit"])
+
+    def made(table):
+        flags = np.zeros(max(8, part), bool)
+        flags[table.column("bit").to_numpy()] = True
+        return pa.table([table.column("slice").slice(0, 1), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
+
+    placed = map_arrow(pairs.select("lang", "phrase"), place, "slice long, bit long").distinct()
+    out = bytearray(max(1, bits // 8))
+    for r in placed.groupBy("slice").applyInArrow(made, "slice long, bits binary").collect():
+        out[r["slice"] * part // 8 : (r["slice"] + 1) * part // 8] = r["bits"]
+    return spark.sparkContext.broadcast(bytes(out))
+
+
 def _words(column: str):
     return (F.length(column) - F.length(F.replace(column, F.lit(" "))) + 1).cast("long")
 
@@ -192,15 +247,16 @@ def scores(candidates: DataFrame, counts: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases."""
     distinct = _stored(pieces(docs), "pieces")
-    said = distinct.groupBy("lang").agg(F.sum(F.col("m") * _words("piece")).alias("n"))
-    counts = _stored(frequent(distinct, least), "grams")
+    totals = distinct.groupBy("lang").agg(F.sum(F.col("m") * _words("piece")).alias("n"))
+    short = _stored(frequent(distinct, range(1, 3), least), "grams")
+    known = bitmap(short.where("phrase LIKE '% %'"))
+    counts = short.unionByName(_stored(frequent(distinct, range(3, LONGEST + 1), least, known), "grams"))
     candidates = counts.withColumn("w", F.split("phrase", " ")).where("size(w) > 1").withColumnRenamed("f", "a")
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     open_ = candidates.join(outer_counts(candidates), ["lang", "phrase"], "left")
     open_ = open_.where(F.col("outer").isNull() | (100 * wide("outer") < INSIDE_PERCENT * wide("a"))).drop("outer")
     scored = scores(open_, counts)
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).alias("salt")
-    some = scored.withColumn("salt", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order)))
-    ranked = some.where(F.col("rank") <= top).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
-    return ranked.where(F.col("rank") <= top).join(said, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    order = {"low": -F.col("score"), "seldom": -F.col("a"), "said": F.col("phrase")}
+    ranked = numbered(scored.withColumnRenamed("lang", "group").withColumns(order), list(order)).where(F.col("i") < top)
+    ranked = ranked.select(F.col("group").alias("lang"), (F.col("i") + 1).alias("rank"), "phrase", "a", "l", "r", "score")
+    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
