@@ -223,8 +223,9 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, known_links
 def _own_nodes(same: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """``same`` (set_id, doc, ...) with a node per set, and the links (a, b) between nodes of one document. The node is
     the document's id; of a document with several sets all but one get a hash that is no other node's."""
-    first = same.groupBy("doc").agg(F.max("set_id").alias("first"), F.count("*").alias("sets")).where("sets > 1")
-    more = cut(same.join(first, "doc").where("set_id <> first").select("set_id", "doc"))
+    several = same.groupBy("doc").agg(F.count("*").alias("sets")).where("sets > 1").select("doc")
+    several = cut(same.select("set_id", "doc").join(several, "doc", "left_semi"))
+    more = cut(several.join(several.groupBy("doc").agg(F.max("set_id").alias("first")), "doc").where("set_id <> first").select("set_id", "doc"))
     if more.isEmpty():
         return same.withColumn("node", F.col("doc")), None
     salt = 0
@@ -238,13 +239,22 @@ def _own_nodes(same: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return cut(nodes), named.select(F.col("own").alias("a"), F.col("doc").alias("b"))
 
 
+def _representatives(full: DataFrame) -> DataFrame:
+    """set_id, doc, n, bands, sig: one of the rows of each set, one of its least document. Sets are grouped by columns of
+    fixed width; what is wide stays where it is but for the rows that are picked."""
+    doc = F.col("doc_id").cast("long")
+    picked = cut(full.select("set_id", doc.alias("doc"), "row").groupBy("set_id").agg(F.min_by("row", "doc").alias("row"))).select("row")
+    few = picked.count() <= BROADCAST_NODES
+    wide = full.join(F.broadcast(picked) if few else picked, "row", "left_semi")
+    wide = wide.select("set_id", doc.alias("doc"), F.col("n_shingles").alias("n"), "bands", "sig")
+    return wide if few else cut(wide)
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; ``n`` words make a shingle, and documents are linked
     from ``percent`` of similarity on."""
-    rows = cut(summaries(docs, n))
-    full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = full.groupBy("set_id").agg(F.min(F.col("doc_id").cast("long")).alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes, own = _own_nodes(cut(same))
+    rows = cut(summaries(docs, n).withColumn("row", F.monotonically_increasing_id()))
+    classes, own = _own_nodes(_representatives(rows.where("n_shingles > 0 AND doc_id IS NOT NULL")))
     labels = links(docs, classes, n, percent, own)
     names = classes.select("set_id", "doc", "node").join(labels, "node", "left").select("set_id", "doc", F.coalesce("component", "node").alias("component"))
     if own is not None:  # a component's least node may be a hash
