@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievework.functions import latex, text
+from sievework.functions import equality, latex, text
 
 # Replacements and removed expressions, in the order in which they apply.
 SUBSTITUTIONS = [
@@ -61,7 +61,7 @@ def math_score(response: Column, truth: Column) -> Column:
 def boxed_format_score(response: Column, truth: Column, format_score: float = 0.1) -> Column:
     """0.9 for the right answer, 0.1 for thoughts before a box."""
     shaped = response.rlike(r"(?s)\A<think>.*</think>.*\\boxed\{.*\}.*\z").cast("double")
-    return (1 - format_score) * latex.is_math_equal(latex.boxed_answer(response), truth).cast("double") + format_score * shaped
+    return (1 - format_score) * equality.is_graded_equal(latex.boxed_answer(response), truth).cast("double") + format_score * shaped
 
 
 def code_format(response: Column, language: Column) -> Column:
