@@ -6,12 +6,15 @@ normal forms are."""
 import re
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql.functions import pandas_udf
 
 from sievework.shipping import ship
 
+#: Characters whose suffixes are sorted together.
+REPEAT_CHARS = 1 << 20
 #: Markup that carries no meaning, and what it becomes.
 PLAIN = [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""), ("\\%", ""), ("%", "")]
 
@@ -115,36 +118,55 @@ def math_equal(a: str | None, b: str | None, tolerance: float = 1e-4) -> bool:
     return equivalent(a, b)
 
 
-def repeatness(text: str | None) -> float:
-    """2 sum(LCP) / (n (n + 1)) over the sorted suffixes of a text's characters; 0 for texts of up to one character.
-    Suffixes are ranked by doubling and neighbours' common prefixes found in one pass."""
-    import numpy as np
-
-    n = len(text or "")
-    if n <= 1:
-        return 0.0
-    rank = np.unique(np.array([ord(c) for c in text]), return_inverse=True)[1].astype(np.int64)
-    width = 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - width)] = rank[width:] + 1
-        key = rank * (n + 2) + after
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        if rank.max() == n - 1 or width >= n:
-            break
+def _ranks(codes: np.ndarray) -> list[np.ndarray]:
+    """For each power of two the rank of every position by as many characters from there on, up to the power at which
+    all differ. Only positions whose rank is shared are sorted again."""
+    order = np.argsort(codes, kind="stable")
+    new = np.concatenate([[True], codes[order][1:] != codes[order][:-1]])
+    starts = np.maximum.accumulate(np.where(new, np.arange(len(codes)), 0))
+    rank = np.empty(len(codes), np.int64)
+    rank[order] = starts
+    shared = np.bincount(starts, minlength=len(codes)) > 1
+    active, out, width = order[shared[starts]], [rank.astype(np.int32)], 1
+    while len(active):
+        key = rank[active] * (len(codes) + 1) + rank[active + width]
+        turn = np.argsort(key, kind="stable")
+        active, key = active[turn], key[turn]
+        old, at = rank[active], np.arange(len(active))
+        changed = np.concatenate([[True], key[1:] != key[:-1]])
+        begin = np.maximum.accumulate(np.where(changed, at, 0))
+        block = np.maximum.accumulate(np.where(np.concatenate([[True], old[1:] != old[:-1]]), at, 0))
+        rank[active] = old + begin - block
+        active = active[np.bincount(begin, minlength=len(active))[begin] > 1]
+        out.append(rank.astype(np.int32))
         width *= 2
-    order = np.argsort(rank)
-    total = h = 0
-    for i in range(n):
-        if rank[i]:
-            j = int(order[rank[i] - 1])
-            while i + h < n and j + h < n and text[i + h] == text[j + h]:
-                h += 1
-            total += h
-            h = max(0, h - 1)
-        else:
-            h = 0
-    return 2 * total / (n * (n + 1))
+    return out
+
+
+def repeatness(texts: list[str | None]) -> list[float]:
+    """2 sum(LCP) / (n (n + 1)) over the sorted suffixes of each text's characters; 0 for texts of up to one character.
+    The suffixes of all texts are ranked together by doubling, each text having characters and an end of its own, and
+    neighbours' common prefixes are found from the ranks by halving."""
+    sizes = np.array([len(t or "") for t in texts], np.int64)
+    if not sizes.sum():
+        return [0.0] * len(texts)
+    text_of = np.repeat(np.arange(len(texts)), sizes + 1)
+    ends = np.cumsum(sizes + 1) - 1
+    codes = np.zeros(len(text_of), np.int64)
+    inside = np.ones(len(text_of), bool)
+    inside[ends] = False
+    codes[inside] = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+    levels = _ranks(codes + (text_of << 22))
+    suffixes = np.empty(len(codes), np.int64)
+    suffixes[levels[-1]] = np.arange(len(codes))
+    a, b = suffixes[:-1], suffixes[1:]
+    alike = levels[0][a] == levels[0][b]
+    a, b = a[alike], b[alike]
+    common = np.zeros(len(a), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        common[levels[k][a + common] == levels[k][b + common]] += 1 << k
+    total = np.bincount(text_of[a], weights=common, minlength=len(texts))
+    return [float(2 * s / (n * (n + 1))) if n > 1 else 0.0 for s, n in zip(total, sizes.tolist())]
 
 
 def boxed_answer(text: Column) -> Column:
@@ -182,6 +204,13 @@ def repeatness_score(text: Column) -> Column:
 
     @pandas_udf("double")
     def f(s: pd.Series) -> pd.Series:
-        return s.map(repeatness)
+        out, begin, held = [], 0, 0  # texts of some REPEAT_CHARS characters at once
+        texts = s.tolist()
+        for at, t in enumerate(texts):
+            held += len(t or "")
+            if held >= REPEAT_CHARS or at == len(texts) - 1:
+                out += repeatness(texts[begin : at + 1])
+                begin, held = at + 1, 0
+        return pd.Series(out, dtype="float64")
 
     return f(text)

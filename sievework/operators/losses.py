@@ -116,8 +116,10 @@ def sppo_loss(difference: Column, reward: Column, eta: float) -> Column:
 
 
 def ce_reward_loss(total: Column, right: Column, beta: float) -> Column:
-    """Binary cross-entropy of the sigmoid of beta times a sequence's total."""
-    return F.when(right, F.log1p(F.exp(-beta * total))).otherwise(F.log1p(F.exp(beta * total)))
+    """Binary cross-entropy of the sigmoid of beta times a sequence's total, from a form that no length overflows; a
+    logarithm counts as -100 at least."""
+    x = F.when(right, -beta * total).otherwise(beta * total)
+    return F.least(F.lit(100.0), F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x))))
 
 
 def dense_flops(length: Column, weights: int, head: int, heads: int, layers: int) -> Column:

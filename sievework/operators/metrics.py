@@ -2,11 +2,10 @@
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.shipping import ship
+from sievework.operators.batch import with_row_id
 
 
 def explained_variance(returns: Column, values: Column) -> Column:
@@ -43,25 +42,22 @@ def expected_best(df: DataFrame, keys: list[str], score: str, n: int, worst: boo
     return df.withColumn("chance", share(i) - share(i - 1)).groupBy(*keys).agg(F.sum(F.col("chance") * F.col(score)).alias("expected"))
 
 
-def bootstrap(df: DataFrame, keys: list[str], value: str, size: int, reducers: dict[str, Callable], draws: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean and population deviation of each reducer over resamples with replacement, with the seed reset per group."""
-    fields = ", ".join(f"{name}_{what} double" for name in reducers for what in ("mean", "std"))
+def hashed_unit(*parts: Column) -> Column:
+    """A number of [0, 1) from 52 bits of the md5 of the parts, joined by colons."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
 
-        random = np.random.RandomState(seed)
-        data = rows[value].sort_values().to_numpy()
-        picks = data[random.randint(0, len(data), (draws, size))]
-        out = list(key)
-        for f in reducers.values():
-            each = f(picks, axis=1)
-            out += [float(each.mean()), float(each.std())]
-        return pd.DataFrame([out])
-
-    ship(df.sparkSession)
-    types = dict(df.dtypes)
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", " + fields)
+def bootstrap(df: DataFrame, keys: list[str], value: str, order: str, size: int, reducers: dict[str, Callable[[Column], Column]], draws: int = 1000, seed: int = 42) -> DataFrame:
+    """Mean and population deviation of each reducer, an aggregate, over ``draws`` resamples of ``size`` rows with
+    replacement. Rows are numbered over all groups in ``order``; a resample picks numbers by hashes of its place, and
+    picks meet rows by number, so that a group of any size costs ``draws * size`` picks and is no single task's work."""
+    placed = with_row_id(df.select(*keys, F.col(value).alias("value_"), F.struct(*keys, order).alias("place_")), "place_")
+    groups = placed.groupBy(*keys).agg(F.count("*").alias("rows_"), F.min("row_id").alias("first_"))
+    picks = groups.withColumn("draw_", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("slot_", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    at = F.floor(hashed_unit(F.lit(seed), *map(F.col, [*keys, "draw_", "slot_"])) * F.col("rows_"))
+    picks = picks.select(*keys, "draw_", (F.col("first_") + at).alias("row_id"))
+    each = picks.join(placed.select("row_id", "value_"), "row_id").groupBy(*keys, "draw_").agg(*(f(F.col("value_")).alias(name) for name, f in reducers.items()))
+    return each.groupBy(*keys).agg(*(f(name).alias(f"{name}_{what}") for name in reducers for what, f in (("mean", F.avg), ("std", F.stddev_pop))))
 
 
 def histogram(df: DataFrame, value: str, bins: list[tuple[int, int]]) -> DataFrame:
@@ -72,14 +68,30 @@ def histogram(df: DataFrame, value: str, bins: list[tuple[int, int]]) -> DataFra
     return totals.selectExpr("n", f"stack({len(bins)}, {names}) AS (bin, count)").select("bin", "count", F.round(100 * F.col("count") / F.col("n"), 2).alias("percent"))
 
 
-def pair_agreement(df: DataFrame, key: str, order: str, score: str, acc: str) -> DataFrame:
+def pair_agreement(df: DataFrame, key: str, score: str, acc: str) -> DataFrame:
     """Per group the share of pairs, weighted by their difference in accuracy, whose scores are in the same order; 0.5
-    without a difference. Pairs of equal accuracy weigh nothing, so that a group's rows meet by accuracy only."""
-    a, b = df.select(key, F.col(order).alias("i"), F.col(score).alias("si"), F.col(acc).alias("ai")), df.select(key, F.col(order).alias("j"), F.col(score).alias("sj"), F.col(acc).alias("aj"))
-    pairs = a.join(b, key).where("i < j AND ai <> aj")
-    weight, same = F.abs(F.col("ai") - F.col("aj")), (F.signum(F.col("si") - F.col("sj")) == F.signum(F.col("ai") - F.col("aj"))).cast("double")
-    per = pairs.groupBy(key).agg((F.sum(weight * same) / F.sum(weight)).alias("agreement"))
-    return df.select(key).distinct().join(per, key, "left").withColumn("agreement", F.coalesce("agreement", F.lit(0.5)))
+    without a difference. No pair is made: two scores' ranks differ first in one bit, where they part into a left and a
+    right half under a common prefix, so that for each bit and prefix running counts and sums in order of accuracy give
+    the weight of all pairs that lie left and right. Equal (score, accuracy) are counted first; n log n rows in all."""
+    some = df.where(F.col(acc).isNotNull()).groupBy(key, F.col(score).alias("s"), F.col(acc).cast("double").alias("a")).agg(F.count("*").alias("m"))
+
+    def weight(cells: DataFrame, by: list[str], total: str) -> DataFrame:
+        """The sum over ``right`` rows of their distance to all ``left`` ones of less accuracy."""
+        run = Window.partitionBy(*by).orderBy("a").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        each = F.col("right") * (F.col("a") * F.sum("left").over(run) - F.sum(F.col("left") * F.col("a")).over(run))
+        return cells.withColumn("w", each).groupBy(key).agg(F.sum("w").alias(total))
+
+    count = F.sum("m")
+    every = weight(some.groupBy(key, "a").agg(count.alias("left"), count.alias("right")), [key], "every")
+    group = Window.partitionBy(key)
+    ranked = some.where(F.col("s").isNotNull()).withColumn("rank", (F.dense_rank().over(group.orderBy("s")) - 1).cast("long"))
+    ranked = ranked.withColumn("bits", F.length(F.bin(F.max("rank").over(group))) - 1)
+    bit = F.explode(F.sequence(F.lit(0), F.col("bits"))).alias("bit")
+    halves = ranked.select(key, "a", "m", "rank", bit).withColumn("side", F.expr("(rank >> bit) & 1")).withColumn("prefix", F.expr("rank >> (bit + 1)"))
+    cells = halves.groupBy(key, "bit", "prefix", "a").agg(F.sum(F.col("m") * (1 - F.col("side"))).alias("left"), F.sum(F.col("m") * F.col("side")).alias("right"))
+    same = weight(cells, [key, "bit", "prefix"], "same")
+    share = F.when(F.col("every") > 0, F.coalesce("same", F.lit(0.0)) / F.col("every"))
+    return df.select(key).distinct().join(every, key, "left").join(same, key, "left").select(key, F.coalesce(share, F.lit(0.5)).alias("agreement"))
 
 
 def console_line(metrics: Column, step: Column) -> Column:

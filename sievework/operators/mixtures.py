@@ -46,16 +46,21 @@ def train_test_split(df: DataFrame, test: float, seed: int, key: str) -> tuple[D
 
 def resampled(df: DataFrame, weight: Column, n: int, seed: int, order: str) -> DataFrame:
     """``n`` draws with replacement by weight, with ``draw`` from 0: uniform numbers meet the running sum of weights.
-    The sum is taken in ranges of the order, and a draw finds its range by an equi-join on a bin of the unit interval."""
-    bins = 4096
+    The sum is taken in ranges of the order, and a draw finds its range by an equi-join on a bin of the unit interval;
+    bins grow with rows and draws, so that a bin meets some thousand of each."""
+    bins = max(4096, max(df.count(), n) // 1024)
     rows = with_row_id(df.withColumn("w", weight + 1e-8), order)
     bucket = F.pmod(F.col("row_id"), F.lit(1 << 62)).cast("long")
     sums = rows.groupBy((bucket / 4096).cast("long").alias("g")).agg(F.sum("w").alias("gw"))
-    before = sums.withColumn("before", F.coalesce(F.sum("gw").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    total = sums.agg(F.sum("gw").alias("total"))
-    placed = rows.withColumn("g", (bucket / 4096).cast("long")).join(before.select("g", "before"), "g").crossJoin(F.broadcast(total))
-    high = (F.col("before") + F.sum("w").over(Window.partitionBy("g").orderBy("row_id"))) / F.col("total")
-    placed = placed.withColumn("high", high).withColumn("low", F.col("high") - F.col("w") / F.col("total"))
+    # neighbours share their bound to the last bit, within a range by equal running sums and between ranges by its end
+    ranges = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = sums.withColumn("after", F.sum("gw").over(ranges)).withColumn("before", F.coalesce(F.lag("after").over(Window.orderBy("g")), F.lit(0.0)))
+    total = before.agg(F.max("after").alias("total"))
+    placed = rows.withColumn("g", (bucket / 4096).cast("long")).join(before.select("g", "before", "after"), "g").crossJoin(F.broadcast(total))
+    own = Window.partitionBy("g").orderBy("row_id")
+    running = F.col("before") + F.sum("w").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = placed.withColumn("running", F.when(F.lead("row_id").over(own).isNull(), F.col("after")).otherwise(F.least(running, "after")))
+    placed = placed.withColumn("low", F.coalesce(F.lag("running").over(own), "before") / F.col("total")).withColumn("high", F.col("running") / F.col("total"))
     spread = placed.withColumn("bin", F.explode(F.sequence(F.floor(F.greatest(F.lit(0.0), F.col("low")) * bins), F.least(F.lit(bins - 1).cast("bigint"), F.floor(F.col("high") * bins)))))
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11).cast("double") / float(1 << 53)
     draws = df.sparkSession.range(n).withColumn("u", unit).select(F.col("id").alias("draw"), "u", F.floor(F.col("u") * bins).alias("bin"))

@@ -125,12 +125,12 @@ def r36_evaluation_ladder(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT doc_id, source, len(string_split(text, ' ')) AS n, doc_id % 2 = 0 AS ok, text FROM documents)
-SELECT doc_id, round(CASE WHEN n >= 400 THEN NULL ELSE CASE WHEN ok THEN 0.5 + 0.25 * (1 + cos(n / 400.0 * pi())) ELSE -0.5 - 0.25 * (1 + cos(n / 400.0 * pi())) END END, 6) AS cosine,
+SELECT doc_id, round(CASE WHEN ok THEN 0.5 + 0.25 * (1 + cos(n / 400.0 * pi())) ELSE -0.5 - 0.25 * (1 + cos(n / 400.0 * pi())) END, 6) AS cosine,
   CASE WHEN n <= 80 THEN 0.0 WHEN n <= 400 THEN (80 - n) / 320.0 ELSE -1.0 END AS overlong, least(-(n - 80) / 320.0 * 1.5, 0.0) AS penalty FROM t""")
 def r22_r24_r29_length_rewards(spark: SparkSession, sf: str) -> DataFrame:
     n = F.size(F.split("text", " "))
     return table(spark, sf, "documents").select(
-        "doc_id", F.round(F.when(n < 400, T.cosine_reward(F.col("doc_id") % 2 == 0, n, 400)), 6).alias("cosine"), T.soft_overlong(n, 400, 320).alias("overlong"), T.overlong_penalty(n, 400, 320, 1.5).alias("penalty"))
+        "doc_id", F.round(T.cosine_reward(F.col("doc_id") % 2 == 0, n, 400), 6).alias("cosine"), T.soft_overlong(n, 400, 320).alias("overlong"), T.overlong_penalty(n, 400, 320, 1.5).alias("penalty"))
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),

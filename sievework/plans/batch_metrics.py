@@ -56,12 +56,15 @@ def a6_reduce_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return M.reduce_metrics(long).select("metric", F.round("value", 5).alias("value"))
 
 
-@query()
+@query(f"""WITH {SCORED}, p AS (SELECT uid, score, row_number() OVER (PARTITION BY uid ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY uid) AS m FROM s),
+k AS (SELECT uid, draw, floor(('0x' || substr(md5('42:' || uid || ':' || draw || ':' || slot), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * m)::BIGINT AS i
+  FROM (SELECT DISTINCT uid, m FROM p), (SELECT unnest(range(1000)) AS draw), (SELECT unnest(range(8)) AS slot)),
+d AS (SELECT k.uid, draw, avg(score) AS mean, max(score) AS best FROM k JOIN p ON p.uid = k.uid AND p.i = k.i GROUP BY ALL)
+SELECT uid, round(avg(mean), 6) AS mean_mean, round(stddev_pop(mean), 6) AS mean_std, round(avg(best), 6) AS max_mean, round(stddev_pop(best), 6) AS max_std FROM d GROUP BY uid""")
 def a7_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Resampled mean and maximum per source; the test holds it against the closed form."""
-    import numpy as np
-
-    return M.bootstrap(scored(spark, sf), ["uid"], "score", 8, {"mean": np.mean, "max": np.max})
+    """1,000 resamples of 8 scores per source: their mean and maximum. A test holds it against the closed form."""
+    made = M.bootstrap(scored(spark, sf), ["uid"], "score", "doc_id", 8, {"mean": F.avg, "max": F.max})
+    return made.select("uid", *(R6(F.col(c), c) for c in made.columns if c != "uid"))
 
 
 @query(f"""WITH {SCORED}, o AS (SELECT uid, score, row_number() OVER (PARTITION BY uid ORDER BY score) AS i, count(*) OVER (PARTITION BY uid) AS m FROM s)
@@ -177,7 +180,7 @@ def a27_u13_collect(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {SCORED}, p AS (SELECT a.uid, abs(a.score - b.score) AS w, (sign(a.len - b.len) = sign(a.score - b.score))::INT AS ok FROM s a JOIN s b ON a.uid = b.uid AND a.doc_id < b.doc_id AND a.score <> b.score),
 g AS (SELECT uid, sum(w * ok) / sum(w) AS v FROM p GROUP BY uid) SELECT uid, round(coalesce(v, 0.5), 6) AS agreement FROM (SELECT DISTINCT uid FROM s) LEFT JOIN g USING (uid)""")
 def a28_j13_pair_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    return M.pair_agreement(scored(spark, sf), "uid", "doc_id", "len", "score").select("uid", R6(F.col("agreement"), "agreement"))
+    return M.pair_agreement(scored(spark, sf), "uid", "len", "score").select("uid", R6(F.col("agreement"), "agreement"))
 
 
 @query(f"WITH {SCORED} SELECT round(avg((sign(len - 300) = sign(2 * (score = 1)::INT - 1))::INT), 6) AS accuracy FROM s")

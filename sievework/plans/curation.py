@@ -238,6 +238,13 @@ def x10_x17_t19_boxes_and_equality(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.boxed_answer(text).alias("boxed"), X.is_equivalent(a, F.lit("1/2")).alias("equal"), X.is_math_equal(a, F.lit("\\dfrac{1}{2}")).alias("math"))
 
 
+@query("""SELECT p_partkey, round(1 - 2.0 * len(list_distinct(flatten(list_transform(range(len(p_name)), lambda i: list_transform(range(i + 1, len(p_name) + 1), lambda j: substr(p_name, i + 1, j - i))))))
+  / (len(p_name) * (len(p_name) + 1)), 9) AS repeatness FROM part""")
+def v9_repeatness_of_names(spark: SparkSession, sf: str) -> DataFrame:
+    """On short texts; the SQL counts distinct substrings: what isn't distinct is what common prefixes of suffixes sum to."""
+    return table(spark, sf, "part").select("p_partkey", F.round(X.repeatness_score(F.col("p_name")), 9).alias("repeatness"))
+
+
 @query()
 def v9_repeatness(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", (X.repeatness_score(F.col("text")) > 0.2).alias("repeats"))

@@ -29,8 +29,13 @@ def query(sql: str | None = None):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}"
+    """A folder that driver and executors share; only in local mode, where all are one process, a temporary one does."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base}/sievework-{uuid.uuid4().hex}"
 
 
@@ -97,11 +102,10 @@ def s1_u1_parquet_files(spark: SparkSession, sf: str) -> DataFrame:
     return io.parquet(spark, f"{sf}/documents.parquet", f"{sf}/documents.parquet").select("doc_id", "source")
 
 
-@query("SELECT doc_id, source AS prompt, lang AS response FROM documents")
+@query("SELECT source AS prompt, lang AS response FROM documents")
 def s2_nested_keys(spark: SparkSession, sf: str) -> DataFrame:
     nested = table(spark, sf, "documents").select("doc_id", F.struct(F.struct(F.col("source").alias("q")).alias("a"), F.col("lang").alias("b")).alias("extra"))
-    drilled = io.prompts_and_responses(nested.select("extra"), ["extra", "a", "q"], ["extra", "b"])
-    return nested.select("doc_id", F.col("extra.a.q").alias("prompt"), F.col("extra.b").alias("response")) if drilled.columns == ["prompt", "response"] else drilled
+    return io.prompts_and_responses(nested, ["extra", "a", "q"], ["extra", "b"])
 
 
 @query("SELECT source AS prompt, text AS chosen, lang AS rejected FROM documents")

@@ -123,7 +123,7 @@ def test_majority(spark):
 
 def test_bootstrap_is_near_its_closed_form(spark):
     df = spark.createDataFrame([("g", float(i)) for i in range(1, 6)], "g string, v double")
-    r = metrics.bootstrap(df, ["g"], "v", 3, {"mean": np.mean, "max": np.max}).first()
+    r = metrics.bootstrap(df, ["g"], "v", "v", 3, {"mean": F.avg, "max": F.max}).first()
     best = metrics.expected_best(df, ["g"], "v", 3).first()["expected"]
     assert abs(r["mean_mean"] - 3) < 0.3 and 3.5 < r["max_mean"] < 5 and r["max_mean"] == pytest.approx(best, abs=0.1)
 
@@ -232,11 +232,11 @@ def test_math_equal(a, b, want):
 
 def test_boxes():
     assert X.unboxed(X.last_boxed("a \\boxed{1} b \\boxed{x{y}z}")) == "x{y}z" and X.last_boxed("none") is None and X.unboxed(X.last_boxed("$\\boxed 7$ so")) == "7"
-    assert X.repeatness("a") == 0 and X.repeatness("ab" * 50) > 0.2 > X.repeatness("the quick brown fox jumps")
+    assert X.repeatness(["a"]) == [0] and X.repeatness(["ab" * 50])[0] > 0.2 > X.repeatness(["the quick brown fox jumps"])[0]
     s = "banana"
     suffixes = sorted(s[i:] for i in range(6))
     lcp = sum(next((k for k, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b))) for a, b in zip(suffixes, suffixes[1:]))
-    assert X.repeatness(s) == pytest.approx(2 * lcp / 42)
+    assert X.repeatness([None, s, ""])[1] == pytest.approx(2 * lcp / 42)
 
 
 def test_answer_ladder_order(spark):
@@ -309,3 +309,57 @@ def test_matched_and_plain_answers(spark):
     df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(answers)], "i int, a string")
     got = {r["i"]: r["p"] for r in df.select("i", M.plain_answer(F.col("a")).alias("p")).collect()}
     assert got == {i: want for i, (_, want) in enumerate(answers)}
+
+
+def test_pair_agreement_equals_pairs(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(g, float(rnd.integers(0, 6)) if g else None, float(rnd.integers(0, 4)) / 3) for g in range(4) for _ in range(1 + 20 * g)]
+    rows += [(9, 1.0, None), (9, None, 0.5), (9, 2.0, 0.25), (9, 3.0, 0.75)]
+
+    def brute(mine: list) -> float:
+        w = ok = 0.0
+        for i, (_, s, a) in enumerate(mine):
+            for _, t, b in mine[i + 1 :]:
+                if a is not None and b is not None and a != b:
+                    w += abs(a - b)
+                    ok += abs(a - b) * (s is not None and t is not None and np.sign(s - t) == np.sign(a - b))
+        return ok / w if w else 0.5
+
+    df = spark.createDataFrame(rows, "g int, s double, a double")
+    got = {r["g"]: r["agreement"] for r in metrics.pair_agreement(df, "g", "s", "a").collect()}
+    assert got == pytest.approx({g: brute([r for r in rows if r[0] == g]) for g in {r[0] for r in rows}})
+
+
+def test_pair_agreement_of_a_large_group(spark):
+    df = spark.range(1_000_000).select((F.col("id") % 2 * 0).alias("g"), (F.col("id") * 7919 % 1_000_003).cast("double").alias("s"), (F.col("id") * 7919 % 1_000_003 / 1e6).alias("a"))
+    assert metrics.pair_agreement(df, "g", "s", "a").first()["agreement"] == pytest.approx(1.0)
+
+
+def test_bootstrap_of_a_large_group(spark):
+    df = spark.range(300_000).select(F.lit("g").alias("g"), (F.col("id") % 1000 / 1000.0).alias("v"), "id")
+    r = metrics.bootstrap(df, ["g"], "v", "id", 4, {"mean": F.avg, "max": F.max, "least": F.min}, draws=500).first()
+    assert r["mean_mean"] == pytest.approx(0.4995, abs=0.03) and r["max_mean"] == pytest.approx(0.8, abs=0.03) and r["least_mean"] == pytest.approx(0.2, abs=0.03)
+
+
+def test_repeatness_by_brute_force():
+    rnd = np.random.default_rng(11)
+    texts = ["".join(rnd.choice(list("abé\U0001f600"), rnd.integers(0, 40))) for _ in range(60)] + [None, "", "x", "aaaa" * 30]
+
+    def brute(t: str | None) -> float:
+        n = len(t or "")
+        return 1 - 2 * len({t[i:j] for i in range(n) for j in range(i + 1, n + 1)}) / (n * (n + 1)) if n > 1 else 0.0
+
+    assert X.repeatness(texts) == pytest.approx([brute(t) for t in texts])
+    assert X.repeatness(["ab" * 100_000])[0] > 0.99
+
+
+def test_resampled_bins_grow(spark):
+    df = spark.range(50_000).withColumn("w", F.when(F.col("id") < 25_000, 3.0).otherwise(1.0))
+    rows = mixtures.resampled(df, F.col("w"), 5_000_000, 2, "id").agg(F.count("*").alias("n"), F.count_if(F.col("id") < 25_000).alias("low")).first()
+    assert rows["n"] == 5_000_000 and rows["low"] / 5e6 == pytest.approx(0.75, abs=0.002)
+
+
+def test_cross_entropy_of_long_sequences(spark):
+    rows = spark.createDataFrame([(20000.0, True), (20000.0, False), (-20000.0, True), (0.0, True), (1e9, False)], "t double, ok boolean")
+    got = [r[0] for r in rows.select(losses.ce_reward_loss(F.col("t"), F.col("ok"), 0.01)).collect()]
+    assert got == pytest.approx([0.0, 100.0, 100.0, math.log(2), 100.0])
