@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import answers, batch_metrics, curation, equality, extras, grading, rollouts, truthfulness
+from sievework.plans import answers, batch_metrics, curation, equality, extras, grading, rollouts, stateful, truthfulness
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (truthfulness, answers, rollouts, batch_metrics, curation, extras, grading, equality):
+for _module in (truthfulness, answers, rollouts, batch_metrics, curation, extras, grading, equality, stateful):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -21,15 +21,16 @@ def step_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.groupBy("step").agg(F.count("*").alias("rows"), F.avg("score").alias("score"))
 
 
-def accumulate_groups(stream: DataFrame, key: str, wanted: int, target: str, checkpoint: str, keep: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+def accumulate_groups(stream: DataFrame, key: str, wanted: int, target: str, checkpoint: str, keep: Callable[[DataFrame], DataFrame], most: int = 0) -> StreamingQuery:
     """Filtered groups of each batch are appended to ``target`` until ``wanted`` groups are there; later batches add
-    nothing. A batch writes to a folder of its own, so that a repeated batch replaces itself."""
+    nothing. A batch writes to a folder of its own, so that a repeated batch replaces itself. If ``most`` batches have
+    passed without enough groups, the query fails; batches are numbered by the checkpoint, so that a restart counts on."""
 
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         good = keep(batch)
         try:
-            held = spark.read.parquet(target).where(F.col("batch") != number).select(key).distinct()
+            held = spark.read.parquet(target).where(F.col("batch") < number).select(key).distinct()
             n = held.count()
             good = good.join(held, key, "left_anti")
         except Exception as e:
@@ -39,10 +40,20 @@ def accumulate_groups(stream: DataFrame, key: str, wanted: int, target: str, che
         if n < wanted:
             groups = good.select(key).distinct().orderBy(key).limit(wanted - n)
             good.join(groups, key, "left_semi").write.mode("overwrite").parquet(f"{target}/batch={number}")
+            if most and number + 1 >= most:
+                n = spark.read.parquet(target).where(F.col("batch") <= number).select(key).distinct().count()
+                if n < wanted:
+                    raise RuntimeError(f"{n} of {wanted} groups after {number + 1} batches")
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def accumulated(spark: SparkSession, target: str, rows: int, *order: str) -> DataFrame:
+    """The first ``rows`` rows that ``accumulate_groups`` has gathered, by batch and ``order``."""
+    held = spark.read.parquet(target)
+    return held.orderBy("batch", *order).limit(rows)
+
+
 def adaptive_coefficient(stream: DataFrame, start: float, target: float, horizon: int) -> DataFrame:
     """run, steps, beta: the KL coefficient of each run after the steps (run, step, kl, n) of a batch, as carried state."""
 
