@@ -1,5 +1,10 @@
 """A training corpus from ``documents``: quality rules, near-duplicate removal, masking of personal data, mixing of
-sources and encoding, each stage written as Parquet and read again as the next one's documents."""
+sources and encoding, each stage written as Parquet and read again as the next one's documents.
+
+Defined cases: a null, blank or short text fails the quality rules and goes; rows that repeat a doc_id are judged one by
+one, and of those with equal texts one stays after near_dedup; a null doc_id is kept as it is, linked with nothing; null
+sources, langs and sizes are values like others; an empty table gives no rows; extra columns are carried up to the last
+stage, which returns doc_id, n_tokens and ids; a document that the mix takes several times has as many rows."""
 
 from __future__ import annotations
 
