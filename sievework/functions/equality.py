@@ -10,6 +10,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from sievework.functions import latex
@@ -262,6 +263,11 @@ def verified(reply: str | None, truth: str | None) -> float | None:
     return float(math_equal(latex.unboxed(latex.last_boxed(reply)), gold))
 
 
+def numeric_equal(a: Column, b: Column, tolerance: float = 1e-4) -> Column:
+    """Whether two numbers differ by no more than a share of the larger one."""
+    return F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b))
+
+
 def _pairwise(f, kind: str, a: Column, b: Column) -> Column:
     ship(SparkSession.active())
 

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.operators.batch import concat, with_row_id
+from sievework.operators.metrics import hashed_unit
 
 
 def hash_order(seed: int, *keys: str) -> Column:
-    return F.xxhash64(F.lit(seed), *keys)
+    """A text by which rows are in seeded order: the md5 of seed and keys, joined by colons."""
+    return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), *(F.col(k).cast("string") for k in keys)))
 
 
 def first_by_hash(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
@@ -62,7 +64,6 @@ def resampled(df: DataFrame, weight: Column, n: int, seed: int, order: str) -> D
     placed = placed.withColumn("running", F.when(F.lead("row_id").over(own).isNull(), F.col("after")).otherwise(F.least(running, "after")))
     placed = placed.withColumn("low", F.coalesce(F.lag("running").over(own), "before") / F.col("total")).withColumn("high", F.col("running") / F.col("total"))
     spread = placed.withColumn("bin", F.explode(F.sequence(F.floor(F.greatest(F.lit(0.0), F.col("low")) * bins), F.least(F.lit(bins - 1).cast("bigint"), F.floor(F.col("high") * bins)))))
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11).cast("double") / float(1 << 53)
-    draws = df.sparkSession.range(n).withColumn("u", unit).select(F.col("id").alias("draw"), "u", F.floor(F.col("u") * bins).alias("bin"))
+    draws = df.sparkSession.range(n).withColumn("u", hashed_unit(F.lit(seed), F.col("id"))).select(F.col("id").alias("draw"), "u", F.floor(F.col("u") * bins).alias("bin"))
     hit = draws.join(spread, "bin").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
     return hit.select("draw", *df.columns)

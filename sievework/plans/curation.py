@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sievework.functions import arrays as A
 from sievework.functions import latex as X
 from sievework.functions import text as T
+from sievework.functions.equality import numeric_equal
+from sievework.functions.final_answer import tool_use_score
 from sievework.operators import balance, mixtures, pairs, prep, retrieval
 from sievework.operators.batch import gathered, with_row_id
 from sievework.plans.standins import SCORED, scored, table
@@ -216,17 +218,18 @@ def v4_tool_result(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", r["query"].alias("query"), r["titles"].alias("titles"), r["results"].alias("results"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE least(-1.0 + (doc_id % 9 - 2) / 2 * 0.1, 0) END::DOUBLE AS score FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE least(-1.0 + (doc_id % 9 - 2) / 2 * 0.1, 0) END::DOUBLE AS score, (n_chars + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END)::VARCHAR AS pred FROM documents")
 def v6_tool_score(spark: SparkSession, sf: str) -> DataFrame:
     """A wrong answer gains for its tool turns, up to 0."""
-    turns = F.col("doc_id") % 9
-    return table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(F.least(-1.0 + (turns - 2) / 2 * 0.1, F.lit(0.0))).alias("score"))
+    answer = F.when(F.col("doc_id") % 2 == 0, F.col("n_chars")).otherwise(F.col("n_chars") + 1).cast("string")
+    s = tool_use_score(F.concat(F.lit("so \\boxed{"), answer, F.lit("}")), F.col("n_chars").cast("string"), F.col("doc_id") % 9)
+    return table(spark, sf, "documents").select("doc_id", s["score"].alias("score"), s["pred"].alias("pred"))
 
 
-@query("SELECT p_partkey, abs(p_retailprice - p_size) <= 1e-4 * greatest(abs(p_retailprice), abs(p_size)) AS equal FROM part")
+@query("SELECT p_partkey, abs(p_retailprice - p_size * 25) <= 0.25 * greatest(abs(p_retailprice), abs(p_size * 25)) AS equal FROM part")
 def v11_numeric_equal(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = F.col("p_retailprice"), F.col("p_size").cast("double")
-    return table(spark, sf, "part").select("p_partkey", (F.abs(a - b) <= 1e-4 * F.greatest(F.abs(a), F.abs(b))).alias("equal"))
+    equal = numeric_equal(F.col("p_retailprice"), F.col("p_size") * 25.0, 0.25)
+    return table(spark, sf, "part").select("p_partkey", equal.alias("equal"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{' || source || '}' ELSE source END AS boxed, doc_id % 3 <> 2 AS equal, doc_id % 3 <> 2 AS math FROM documents")
@@ -305,54 +308,66 @@ def k6_sorted_results(spark: SparkSession, sf: str) -> DataFrame:
     return rows.orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id", "score")
 
 
-@query("SELECT count(*) AS rows, true AS known FROM (SELECT 1 FROM documents LIMIT 10)")
+@query("SELECT doc_id, source FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 10")
 def k7_logged_generations(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    picked = mixtures.first_by_hash(docs, 10, 42, "doc_id")
-    return picked.join(docs.select("doc_id"), "doc_id", "left_semi").agg(F.count("*").alias("rows"), F.lit(True).alias("known"))
+    return mixtures.first_by_hash(table(spark, sf, "documents").select("doc_id", "source"), 10, 42, "doc_id")
 
 
-@query("SELECT lang, CASE lang WHEN 'en' THEN floor(count(*) * 0.25) WHEN 'fr' THEN floor(count(*) * 0.5) ELSE count(*) END::BIGINT AS n FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY lang")
+@query("""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+SELECT doc_id, lang FROM r WHERE i <= CASE lang WHEN 'en' THEN floor(n * 0.25) WHEN 'fr' THEN floor(n * 0.5) WHEN 'de' THEN n END""")
 def k8_mixture(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "lang")
     parts = [(docs.where(F.col("lang") == lang), weight) for lang, weight in (("en", 0.25), ("fr", 0.5), ("de", None))]
-    return mixtures.mixture(parts, "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
+    return mixtures.mixture(parts, "doc_id")
 
 
-@query("SELECT 'train' AS split, count(*) - ceil(count(*) * 0.2)::BIGINT AS n FROM documents UNION ALL SELECT 'test', ceil(count(*) * 0.2)::BIGINT FROM documents")
+@query("""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('1:' || doc_id), doc_id) <= ceil(count(*) OVER () * 0.2 - 1e-9) THEN 'test' ELSE 'train' END AS split FROM documents""")
 def k9_split(spark: SparkSession, sf: str) -> DataFrame:
     train, test = mixtures.train_test_split(table(spark, sf, "documents").select("doc_id"), 0.2, 1, "doc_id")
-    return train.agg(F.lit("train").alias("split"), F.count("*").alias("n")).unionByName(test.agg(F.lit("test").alias("split"), F.count("*").alias("n")))
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
 
 
-@query("SELECT count(*) AS n, count(*) AS places FROM documents")
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('3:' || doc_id), doc_id) - 1 AS row_id FROM documents")
 def k10_sampler(spark: SparkSession, sf: str) -> DataFrame:
-    """A seeded random order: every row once."""
-    rows = with_row_id(table(spark, sf, "documents").withColumn("h", F.struct(mixtures.hash_order(3, "doc_id"), "doc_id")), "h")
-    return rows.agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("places"))
+    """A seeded random order."""
+    rows = with_row_id(table(spark, sf, "documents").select("doc_id", F.struct(mixtures.hash_order(3, "doc_id"), "doc_id").alias("h")), "h")
+    return rows.select("doc_id", "row_id")
 
 
-@query("SELECT 500::BIGINT AS draws, true AS right_rows")
+@query(f"""WITH {SCORED}, w AS (SELECT doc_id, score, score * score + 1e-8::DOUBLE AS w FROM s),
+c AS (SELECT doc_id, score, sum(w) OVER (ORDER BY doc_id) / sum(w) OVER () AS high, w / sum(w) OVER () AS share FROM w),
+d AS (SELECT i AS draw, ('0x' || substr(md5('5:' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM (SELECT unnest(range(500)) AS i))
+SELECT draw::BIGINT AS draw, doc_id, score FROM d ASOF JOIN c ON d.u < c.high""")
 def k11_resample(spark: SparkSession, sf: str) -> DataFrame:
-    """500 draws by squared score; rows of score 0 have next to no weight."""
+    """500 draws by squared score."""
     rows = mixtures.resampled(scored(spark, sf), F.pow(F.abs("score"), F.lit(2.0)), 500, 5, "doc_id")
-    return rows.agg(F.count("*").alias("draws"), (F.count_if(F.col("score") == 0) <= 1).alias("right_rows"))
+    return rows.select("draw", "doc_id", "score")
 
 
-@query("SELECT source AS batch, count(*) AS items, 4::BIGINT AS parts, true AS restored FROM documents GROUP BY source")
+@query("""SELECT source AS batch, count(*) AS items, 4::BIGINT AS parts, sum(n_chars)::BIGINT AS total, true AS restored, true AS even FROM documents GROUP BY source""")
 def k20_k25_balanced(spark: SparkSession, sf: str) -> DataFrame:
-    """Four parts per source by largest differencing; the old order comes back by place."""
+    """Four parts per source by largest differencing: their totals sum to the source's, differ by no more than its
+    longest item, and the old order comes back by place."""
     docs = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
     parts = balance.partitioned(docs, "source", "doc_id", "n_chars", lambda rows, total: 4)
-    return parts.groupBy(F.col("source").alias("batch")).agg(F.count("*").alias("items"), F.count_distinct("part").alias("parts"), (F.count_distinct("place") == F.count("*")).alias("restored"))
-
-
-@query("SELECT source, least(count(*), ceil(sum(n_chars) / 20000.0))::BIGINT AS parts FROM documents GROUP BY source")
+    sums = balance.part_sums(parts, docs, "source", "doc_id", "n_chars").groupBy("source").agg(
+        F.sum("items").alias("items"), F.count("*").alias("parts"), F.sum("total").alias("total"), (F.max("total") - F.min("total")).alias("spread"))
+    old = Window.partitionBy("source").orderBy("doc_id")
+    back = docs.withColumn("was", F.row_number().over(old) - 1).join(parts, ["source", "doc_id"])
+    checked = back.groupBy("source").agg(F.bool_and(F.col("was") == F.col("place")).alias("restored"), F.max("n_chars").alias("longest"))
+    return sums.join(checked, "source").select(F.col("source").alias("batch"), "items", "parts", "total", "restored", (F.col("spread") <= F.col("longest")).alias("even"))
+
+
+@query("""WITH g AS (SELECT source, list(n_chars ORDER BY doc_id) AS n, list(doc_id ORDER BY doc_id) AS d, least(count(*), ceil(sum(n_chars) / 20000.0))::BIGINT AS k FROM documents GROUP BY source),
+f AS (SELECT source, k, list_reduce(list_prepend({'sums': list_transform(range(k), lambda i: 0::BIGINT), 'at': 0::BIGINT, 'n': 0::BIGINT}, list_transform(n, lambda x: {'sums': []::BIGINT[], 'at': 0::BIGINT, 'n': x::BIGINT})),
+  lambda a, x: {'sums': list_transform(a.sums, lambda s, i: s + CASE WHEN i = list_position(a.sums, list_min(a.sums)) THEN x.n ELSE 0 END), 'at': 0::BIGINT, 'n': 0::BIGINT}).sums AS sums FROM g)
+SELECT source, k AS parts, list_sort(sums) AS totals FROM f""")
 def k21_k23_micro_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy parts, as many as the token limit asks for."""
+    """Greedy parts, as many as the token limit asks for, and their totals."""
     docs = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
     parts = balance.partitioned(docs, "source", "doc_id", "n_chars", lambda rows, total: balance.micro_batch_count(rows, total, 20_000), method=balance.greedy)
-    return parts.groupBy("source").agg(F.count_distinct("part").alias("parts"))
+    sums = balance.part_sums(parts, docs, "source", "doc_id", "n_chars")
+    return sums.groupBy("source").agg(F.count("*").alias("parts"), F.array_sort(F.collect_list("total")).alias("totals"))
 
 
 @query("SELECT page_id, regexp_replace(url, 'https?', 'LINK') AS url FROM pages")

@@ -69,12 +69,12 @@ def r28_r30_placed_rewards(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.size("tokens").alias("n"), F.element_at("tokens", -1).alias("last"), F.aggregate("tokens", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query(f"WITH {TOKENS} SELECT count(*) AS n, true AS banded FROM k")
+@query(f"""WITH {TOKENS}, c AS (SELECT *, (reward - avg(reward) OVER ()) * (ref_logp - avg(ref_logp) OVER ()) AS cov FROM k)
+SELECT event_id, round(CASE WHEN cov > 0.01 AND cov < 0.2 THEN 0 ELSE -reward * exp(ref_logp - old_logp) END, 6) AS loss FROM c""")
 def t6_clip_cov_loss(spark: SparkSession, sf: str) -> DataFrame:
-    """A band that no covariance lies in changes no token's loss."""
-    plain = L.clip_cov_loss(tokens(spark, sf), "old_logp", "ref_logp", "reward", 1e9, 2e9, 1.0, 1, "event_id")
-    same = F.abs(F.col("loss") + F.col("reward") * F.exp(F.col("ref_logp") - F.col("old_logp"))) < 1e-9
-    return plain.agg(F.count("*").alias("n"), F.bool_and(same).alias("banded"))
+    """Every token whose covariance lies in the band loses its loss."""
+    rows = L.clip_cov_loss(tokens(spark, sf), "old_logp", "ref_logp", "reward", 0.01, 0.2, 1.0, 1, "event_id")
+    return rows.select("event_id", F.round("loss", 6).alias("loss"))
 
 
 @query(f"WITH {TOKENS} SELECT round(avg(old_logp), 6) AS policy_logps, round(avg(ref_logp), 6) AS reference_logps FROM k WHERE mask = 1")
@@ -91,10 +91,12 @@ def v18_v20_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     return parts.groupBy(F.col("chunk").alias("worker")).agg(F.count("*").alias("rows"), F.sum("n_nationkey").alias("keys"))
 
 
-@query("SELECT 5::BIGINT AS columns, count(*) AS rows FROM documents")
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS rows, count({c}) AS filled FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")))
 def v19_schema_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and filled values of each column."""
     docs = table(spark, sf, "documents")
-    return docs.agg(F.lit(len(docs.columns)).cast("bigint").alias("columns"), F.count("*").alias("rows"))
+    counts = docs.agg(F.count("*").alias("rows"), *(F.count(c).alias(c) for c in docs.columns))
+    return counts.select("rows", F.explode(F.create_map(*(x for c in docs.columns for x in (F.lit(c), F.col(c))))).alias("name", "filled"))
 
 
 @query("SELECT doc_id, source FROM documents UNION ALL SELECT doc_id, source FROM documents")
@@ -113,11 +115,12 @@ def s3_preference_rows(spark: SparkSession, sf: str) -> DataFrame:
     return io.preference(table(spark, sf, "documents").select(F.col("source").alias("prompt"), F.col("text").alias("chosen"), F.col("lang").alias("rejected"), "n_chars"))
 
 
-@query("SELECT conv_id, count(*) AS turns, NULL::VARCHAR AS tools FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(coalesce(role, '-') || ':' || coalesce(text, '-'), '|' ORDER BY turn, role, text) AS turns, NULL::VARCHAR AS tools FROM conversations GROUP BY conv_id")
 def s4_conversation_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
     read = io.conversations(rows.withColumn("messages", F.struct("conv_id", "messages")))
-    return read.select(F.col("messages.conv_id").alias("conv_id"), F.size("messages.messages").cast("bigint").alias("turns"), "tools")
+    told = F.transform("messages.messages", lambda m: F.concat(F.coalesce(m["role"], F.lit("-")), F.lit(":"), F.coalesce(m["text"], F.lit("-"))))
+    return read.select(F.col("messages.conv_id").alias("conv_id"), F.array_join(told, "|").alias("turns"), "tools")
 
 
 @query("SELECT doc_id, source, text FROM documents")
