@@ -145,34 +145,34 @@ def op8_stupid_backoff(spark: SparkSession, sf: str) -> DataFrame:
 ORACLE_SQL["op8_stupid_backoff"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x20\x09-\x0D]+') AS w FROM documents),
-t AS (SELECT doc_id, len(w) AS n, i, w[i] AS u, CASE WHEN i > 1 THEN w[i - 1] END AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+t AS (SELECT doc_id, len(w) AS n, i, w[i] AS u, CASE WHEN i > 1 THEN w[i - 1] END AS p, CASE WHEN i > 2 THEN w[i - 2] END AS q
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 a AS (SELECT *, sum(1) OVER () - n AS words_left, count(*) OVER (PARTITION BY u) - count(*) OVER (PARTITION BY u, doc_id) AS c1,
-  count(*) OVER (PARTITION BY p, u) - count(*) OVER (PARTITION BY p, u, doc_id) AS c2 FROM t),
-b AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM a),
-s AS (SELECT doc_id, ln(CASE WHEN i > 1 AND c2 > 0 THEN c2 / before
-    ELSE (CASE WHEN i > 1 THEN 0.4::DOUBLE ELSE 1 END) * CASE WHEN c1 > 0 THEN c1 / words_left ELSE 1 / (words_left + 1) END END) AS l FROM b)
+  count(*) OVER (PARTITION BY p, u) - count(*) OVER (PARTITION BY p, u, doc_id) AS c2,
+  count(*) OVER (PARTITION BY q, p, u) - count(*) OVER (PARTITION BY q, p, u, doc_id) AS c3 FROM t),
+b AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS before, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS before2 FROM a),
+s AS (SELECT doc_id, ln(CASE WHEN i > 2 AND c3 > 0 THEN c3 / before2 ELSE (CASE WHEN i > 2 THEN 0.4::DOUBLE ELSE 1 END) *
+    CASE WHEN i > 1 AND c2 > 0 THEN c2 / before
+    ELSE (CASE WHEN i > 1 THEN 0.4::DOUBLE ELSE 1 END) * CASE WHEN c1 > 0 THEN c1 / words_left ELSE 1 / (words_left + 1) END END END) AS l FROM b)
 SELECT d.doc_id, len(w) AS n_words, round(coalesce(sum(l), 0), 4) AS log_score,
   CASE WHEN len(w) > 0 THEN round(sum(l) / len(w), 6) END AS mean_log_score FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, d.w"""
 
 
 @query
-def op8_stupid_backoff_trigram(spark: SparkSession, sf: str) -> DataFrame:
-    scored = stupid_backoff.score(spark.read.parquet(f"{sf}/documents.parquet"), order=3)
+def op8_stupid_backoff_bigram(spark: SparkSession, sf: str) -> DataFrame:
+    scored = stupid_backoff.score(spark.read.parquet(f"{sf}/documents.parquet"), order=2)
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
-ORACLE_SQL["op8_stupid_backoff_trigram"] = r"""
+ORACLE_SQL["op8_stupid_backoff_bigram"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x20\x09-\x0D]+') AS w FROM documents),
-t AS (SELECT doc_id, len(w) AS n, i, w[i] AS u, CASE WHEN i > 1 THEN w[i - 1] END AS p, CASE WHEN i > 2 THEN w[i - 2] END AS q
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+t AS (SELECT doc_id, len(w) AS n, i, w[i] AS u, CASE WHEN i > 1 THEN w[i - 1] END AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 a AS (SELECT *, sum(1) OVER () - n AS words_left, count(*) OVER (PARTITION BY u) - count(*) OVER (PARTITION BY u, doc_id) AS c1,
-  count(*) OVER (PARTITION BY p, u) - count(*) OVER (PARTITION BY p, u, doc_id) AS c2,
-  count(*) OVER (PARTITION BY q, p, u) - count(*) OVER (PARTITION BY q, p, u, doc_id) AS c3 FROM t),
-b AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS before, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS before2 FROM a),
-s AS (SELECT doc_id, ln(CASE WHEN i > 2 AND c3 > 0 THEN c3 / before2 ELSE (CASE WHEN i > 2 THEN 0.4::DOUBLE ELSE 1 END) *
-    CASE WHEN i > 1 AND c2 > 0 THEN c2 / before
-    ELSE (CASE WHEN i > 1 THEN 0.4::DOUBLE ELSE 1 END) * CASE WHEN c1 > 0 THEN c1 / words_left ELSE 1 / (words_left + 1) END END END) AS l FROM b)
+  count(*) OVER (PARTITION BY p, u) - count(*) OVER (PARTITION BY p, u, doc_id) AS c2 FROM t),
+b AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM a),
+s AS (SELECT doc_id, ln(CASE WHEN i > 1 AND c2 > 0 THEN c2 / before
+    ELSE (CASE WHEN i > 1 THEN 0.4::DOUBLE ELSE 1 END) * CASE WHEN c1 > 0 THEN c1 / words_left ELSE 1 / (words_left + 1) END END) AS l FROM b)
 SELECT d.doc_id, len(w) AS n_words, round(coalesce(sum(l), 0), 4) AS log_score,
   CASE WHEN len(w) > 0 THEN round(sum(l) / len(w), 6) END AS mean_log_score FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, d.w"""
 

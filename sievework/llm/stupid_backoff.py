@@ -31,7 +31,7 @@ from sievework.llm.shared import end_task, map_arrow, words
 from sievework.llm.shingles import rolling, word_hashes
 from sievework.shipping import ship
 
-ORDER, BACKOFF = 2, 0.4
+ORDER, BACKOFF = 3, 0.4
 #: Characters of text per block, and distinct n-grams of an order that a partition gets, about.
 BLOCK_CHARS, PART_WORDS = 8 << 20, 1_000_000
 
