@@ -66,17 +66,40 @@ def _bounds(parts: int) -> np.ndarray:
 
 
 def _pack(sorted_hashes: np.ndarray) -> bytes:
-    """Sorted distinct hashes as a width, the first, and differences of that many bytes."""
+    """Sorted distinct hashes as a width, the number of differences, the first hash, and the differences in that many
+    planes of bytes, lowest first. Differences of hashes are near even but for their highest byte, which is compressed."""
+    import zstandard
+
     steps = np.diff(sorted_hashes)
     width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
-    return bytes([width]) + sorted_hashes[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    head = bytes([width]) + np.uint32(len(steps)).tobytes() + sorted_hashes[:1].tobytes()
+    return head + planes[:-1].tobytes() + zstandard.ZstdCompressor(level=1).compress(planes[-1].tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    steps = np.zeros(((len(data) - 9) // width, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    return np.cumsum(np.concatenate([np.frombuffer(data[1:9], np.uint64), steps.reshape(-1).view(np.uint64)]), dtype=np.uint64)
+    import zstandard
+
+    width, n = data[0], int(np.frombuffer(data, np.uint32, 1, 1)[0])
+    low = np.frombuffer(data, np.uint8, (width - 1) * n, 13)
+    top = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[13 + len(low) :]), np.uint8)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :width] = np.concatenate([low, top]).reshape(width, n).T
+    return np.cumsum(np.concatenate([np.frombuffer(data[5:13], np.uint64), steps.reshape(-1).view(np.uint64)]), dtype=np.uint64)
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts, compressed, in a byte each if they fit, else in four."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes())
+
+
+def _unpack_counts(data: bytes, n: int) -> np.ndarray:
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor().decompress(data)
+    return np.frombuffer(plain, np.uint8 if len(plain) == n else np.uint32)
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +113,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _requests(table, order: int, parts: int):
     """A block's distinct n-grams, by part."""
-    import zstandard
-
-    block, press = table.column("block")[0].as_py(), zstandard.ZstdCompressor(level=1)
+    block = table.column("block")[0].as_py()
     grams, _, there = _grams(_texts(table), order)
     rows = []
     for k in range(order):
@@ -100,7 +121,7 @@ def _requests(table, order: int, parts: int):
         cuts = np.searchsorted(distinct, _bounds(parts))
         for part, (g, c) in enumerate(zip(np.split(distinct, cuts), np.split(counts, cuts))):
             if len(g):
-                rows.append((k + 1, part, block, _pack(g), press.compress(c.astype(np.uint32).tobytes())))
+                rows.append((k + 1, part, block, _pack(g), _pack_counts(c)))
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["gram", "part", "block", "hashes", "counts"])
 
@@ -109,9 +130,9 @@ def _answers(table):
     """The counts over all blocks of each block's n-grams, in the block's order."""
     import zstandard
 
-    press, plain = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    press = zstandard.ZstdCompressor(level=1)
     hashes = [_unpack(x) for x in table.column("hashes").to_pylist()]
-    counts = np.concatenate([np.frombuffer(plain.decompress(x), np.uint32) for x in table.column("counts").to_pylist()])
+    counts = np.concatenate([_unpack_counts(x, len(h)) for x, h in zip(table.column("counts").to_pylist(), hashes)])
     distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)[which]
     cuts = np.cumsum([len(h) for h in hashes])[:-1]

@@ -550,6 +550,16 @@ def test_stupid_backoff(docs, none, rows):
     assert stupid_backoff.score(none).count() == 0
 
 
+def test_backoff_blocks_round_trip():
+    rng = np.random.default_rng(5)
+    top = np.uint64(2**64 - 1)
+    for hashes in ([0], [top], [0, top], range(300), rng.integers(0, 2**64, 5000, np.uint64), rng.integers(0, 70_000, 5000, np.uint64)):
+        distinct = np.unique(np.array(hashes, np.uint64))
+        assert (stupid_backoff._unpack(stupid_backoff._pack(distinct)) == distinct).all()
+    for counts in ([1], [255], [256], [1, 2**32 - 1], [1] * 4):
+        assert (stupid_backoff._unpack_counts(stupid_backoff._pack_counts(np.array(counts)), len(counts)) == counts).all()
+
+
 @pytest.mark.parametrize("name", ["op8_stupid_backoff", "op8_stupid_backoff_bigram"])
 def test_backoff_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
