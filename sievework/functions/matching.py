@@ -13,6 +13,8 @@ TRAILS = ["is answer", "is the answer", "are answers", "are the answers"]
 VERBS = ["be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n", "get\n"]
 # Units that carry no meaning, in the order in which they are taken out.
 UNITS = ["degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard", "liter"]
+# Signs and words of plain answers, with what stands for them, in the order of their replacement.
+WORDINGS = [("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "), ("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")]
 # Plain forms of LaTeX symbols.
 SYMBOLS = [("\\pi", "pi"), ("\\infty", "inf"), ("\\cup", "U"), ("\\cdot", "*"), ("\\times", "*")]
 
@@ -93,7 +95,7 @@ def plain_answer(answer: Column) -> Column:
     plain text, mixed numbers as sums and whole numbers as integers. Of LaTeX, fractions and roots up to three levels
     deep are read; other commands stay as they are. Null stays null."""
     out = F.regexp_replace(answer, r"^\\text\{(.+?)\}$", "$1")
-    for old, new in [("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "), ("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")]:
+    for old, new in WORDINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     for unit in UNITS:
         out = F.regexp_replace(out, rf"{unit}(es)?(s)? *(\^[0-9]+)?", "")

@@ -54,6 +54,24 @@ def worked_solution(answer: Column) -> Column:
     return F.when(found != "", found).otherwise(F.raise_error(F.lit("no solution")).cast("string"))
 
 
+def guided_rows(df: DataFrame, source: str, question: str, answer: str, index: str, instruction: str, system: str | None = None, split: str = "train",
+                tools: tuple[str, ...] = (), interaction: str | None = None) -> DataFrame:
+    """Canonical rows of worked questions: an instruction follows the question, a system message may precede it, and the
+    truth is the worked solution. Each tool is created with the truth; an interaction gets its name, the question as
+    asked and the truth. Where tools are given, ``need_tools_kwargs`` says so."""
+    solution = worked_solution(F.col(answer))
+    asked = F.concat(F.col(question), F.lit(" " + instruction))
+    info = [F.lit(split).alias("split"), F.col(index).alias("index"), F.col(answer).alias("answer"), F.col(question).alias("question")]
+    if tools:
+        given = F.struct(F.struct(solution.alias("ground_truth")).alias("create_kwargs"))
+        info += [F.lit(True).alias("need_tools_kwargs"), F.struct(*(given.alias(t) for t in tools)).alias("tools_kwargs")]
+    if interaction is not None:
+        info.append(F.struct(F.lit(interaction).alias("name"), asked.alias("query"), solution.alias("ground_truth")).alias("interaction_kwargs"))
+    return df.select(
+        F.lit(source).alias("data_source"), conversation(F.lit(system).cast("string"), asked).alias("prompt"), F.lit("math").alias("ability"),
+        F.struct(F.lit("rule").alias("style"), solution.alias("ground_truth")).alias("reward_model"), F.struct(*info).alias("extra_info"))
+
+
 def references(docs: Column, k: int) -> Column:
     """``Doc i(Title: ...) text`` lines of the first ``k`` (title, text)."""
     line = lambda d, i: F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit("(Title: "), d["title"], F.lit(") "), d["text"], F.lit("\n"))

@@ -75,7 +75,7 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, key: str, text: str
     """query_key, rank, key, score by BM25: terms of queries meet postings by an equi-join; only terms that occur in a
     query are kept of the corpus. Fewer hits than ``k`` are returned as they are."""
     asked = terms(queries, query_key, query_text).select(query_key, "term", F.col("tf").alias("qtf"))
-    lengths = corpus.select(F.size(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("n"))
+    lengths = corpus.select(F.regexp_count(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+")).alias("n"))
     stats = lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
     postings = terms(corpus, key, text).join(asked.select("term").distinct(), "term", "left_semi")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))

@@ -275,7 +275,7 @@ def f11_lookup(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
     bare = F.replace(F.col("url"), F.lit("-"), F.lit(""))
     wanted = pages.where("page_id = 7").select(bare.alias("bare"))
-    return pages.withColumn("bare", bare).join(F.broadcast(wanted), "bare", "left_semi").orderBy("page_id").limit(1).select("page_id")
+    return pages.withColumn("bare", bare).join(wanted, "bare", "left_semi").orderBy("page_id").limit(1).select("page_id")
 
 
 @query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE CASE WHEN quality IS NOT NULL THEN quality >= 1 WHEN n_chars % 2 = 0 THEN n_chars % 5 >= 3 ELSE true END")

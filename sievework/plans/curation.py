@@ -44,6 +44,23 @@ def p1_v13_v15_question_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("extra_info.index").alias("idx"), "data_source", F.col("prompt")[0]["content"].alias("content"), F.col("reward_model.ground_truth.target").alias("target"), F.col("reward_model.ground_truth.out_of_knowledge").alias("ook"))
 
 
+@query("""WITH q AS (SELECT doc_id, text || ' End with ####.' AS asked, n || ' #### ' || format('{:,}', n) AS worked, n FROM (SELECT *, coalesce(n_chars, 0) AS n FROM documents))
+SELECT doc_id AS idx, 'system' AS first_role, 'Check before you answer.' AS first_content, asked AS content, n::VARCHAR AS truth, worked AS answer, true AS needs_tools, n::VARCHAR AS tool_truth,
+  'checks' AS interaction, asked AS query, n::VARCHAR AS interaction_truth, 1 AS bare_messages, asked AS bare_content FROM q""")
+def v16_guided_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Worked questions with a tool and an interaction, and as bare rows without a system message."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.coalesce("n_chars", F.lit(0)).alias("n"))
+    docs = docs.withColumn("worked", F.concat_ws(" #### ", F.col("n").cast("string"), F.format_number("n", 0)))
+    rows = prep.guided_rows(docs, "worked", "text", "worked", "doc_id", "End with ####.", "Check before you answer.", tools=("check",), interaction="checks")
+    bare = prep.guided_rows(docs, "worked", "text", "worked", "doc_id", "End with ####.").select(F.col("extra_info.index").alias("idx"), F.col("prompt").alias("bare"))
+    info, first, last = F.col("extra_info"), F.col("prompt")[0], F.col("prompt")[1]
+    out = prep.mapped(rows, lambda df: df).select(
+        info["index"].alias("idx"), first["role"].alias("first_role"), first["content"].alias("first_content"), last["content"].alias("content"), F.col("reward_model.ground_truth").alias("truth"),
+        info["answer"].alias("answer"), info["need_tools_kwargs"].alias("needs_tools"), info["tools_kwargs"]["check"]["create_kwargs"]["ground_truth"].alias("tool_truth"),
+        info["interaction_kwargs"]["name"].alias("interaction"), info["interaction_kwargs"]["query"].alias("query"), info["interaction_kwargs"]["ground_truth"].alias("interaction_truth"))
+    return out.join(bare, "idx").select(*out.columns, F.size("bare").alias("bare_messages"), F.col("bare")[0]["content"].alias("bare_content"))
+
+
 @query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) > 50 THEN w[1:46] || w[len(w) - 3 : len(w)] ELSE w END AS kept,
   CASE WHEN len(w) > 20 THEN w[1:10] || w[len(w) - 9 : len(w)] ELSE w END AS middle, CASE WHEN len(w) > 20 THEN w[len(w) - 19 : len(w)] ELSE w END AS l, CASE WHEN len(w) > 20 THEN w[1:20] ELSE w END AS r FROM w""")
 def p2_p17_y1_y4_truncation(spark: SparkSession, sf: str) -> DataFrame:

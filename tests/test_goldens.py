@@ -176,6 +176,32 @@ def test_contamination(spark):
     docs = spark.createDataFrame([(1, "zero ONE two  three four five six seven eight nine"), (2, "one two three four five six seven"), (3, "x one two three four five six seven y"), (4, "")], "doc_id int, text string")
     got = {r["doc_id"]: r["bad"] for r in filters.flag_contaminated(docs, "doc_id", "text", {"bad": evals}).collect()}
     assert got == {1: True, 2: False, 3: False, 4: False}
+    other = spark.createDataFrame([(7, "x one two three four five six seven"), (8, None), (9, "one two three four five six seven eight")], "item_id int, text string")
+    both = filters.flag_contaminated(docs, "doc_id", "text", {"bad": evals, "worse": other, "none": evals.limit(0)})
+    assert sorted(map(tuple, both.select("doc_id", "bad", "worse", "none").collect())) == [
+        (1, True, True, False), (2, False, False, False), (3, False, True, False), (4, False, False, False)]
+    assert filters.flag_contaminated(docs, "doc_id", "text", {}).columns == docs.columns
+
+
+def test_flags_past_the_broadcast_limits(spark, monkeypatch):
+    evals = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id int, text string")
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, None)], "doc_id int, text string")
+    for limits in ((0, 0), (500_000, 0)):
+        monkeypatch.setattr(filters, "BROADCAST_GRAMS", limits[0])
+        monkeypatch.setattr(filters, "BROADCAST_KEYS", limits[1])
+        assert sorted(map(tuple, filters.flag_contaminated(docs, "doc_id", "text", {"bad": evals}).select("doc_id", "bad").collect())) == [(1, True), (2, False)]
+
+
+def test_guided_rows(spark):
+    df = spark.createDataFrame([(5, "How many?", "3 and 4\n#### 1,007")], "i int, q string, a string")
+    row = prep.guided_rows(df, "s", "q", "a", "i", "Think.", "Be right.", tools=("check", "again"), interaction="checks").first().asDict(True)
+    assert row["prompt"] == [{"role": "system", "content": "Be right."}, {"role": "user", "content": "How many? Think."}]
+    assert row["extra_info"]["tools_kwargs"] == {t: {"create_kwargs": {"ground_truth": "1007"}} for t in ("check", "again")}
+    assert row["extra_info"]["interaction_kwargs"] == {"name": "checks", "query": "How many? Think.", "ground_truth": "1007"}
+    bare = prep.guided_rows(df, "s", "q", "a", "i", "Think.").first().asDict(True)
+    assert len(bare["prompt"]) == 1 and set(bare["extra_info"]) == {"split", "index", "answer", "question"}
+    with pytest.raises(Exception, match="no solution"):
+        prep.guided_rows(df.withColumn("a", F.lit("none")), "s", "q", "a", "i", "Think.").collect()
 
 
 def test_pass_rate_bounds_are_strict(spark):
