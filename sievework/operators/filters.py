@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import normalize_string, word_ngrams
 
-#: Distinct eval grams, and keys of documents that have one, up to which they are broadcast to the corpus.
-BROADCAST_GRAMS, BROADCAST_KEYS = 500_000, 1_000_000
+#: Distinct eval grams up to which they are broadcast to the corpus.
+BROADCAST_GRAMS = 500_000
 
 
 def grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -26,16 +26,15 @@ def ngram_lookup(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
 def flag_contaminated(docs: DataFrame, key: str, text: str, evals: dict[str, DataFrame], eval_text: str = "text", n: int = 8) -> DataFrame:
     """A boolean column per eval set: the document shares a gram with it. The corpus is exploded once, against the grams
-    of all sets; grams and then the flagged keys are broadcast after a count, or else both sides are shuffled. The flagged
-    keys are kept in the executors' storage, since they are counted before they are joined. A null key is never flagged."""
+    of all sets, which are broadcast after a count; else both sides are shuffled. Keys meet their flags by one join. A null
+    key is never flagged."""
     if not evals:
         return docs
     listed = [grams(items.withColumn("set_", F.lit(i)), "set_", eval_text, n) for i, items in enumerate(evals.values())]
     wanted = reduce(DataFrame.unionByName, listed).groupBy("gram").agg(F.collect_set("set_").alias("sets"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_GRAMS else wanted
     flags = [F.max(F.array_contains("sets", i)).alias(name) for i, name in enumerate(evals)]
-    hit = grams(docs, key, text, n).join(wanted, "gram").groupBy(key).agg(*flags).persist()
-    hit = F.broadcast(hit) if hit.count() <= BROADCAST_KEYS else hit
+    hit = grams(docs, key, text, n).join(wanted, "gram").groupBy(key).agg(*flags)
     out = docs.join(hit, key, "left")
     return out.withColumns({name: F.coalesce(F.col(name), F.lit(False)) for name in evals})
 
