@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.operators.batch import concat, with_row_id
 from sievework.operators.metrics import hashed_unit
 
+#: Rows up to which a top-k, which ends in one task, picks the first.
+MOST_IN_A_TASK = 1_000_000
+
 
 def hash_order(seed: int, *keys: str) -> Column:
     """A text by which rows are in seeded order: the md5 of seed and keys, joined by colons."""
     return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), *(F.col(k).cast("string") for k in keys)))
 
 
-def first_by_hash(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """``n`` rows in seeded order. Up to a number that fits a task a top-k does; beyond, rows are numbered in ranges of
-    the order."""
+def first_by_hash(df: DataFrame, n: int, seed: int, key: str, rows: int | None = None) -> DataFrame:
+    """``n`` rows in seeded order, of ``rows`` if their number is known. Hashes are even, so that a limit to them leaves
+    little more than ``n`` rows of any number; where repeated keys leave fewer, the limit is raised. Up to a number that
+    fits a task a top-k of these does; beyond, rows are numbered in ranges of the order."""
     ordered = df.withColumn("hash_", hash_order(seed, key)).withColumn("place_", F.struct("hash_", key))
-    if n <= 1_000_000:
-        return ordered.orderBy("place_").limit(n).drop("hash_", "place_")
-    return with_row_id(ordered, "place_").where(F.col("row_id") < n).drop("hash_", "place_", "row_id")
+    if n > MOST_IN_A_TASK:
+        return with_row_id(ordered, "place_").where(F.col("row_id") < n).drop("hash_", "place_", "row_id")
+    share = (n + 8 * math.sqrt(n) + 64) / max(1, df.count() if rows is None else rows)
+    few = ordered
+    while share < 0.5:
+        # the first 15 of 32 hexadecimal digits
+        few = ordered.where(F.col("hash_") < f"{int(share * (1 << 60)):015x}")
+        if few.count() >= n:
+            break
+        share, few = 4 * share, ordered
+    return few.orderBy("place_").limit(n).drop("hash_", "place_")
 
 
 def mixture(sources: list[tuple[DataFrame, float | None]], key: str, columns: list[str] | None = None, seed: int = 42) -> DataFrame:
@@ -32,7 +46,8 @@ def mixture(sources: list[tuple[DataFrame, float | None]], key: str, columns: li
         if names is not None and set(df.columns) != names:
             raise ValueError("the sources' columns differ")
         names = set(df.columns)
-        picked.append(df if weight is None else first_by_hash(df, int(df.count() * weight), seed, key))
+        rows = None if weight is None else df.count()
+        picked.append(df if rows is None else first_by_hash(df, int(rows * weight), seed, key, rows))
     if not picked:
         raise ValueError("a mixture needs a source")
     return concat(picked)
@@ -40,9 +55,8 @@ def mixture(sources: list[tuple[DataFrame, float | None]], key: str, columns: li
 
 def train_test_split(df: DataFrame, test: float, seed: int, key: str) -> tuple[DataFrame, DataFrame]:
     """Exact sizes: the first rows in seeded order, rounded up, test."""
-    import math
-
-    held = first_by_hash(df, math.ceil(df.count() * test - 1e-9), seed, key)
+    rows = df.count()
+    held = first_by_hash(df, math.ceil(rows * test - 1e-9), seed, key, rows)
     return df.join(held.select(key), key, "left_anti"), held
 
 

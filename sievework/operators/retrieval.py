@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from sievework.shipping import ship
 
-#: Query rows held at once while the corpus streams by; bytes of packed queries up to which they are broadcast.
+#: Vectors per packed block; bytes of packed queries, and of the rows found for them, that one task meets: so many are
+#: broadcast, more are dealt to further tasks.
 BLOCK = 1024
-BROADCAST_BYTES = 64 << 20
+TASK_BYTES = 64 << 20
 
 
 def normalized(v: Column) -> Column:
@@ -22,44 +23,67 @@ def normalized(v: Column) -> Column:
     return F.transform(wide, lambda x: F.when(norm > 0, x / norm).otherwise(x))
 
 
+def packed(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """Blocks of at most BLOCK rows: their keys as ``name``_ids and their vectors as ``name``_data, packed."""
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                v = np.stack(part.column("v").to_numpy(zero_copy_only=False))
+                sound = np.isfinite(v).all(axis=1)
+                keys, v = part.column("key").to_numpy()[sound], v[sound]
+                if len(keys):
+                    yield pa.RecordBatch.from_pydict({f"{name}_ids": [keys.astype("<i8").tobytes()], f"{name}_data": [v.astype("<f8").tobytes()]}, blocks)
+
+    ship(df.sparkSession)
+    blocks = pa.schema([(f"{name}_ids", pa.binary()), (f"{name}_data", pa.binary())])
+    rows = df.where(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, f"{name}_ids binary, {name}_data binary")
+
+
+def _best(row, key, score, k: int):
+    """The ``k`` entries of each row of largest score, ties by key."""
+    import numpy as np
+
+    order = np.lexsort((key, -score, row))
+    row = row[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], key[order[first]], score[order[first]]
+
+
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, key, score: the ``k`` corpus rows of largest inner product per query, ties by key. Queries are
-    collected in packed blocks and broadcast if they fit BROADCAST_BYTES, and each corpus partition keeps its own best;
-    more queries than that are answered in rounds of blocks."""
+    """query_id, rank, key, score: the ``k`` corpus rows of largest inner product per query, ties by key. Blocks of
+    queries meet blocks of the corpus, and each task keeps the best it has seen of its queries. Queries up to TASK_BYTES
+    are broadcast; more are dealt to parts of that size, and each part meets each partition of the corpus in a task of
+    its own. Nothing is collected. Keys are integers; rows without key or vector, or whose vector holds a null or
+    non-finite component, take no part; vectors are of one length."""
     import numpy as np
 
-    spark = corpus.sparkSession
-    ship(spark)
-    rows = queries.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("q"))
-    n = rows.count()
-    width = rows.agg(F.max(F.size("q"))).first()[0] or 1
-    per_round = max(BLOCK, BROADCAST_BYTES // (8 * width))
-    found = None
-    for r in range(max(1, -(-n // per_round))):
-        part = rows if n <= per_round else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // per_round))) == r)
-        local = part.collect()
-        if not local:
-            continue
-        ids = np.array([x["query_id"] for x in local], np.int64)
-        shared = spark.sparkContext.broadcast((ids, np.array([x["q"] for x in local])))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            held_key, held = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = np.stack(batch.column("v").to_numpy(zero_copy_only=False))
-                keys = np.concatenate([held_key, np.broadcast_to(batch.column("key").to_numpy(), (len(ids), len(v)))], axis=1)
-                score = np.concatenate([held, q @ v.T], axis=1)
-                order = np.lexsort((keys, -score), axis=1)[:, :k]
-                held_key, held = np.take_along_axis(keys, order, 1), np.take_along_axis(score, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, held.shape[1])), pa.array(held_key.ravel()), pa.array(held.ravel())], ["query_id", key, "score"])
-
-        one = corpus.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(best, f"query_id long, {key} long, score double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = rows.select("query_id", F.col("query_id").alias(key), F.lit(0.0).alias("score")).limit(0)
+    wanted = queries.where(F.col(key).isNotNull() & (F.size(vector) > 0))
+    n, width = wanted.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(1))).first()
+    parts = -(-n * max(8 * width, 24 * k) // TASK_BYTES)
+    asked = packed(queries if parts <= 1 else queries.repartition(parts), key, vector, "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+        for batch in batches:
+            for q_ids, q, keys, v in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_data", "c_ids", "c_data"))):
+                keys = np.frombuffer(keys, "<i8")
+                score = np.frombuffer(q, "<f8").reshape(len(q_ids) // 8, -1) @ np.frombuffer(v, "<f8").reshape(len(keys), -1).T
+                least = np.partition(score, -k, axis=1)[:, -k] if len(keys) > k else np.full(len(score), -np.inf)
+                row, at = np.nonzero(score >= least[:, None])  # with all ties of the last
+                new = row, keys[at], score[row, at]
+                # a block of queries goes by its ids and vectors, which rows that repeat an id may tell apart
+                mark = q_ids, hash(q)
+                held[mark] = _best(*(map(np.concatenate, zip(held[mark], new)) if mark in held else new), k)
+        for (q_ids, _), (row, keys, score) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(q_ids, "<i8")[row]), pa.array(keys), pa.array(score)], ["query_id", key, "score"])
+
+    blocks = packed(corpus, key, vector, "c")
+    both = blocks.crossJoin(F.broadcast(asked)) if parts <= 1 else blocks.crossJoin(asked)
+    found = both.mapInArrow(run, f"query_id long, {key} long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 

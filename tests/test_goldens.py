@@ -286,6 +286,46 @@ def test_bm25_and_dense(spark):
     assert [r["vec_id"] for r in found] == [1, 2, 3]
 
 
+def test_dense_topk_of_many_queries(spark, monkeypatch):
+    """Broadcast queries and queries dealt in parts find the same, and what brute force finds; odd rows take no part."""
+    import random
+
+    draw = random.Random(3)
+    data = [(i, [float(draw.randint(-2, 2)) for _ in range(6)]) for i in range(700)]
+    odd = [(None, [1.0] * 6), (900, None), (901, []), (902, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (903, [math.nan] * 6), (904, [math.inf] * 6)]
+    v = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>").repartition(5)
+    vectors = dict(data)
+    for k in (3, 800):
+        want = set()
+        for q in range(0, 700, 7):
+            scores = sorted((-sum(a * b for a, b in zip(vectors[q], x)), i) for i, x in data)
+            want |= {(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)}
+        for most in (retrieval.TASK_BYTES, 20_000):
+            monkeypatch.setattr(retrieval, "TASK_BYTES", most)
+            found = retrieval.dense_topk(v, v.where("vec_id % 7 = 0 OR vec_id > 899"), k)
+            assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()} == want
+        monkeypatch.undo()
+    assert retrieval.dense_topk(v, v.limit(0), 3).count() == 0 and retrieval.dense_topk(v.limit(0), v, 3).count() == 0
+
+
+def test_first_by_hash(spark, monkeypatch):
+    import hashlib
+
+    def order(x):
+        return hashlib.md5(f"7:{x}".encode()).hexdigest(), x
+
+    df = spark.range(5000).repartition(6)
+    ids = sorted(range(5000), key=order)
+    for n in (0, 1, 40, 600, 3000, 6000):
+        assert sorted(r["id"] for r in mixtures.first_by_hash(df, n, 7, "id").collect()) == sorted(ids[:n])
+    # one key of high place holds nearly all rows, so that a limit by expected share leaves too few
+    hot = spark.range(5000).select(F.when(F.col("id") < 40, F.col("id")).otherwise(ids[-1]).alias("id"))
+    want = sorted([*range(40), *[ids[-1]] * 4960], key=order)[:200]
+    assert sorted(r["id"] for r in mixtures.first_by_hash(hot, 200, 7, "id").collect()) == sorted(want)
+    monkeypatch.setattr(mixtures, "MOST_IN_A_TASK", 10)
+    assert sorted(r["id"] for r in mixtures.first_by_hash(df, 40, 7, "id").collect()) == sorted(ids[:40])
+
+
 def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(("q", "a"), [("user", "x")])], "extra struct<question:string,answer:string>, messages array<struct<role:string,content:string>>")
     assert io.prompts_and_responses(df, ["extra", "question"], ["extra", "answer"]).first() == ("q", "a")
