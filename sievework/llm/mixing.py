@@ -5,8 +5,9 @@ the smallest keys come first. A source takes complete epochs first, then documen
 words reach what is left of its target. What the next document would overshoot is filled from later documents that
 still fit, in two more passes over the same order.
 
-The order is never sorted as a whole: keys fall into logarithmic bins, sums per source and bin tell the bin in which a
-budget ends, and only that bin's documents are sorted. A plan is a row per source with its epochs and cut-offs, so that
+The order is never sorted as a whole: keys fall into logarithmic bins, and these into finer ones; sums per source tell
+first the bin and then the finer bin in which a budget ends, and only the latter's documents are sorted, some four in a
+million of a source. A plan is a row per source with its epochs and cut-offs, so that
 applying it needs neither a sort nor a join by document.
 
 Defined cases: a null source is a source of its own, the last; a null or blank text has size 0 and is never taken; a
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from sievework.llm.shared import cut, words
 
-#: Most times a document may be taken; bins of keys per doubling, and in all.
-MAX_EPOCHS, PER_DOUBLING, BINS = 3, 64, 4096
+#: Most times a document may be taken; bins of keys per doubling, and in all; finer bins of each.
+MAX_EPOCHS, PER_DOUBLING, BINS, FINER = 3, 64, 4096, 4096
 #: Passes that fill a budget.
 PASSES = 3
 #: Sources up to which the plan is broadcast; beyond, it is joined by a shuffle.
@@ -46,9 +47,9 @@ def keyed(docs: DataFrame, seed: int = 17) -> DataFrame:
     """``docs`` with mix_size, mix_key and mix_bin."""
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
     key = -F.log(draw) / quality_weight(F.col("text"))
-    place = F.floor(F.log2("mix_key") * PER_DOUBLING) + BINS * 5 // 8
+    place = F.floor(F.log2("mix_key") * PER_DOUBLING * FINER) + BINS * FINER * 5 // 8
     out = docs.withColumns({"mix_size": F.size(words(F.col("text"))).cast("long"), "mix_key": key})
-    return out.withColumn("mix_bin", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), place)).cast("int"))
+    return out.withColumn("mix_bin", F.greatest(F.lit(0), F.least(F.lit(BINS * FINER - 1), place)).cast("int"))
 
 
 def targets(sized: DataFrame, weigh: Callable[[Column], Column] = cycling_weights, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -87,6 +88,20 @@ def _join_plan(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
     return rows.join(right, rows["source"].eqNullSafe(right["plan_source"])).drop("plan_source")
 
 
+def _ends(sums: DataFrame, bin_: str) -> DataFrame:
+    """plan_source, end_bin, before: of ``sums`` (source, bin, words, left, before) the bin in which a source's words
+    pass what is left, and its words before that bin. ``before`` of the input are the words before its first bin."""
+    upto = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy(bin_))
+    first = F.min(F.struct(F.col(bin_).alias("bin"), (F.col("upto") - F.col("words")).alias("before"))).alias("end")
+    passed = sums.withColumn("upto", upto).where("upto > left").groupBy("source").agg(first)
+    return passed.select(F.col("source").alias("plan_source"), F.col("end.bin").alias("end_bin"), F.col("end.before").alias("before"))
+
+
+def _meet(rows: DataFrame, ends: DataFrame, here: Column, n_sources: int) -> DataFrame:
+    ends = F.broadcast(ends) if n_sources <= BROADCAST_SOURCES else ends
+    return rows.join(ends, rows["source"].eqNullSafe(ends["plan_source"]) & here)
+
+
 def make_plan(slim: DataFrame, weigh: Callable[[Column], Column] = cycling_weights, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, int]:
     """The plan for ``slim`` (doc_id, source, mix_size, mix_key, mix_bin) and its number of sources."""
     epochs = F.least(F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)) + 1e-12), F.lit(max_epochs)).cast("int")
@@ -98,11 +113,13 @@ def make_plan(slim: DataFrame, weigh: Callable[[Column], Column] = cycling_weigh
         rows = _join_plan(slim, plan, n).where(~_selected(i) & (F.col("mix_size") > 0))
         if i:
             rows = rows.where(F.col("mix_size") <= F.col(f"left{i}"))
-        sums = rows.groupBy("source", "mix_bin").agg(F.sum("mix_size").alias("words"), F.first(f"left{i}").alias("left"))
-        upto = F.sum("words").over(Window.partitionBy("source").orderBy("mix_bin"))
-        ends = sums.withColumn("upto", upto).where("upto > left").groupBy("source").agg(F.min(F.struct("mix_bin", (F.col("upto") - F.col("words")).alias("before"))).alias("end"))
-        ends = cut(ends.select(F.col("source").alias("plan_source"), F.col("end.mix_bin").alias("end_bin"), F.col("end.before").alias("before")))
-        hot = rows.join(F.broadcast(ends) if n <= BROADCAST_SOURCES else ends, rows["source"].eqNullSafe(ends["plan_source"]) & (rows["mix_bin"] == ends["end_bin"]))
+        rows = rows.withColumn("bin", (F.col("mix_bin") / FINER).cast("int"))
+        sums = rows.groupBy("source", "bin").agg(F.sum("mix_size").alias("words"), F.first(f"left{i}").alias("left"))
+        wide = _ends(sums.withColumn("before", F.lit(0).cast("long")), "bin")
+        inner = _meet(rows, wide, F.col("bin") == F.col("end_bin"), n)
+        finer = inner.groupBy("source", "mix_bin").agg(F.sum("mix_size").alias("words"), F.first(f"left{i}").alias("left"), F.first("before").alias("before"))
+        ends = cut(_ends(finer, "mix_bin"))
+        hot = _meet(rows, ends, F.col("mix_bin") == F.col("end_bin"), n)
         inside = F.col("before") + F.sum("mix_size").over(Window.partitionBy("source").orderBy("mix_key", "doc_id"))
         last = i == PASSES - 1
         within = F.col("inside") <= F.col(f"left{i}") if not last else F.col("inside") - F.col("mix_size") / 2 <= F.col(f"left{i}")
@@ -114,7 +131,7 @@ def make_plan(slim: DataFrame, weigh: Callable[[Column], Column] = cycling_weigh
         plan = plan.join(found, plan["source"].eqNullSafe(found["plan_source"]), "left").drop("plan_source")
         plan = plan.join(total, plan["source"].eqNullSafe(total["all_source"]), "left").drop("all_source")
         plan = plan.withColumn(f"left{i + 1}", F.col(f"left{i}") - F.coalesce("used", "all_words", F.lit(0)))
-        plan = cut(plan.withColumn(f"bin{i}", F.coalesce(f"bin{i}", F.lit(BINS))).drop("used", "all_words"))
+        plan = cut(plan.withColumn(f"bin{i}", F.coalesce(f"bin{i}", F.lit(BINS * FINER))).drop("used", "all_words"))
     return plan, n
 
 
