@@ -19,6 +19,8 @@ SPACES = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Bins, at least, of the id histogram from which range shards are cut.
 RANGE_BINS = 4096
+#: Range shards beyond which they grow instead: their bounds stand in the plan, and the driver holds bins for each.
+MOST_SHARDS = 50_000
 #: Rows and bytes of an Arrow batch between the JVM and its workers, where the session leaves Spark's defaults: both
 #: sides hold whole batches outside the heap.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "1m")}
@@ -66,15 +68,18 @@ def _place(key: str, starts: list[int]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)
 
 
-def range_shards(df: DataFrame, key: str, size: Column, target: int) -> tuple[Column, int]:
-    """An int expression for the shard of a row, and the number of shards: consecutive ranges of the long column
-    ``key`` of about ``target`` units of ``size`` each, as many as the sizes ask for. They depend on the rows only, so
-    that a rerun cuts the same shards. A histogram of equal widths is refined where a bin holds more than a fourth of
+def range_shards(df: DataFrame, key: str, size: Column, target: int, most: int = MOST_SHARDS) -> tuple[Column, int, int]:
+    """An int expression for the shard of a row, the number of shards, and their units: consecutive ranges of the long
+    column ``key`` of about ``target`` units of ``size`` each, or more where the sizes would ask for more than ``most``
+    shards. They depend on the rows only, so that a rerun cuts the same shards. Keys and sizes are kept as a slim table,
+    so that the rows are read once. A histogram of equal widths is refined where a bin holds more than a fourth of
     the target, so that ids that lie far out don't crowd the others into a bin; only a single id can't be cut. The
     driver holds a number per bin: a few per shard, RANGE_BINS at least. Null keys go to shard 0."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
+    slim = cut(df.select(F.col(key).alias("key_"), size.cast("long").alias("size_")))
+    low, high, total = slim.agg(F.min("key_"), F.max("key_"), F.sum("size_")).first()
+    target = max(target, (total or 0) // most)
     if low is None:
-        return F.lit(0), 1
+        return F.lit(0), 1, target
     sums, open_ = {}, [(low, high + 1)]  # weight by start of the bins that are done; bins to be cut, ends exclusive
     ends = {}
     while open_:
@@ -82,7 +87,7 @@ def range_shards(df: DataFrame, key: str, size: Column, target: int) -> tuple[Co
         widths = [max(1, -(-(b - a) // each)) for a, b in open_]
         starts = [a for a, _ in open_]
         numbers = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
-        rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key_"), size.cast("long").alias("size_")).withColumn("at", _place("key_", starts))
+        rows = slim.where(F.col("key_").isNotNull()).withColumn("at", _place("key_", starts))
         of = {"begin": F.get(numbers(starts), F.col("at")), "width": F.get(numbers(widths), F.col("at")), "last": F.get(numbers([b - 1 for _, b in open_]), F.col("at"))}
         # a difference of two longs may pass 64 bits
         part = F.expr("CAST((CAST(key_ AS DECIMAL(38,0)) - begin) DIV width AS BIGINT)")
@@ -103,7 +108,7 @@ def range_shards(df: DataFrame, key: str, size: Column, target: int) -> tuple[Co
             bounds.append(a)
             filled = 0
         filled += sums[a]
-    return F.when(F.col(key).isNull(), 0).otherwise(F.greatest(F.lit(0), _place(key, bounds))), len(bounds)
+    return F.when(F.col(key).isNull(), 0).otherwise(F.greatest(F.lit(0), _place(key, bounds))), len(bounds), target
 
 
 def filesystem(uri: str):

@@ -126,7 +126,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     with fs.open_output_stream(f"{path}/dictionary.tmp") as f:
         f.write(dictionary)
     fs.move(f"{path}/dictionary.tmp", f"{path}/dictionary-{key.hex()}")
-    shard_of, n = range_shards(docs, "doc_id", F.octet_length(F.coalesce("text", F.lit(""))) + 64, SHARD_BYTES)
+    shard_of, n, _ = range_shards(docs, "doc_id", F.octet_length(F.coalesce("text", F.lit(""))) + 64, SHARD_BYTES)
     coded = encode_ids(docs.select("doc_id", "text", shard_of.alias("shard")), tokenizer_path, end_id, ("shard", "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

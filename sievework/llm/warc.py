@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from sievework.llm.shared import cut, filesystem, map_arrow, range_shards
 
-#: Payload bytes per shard, at least, the number of shards from which they grow instead, and the share of a shard's
-#: payload bytes that a file's compressed bytes pass before the next file is begun.
-SHARD_BYTES, MOST_SHARDS, FILE_SHARE = 16 << 20, 50_000, 16
+#: Payload bytes per shard, at least, and the share of a shard's payload bytes that a file's compressed bytes pass
+#: before the next file is begun.
+SHARD_BYTES, FILE_SHARE = 16 << 20, 16
 #: WARC-Date of every record unless the caller gives one: a fixed value keeps the archive deterministic.
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 6
@@ -123,8 +123,7 @@ def write_warc(pages: DataFrame, out_dir: str, min_revisit_bytes: int = 0, file_
     fs, path = filesystem(out_dir)
     fs.create_dir(path, recursive=True)
     size = F.octet_length(F.coalesce("html", F.lit(""))) + 512
-    shard_bytes = max(SHARD_BYTES, (pages.agg(F.sum(size.cast("long"))).first()[0] or 0) // MOST_SHARDS)
-    shard_of, n = range_shards(pages, "page_id", size, shard_bytes)
+    shard_of, n, shard_bytes = range_shards(pages, "page_id", size, SHARD_BYTES)
     file_bytes = file_bytes or shard_bytes // FILE_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

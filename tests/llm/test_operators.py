@@ -326,6 +326,38 @@ def test_mixing_comes_near_its_targets(spark):
         assert r["taken"] == pytest.approx(r["target"], rel=0.005)
 
 
+def test_mixing_in_finer_bins_takes_the_same(spark, monkeypatch):
+    """Sorting the whole bin in which a budget ends, as a single finer bin does, takes the same documents; so does a
+    plain running sum over all of them."""
+    rnd = random.Random(5)
+    data = [(i % 3900, " ".join(["w"] * rnd.randint(0, 40)), rnd.choice(["a", "b", "c", None])) for i in range(4000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    taken = []
+    for finer in (1, 64, 4096):
+        monkeypatch.setattr(mixing, "FINER", finer)
+        got = mixing.mix(df).select("doc_id", "source", "mix_size", "copies").collect()
+        taken.append(sorted((r[0], str(r[1]), r[2], r[3]) for r in got))
+    assert taken[0] == taken[1] == taken[2]
+    keys = mixing.keyed(df).join(mixing.targets(mixing.keyed(df)).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    want = []
+    for source in ("a", "b", "c", None):
+        rows = sorted((r["mix_key"], r["doc_id"], r["mix_size"], r["source_size"], r["target"]) for r in keys.where(F.col("source").eqNullSafe(F.lit(source))).collect())
+        full = min(3, int(rows[0][4] / rows[0][3] + 1e-12))
+        left, chosen = 0.0 if full == 3 else rows[0][4] - full * rows[0][3], set()
+        for i in range(3):
+            used = 0
+            for key in sorted({r[:2] for r in rows}):
+                here = [j for j, r in enumerate(rows) if r[:2] == key and j not in chosen and r[2] > 0 and (i == 0 or r[2] <= left)]
+                size = sum(rows[j][2] for j in here)
+                if here and (used + size if i < 2 else used + size - rows[here[-1]][2] / 2) > left:
+                    break
+                chosen |= set(here)
+                used += size
+            left -= used
+        want += [(r[1], str(source), r[2], full * (r[2] > 0) + (j in chosen)) for j, r in enumerate(rows)]
+    assert sorted(want) == taken[0]
+
+
 def test_bpe_equals_the_library(docs, none, rows):
     library = Tokenizer.from_file(PATH)
     got = by_id(bpe.encode_decode(docs, PATH, 50), "ids", "decoded")
@@ -403,7 +435,8 @@ def test_warc_rolls_files_at_its_defaults(spark, monkeypatch):
 
 def test_range_shards_of_ids_that_lie_far_out(spark):
     df = spark.createDataFrame([(i, 200_000) for i in range(400)] + [(2**63 - 1, 5), (-(2**63), 7), (None, 9)], "id long, s long")
-    shard, n = range_shards(df, "id", F.col("s"), 16 << 20)
+    shard, n, target = range_shards(df, "id", F.col("s"), 16 << 20)
+    assert target == 16 << 20
     rows = df.select("id", "s", shard.alias("shard")).collect()
     sums = Counter()
     for r in rows:
@@ -411,6 +444,10 @@ def test_range_shards_of_ids_that_lie_far_out(spark):
     assert n == len(sums) == 5 and max(sums.values()) <= 17 << 20
     known = sorted((r["id"], r["shard"]) for r in rows if r["id"] is not None)
     assert [s for _, s in known] == sorted(s for _, s in known)
+    # few shards at most grow instead
+    shard, n, target = range_shards(df, "id", F.col("s"), 1 << 20, most=3)
+    sums = {r["shard"]: r["s"] for r in df.groupBy(shard.alias("shard")).agg(F.sum("s").alias("s")).collect()}
+    assert target == 400 * 200_000 // 3 + 7 and n == len(sums) <= 4 and max(sums.values()) <= target + 200_000
 
 
 def brute_repeats(items):
