@@ -6,16 +6,33 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
+
+
+def range_bounds(df: DataFrame, order: str, ranges: int) -> DataFrame:
+    """One row with an array ``bounds_``, sorted, that cuts ``df`` into some ``ranges`` of about as many rows. They come
+    from random rows and are fixed once, so that whatever reads them cuts alike."""
+    few = df.select(F.col(order).alias("at_")).where(F.col("at_").isNotNull()).orderBy(F.rand()).limit(20 * ranges)
+    placed = few.select("at_", F.ntile(ranges).over(Window.orderBy("at_")).alias("tile_")).groupBy("tile_").agg(F.min("at_").alias("at_"))
+    kind = ArrayType(df.schema[order].dataType)
+    bounds = df.sparkSession.createDataFrame([([r["at_"] for r in placed.collect()],)], StructType([StructField("bounds_", kind)]))
+    return bounds.select(F.array_sort(F.array_distinct("bounds_")).alias("bounds_"))
 
 
 def with_row_id(df: DataFrame, order: str) -> DataFrame:
     """``row_id`` from 0 in ``order``. Rows are numbered within ranges of the order and shifted by the rows of earlier
-    ranges, so that no task holds all of them."""
-    spark = df.sparkSession
-    parts = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("pid", F.spark_partition_id())
-    sizes = parts.groupBy("pid").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    before = sizes.select("pid", F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranges, so that no task holds all of them. Sizes and rows are read apart, so that bounds of ranges are fixed first:
+    ``repartitionByRange`` would draw other ones for each."""
+    ranges = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = F.array(*(F.lit(1 << b) for b in range(ranges.bit_length(), -1, -1)))
+
+    def halve(at: Column, step: Column) -> Column:
+        below = F.get("bounds_", at + step - 1) <= F.col(order)
+        return F.when(F.coalesce(below, F.lit(False)), at + step).otherwise(at)
+
+    parts = df.crossJoin(F.broadcast(range_bounds(df, order, ranges))).withColumn("pid", F.aggregate(steps, F.lit(0), halve)).drop("bounds_")
+    sizes = parts.groupBy("pid").agg(F.count("*").alias("n"))
+    before = sizes.select("pid", F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     numbered = parts.withColumn("place", F.row_number().over(Window.partitionBy("pid").orderBy(order)) - 1)
     return numbered.join(F.broadcast(before), "pid").withColumn("row_id", F.col("before") + F.col("place")).drop("pid", "place", "before")
 
