@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sievework.operators import batch, mixtures
+from sievework.operators import batch, metrics, mixtures
 from sievework.plans import registry
 
 
@@ -18,3 +18,10 @@ def test_row_ids_with_nulls_and_one_value(spark):
     rows = sorted((r["row_id"], r["k"]) for r in batch.with_row_id(df, "k").collect())
     assert rows == [(i, None if i < 1000 else int(i >= 2000)) for i in range(3000)]
     assert batch.with_row_id(df.limit(0), "k").count() == 0
+
+
+def test_bootstrap_picks_within_its_group(spark):
+    """Each group holds one value, so that a resample has no other."""
+    df = spark.range(60_000).select(F.concat(F.lit("g"), F.col("id") % 20).alias("g"), "id", (F.col("id") % 20).cast("double").alias("s"))
+    made = metrics.bootstrap(df, ["g"], "s", "id", 8, {"mean": F.avg}, draws=20).collect()
+    assert len(made) == 20 and all(r["mean_mean"] == float(r["g"][1:]) and r["mean_std"] == 0 for r in made)
