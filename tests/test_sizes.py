@@ -25,3 +25,16 @@ def test_bootstrap_picks_within_its_group(spark):
     df = spark.range(60_000).select(F.concat(F.lit("g"), F.col("id") % 20).alias("g"), "id", (F.col("id") % 20).cast("double").alias("s"))
     made = metrics.bootstrap(df, ["g"], "s", "id", 8, {"mean": F.avg}, draws=20).collect()
     assert len(made) == 20 and all(r["mean_mean"] == float(r["g"][1:]) and r["mean_std"] == 0 for r in made)
+
+
+def test_draws_meet_a_plain_running_sum(spark):
+    df = spark.range(60_000).withColumn("w", (F.col("id") % 7).cast("double"))
+    got = {r["draw"]: r["id"] for r in mixtures.resampled(df, F.col("w"), 300, 5, "id").collect()}
+    rows = df.orderBy("id").collect()
+    sums, total = [], 0.0
+    for r in rows:
+        total += r["w"] + 1e-8
+        sums.append(total)
+    us = spark.range(300).withColumn("u", metrics.hashed_unit(F.lit(5), F.col("id"))).collect()
+    want = {r["id"]: next(i for i, high in enumerate(sums) if r["u"] < high / total) for r in us}
+    assert got == want
