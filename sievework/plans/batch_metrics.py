@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.operators import advantages as W
@@ -392,8 +392,14 @@ def u5_u6_u8_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT vec_id, c AS chunk, list_transform(embedding[c * 16 + 1 : c * 16 + 16], lambda x: round(x::DOUBLE, 5)) AS piece FROM embeddings, (SELECT unnest(range(4)) AS c)")
 def u9_column_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """What rounds to zero keeps its sign, which Spark's rounding drops."""
+
+    def rounded(x: Column) -> Column:
+        near = F.round(x.cast("double"), 5)
+        return F.when(near == 0, x.cast("double") * 0.0).otherwise(near)
+
     rows = B.column_chunks(table(spark, sf, "embeddings"), "embedding", 4, "chunk")
-    return rows.select("vec_id", F.col("chunk").cast("bigint").alias("chunk"), F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("piece"))
+    return rows.select("vec_id", F.col("chunk").cast("bigint").alias("chunk"), F.transform("embedding", rounded).alias("piece"))
 
 
 @query("SELECT doc_id FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id FROM documents WHERE lang = 'fr' AND n_chars > 500")

@@ -1,5 +1,7 @@
 """Results on tables that are larger than a sample of them, or hold odd values."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from sievework.operators import batch, metrics, mixtures
@@ -38,3 +40,10 @@ def test_draws_meet_a_plain_running_sum(spark):
     us = spark.range(300).withColumn("u", metrics.hashed_unit(F.lit(5), F.col("id"))).collect()
     want = {r["id"]: next(i for i, high in enumerate(sums) if r["u"] < high / total) for r in us}
     assert got == want
+
+
+def test_column_chunks_keep_the_sign_of_zero(spark, tmp_path):
+    rows = [(1, [-1e-7, 1e-7, -0.0, 0.5] + [0.25] * 60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    first = next(r["piece"] for r in registry.QUERIES["u9_column_chunks"](spark, str(tmp_path)).collect() if r["chunk"] == 0)
+    assert [math.copysign(1, x) for x in first[:4]] == [-1, 1, -1, 1] and first[:4] == [0, 0, 0, 0.5]
