@@ -104,10 +104,10 @@ def s1_u1_parquet_files(spark: SparkSession, sf: str) -> DataFrame:
     return io.parquet(spark, f"{sf}/documents.parquet", f"{sf}/documents.parquet").select("doc_id", "source")
 
 
-@query("SELECT source AS prompt, lang AS response FROM documents")
+@query("SELECT doc_id, source AS prompt, lang AS response FROM documents")
 def s2_nested_keys(spark: SparkSession, sf: str) -> DataFrame:
     nested = table(spark, sf, "documents").select("doc_id", F.struct(F.struct(F.col("source").alias("q")).alias("a"), F.col("lang").alias("b")).alias("extra"))
-    return io.prompts_and_responses(nested, ["extra", "a", "q"], ["extra", "b"])
+    return io.prompts_and_responses(nested, ["extra", "a", "q"], ["extra", "b"], keep=("doc_id",))
 
 
 @query("SELECT source AS prompt, text AS chosen, lang AS rejected FROM documents")

@@ -14,10 +14,10 @@ def parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def prompts_and_responses(df: DataFrame, prompt: list[str], response: list[str]) -> DataFrame:
-    """prompt and response, drilled out of nested columns by lists of keys."""
+def prompts_and_responses(df: DataFrame, prompt: list[str], response: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """prompt and response, drilled out of nested columns by lists of keys, after the columns to ``keep``."""
     drill = lambda keys: reduce(lambda c, k: c.getField(k), keys[1:], F.col(keys[0]))
-    return df.select(drill(prompt).alias("prompt"), drill(response).alias("response"))
+    return df.select(*keep, drill(prompt).alias("prompt"), drill(response).alias("response"))
 
 
 def preference(df: DataFrame) -> DataFrame:

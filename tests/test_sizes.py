@@ -47,3 +47,9 @@ def test_column_chunks_keep_the_sign_of_zero(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     first = next(r["piece"] for r in registry.QUERIES["u9_column_chunks"](spark, str(tmp_path)).collect() if r["chunk"] == 0)
     assert [math.copysign(1, x) for x in first[:4]] == [-1, 1, -1, 1] and first[:4] == [0, 0, 0, 0.5]
+
+
+def test_nested_keys_keep_the_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "lang")
+    got = registry.QUERIES["s2_nested_keys"](spark, "/root/testdata/sf0.001").select("doc_id", "prompt", "response").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, docs.collect())))
