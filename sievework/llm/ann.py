@@ -2,13 +2,19 @@
 
 Vectors are cut into SUB-dimensional pieces with 16 centres each. Codes and centres minimise an anisotropic loss: the part
 of the residual that is parallel to the vector, which shifts inner products with its near queries, weighs more than the
-orthogonal part. Four-bit codes, two to a byte, are scanned with tables of partial inner products; the best CANDIDATES
-of each query are reranked by exact inner products in double precision.
+orthogonal part. Four-bit codes, two to a byte, are scanned with tables of partial inner products; entries that may
+belong to a query's best are reranked by exact inner products in double precision.
+
+Which these are depends on the query and on the entry: a query's errors, in units of the entries' residuals, are
+measured on the sample, over all of it and over its CANDIDATES nearest, and an entry is reranked where its approximate
+product and DEVIATIONS such errors times its own residual reach the least of the best known so far. Those of the sample
+are the first of them. So tight clusters, which codes can't tell apart, and vectors of very unlike norms are reranked
+whole, while few are where codes tell much.
 
 Equal vectors are one entry with its least ids, as many as a result can hold, so that a hot vector is neither a hot
-group nor crowds out others. Codebooks are fitted on SAMPLE entries of least hash; every entry is encoded. Codes are dealt to groups, and every block of queries is sent to every group: a
-task holds its group's codes, 24 bytes an entry, scans them for one block of queries after the other and passes on the
-best of each query.
+group nor crowds out others. Codebooks are fitted on SAMPLE entries of least hash; every entry is encoded. A task holds
+codes and vectors of one group of entries, scans them for one block of queries of its part after the other and passes
+on little more than the k best of each query, whatever the number of entries.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold a null or non-finite component take no
 part; of rows that repeat a vec_id with different vectors the least vector counts; ties go to the smaller vec_id; with
@@ -30,12 +36,13 @@ from sievework.llm.shared import cut, map_arrow, partitions
 SUB, CENTRES = 2, 16
 #: Vectors the codebooks are fitted on, rounds of fitting, and the share of a query's norm that counts as near.
 SAMPLE, ROUNDS, NEAR = 4096, 8, 0.2
-#: Queries that are scanned at once; entries of a group, whose codes a task holds: there are as many groups as shuffle
-#: partitions, within these bounds.
-QUERY_BLOCK, GROUP_LEAST, GROUP_MOST = 256, 1024, 4_000_000
-#: Entries per query and group that a scan passes on, and entries per query that are reranked, at least.
-CANDIDATES = 256
-PACKED = "group int, kind int, ids binary, data binary"
+#: Queries and entries that are scanned at once; entries of a group at least, and bytes of its vectors, which a task
+#: holds, at most. Groups and parts of the queries make as many tasks as there are shuffle partitions, within these bounds.
+QUERY_BLOCK, ENTRY_BLOCK, GROUP_LEAST, GROUP_BYTES = 256, 2048, 1024, 64 << 20
+#: Entries of the sample, nearest to a query, on which its error is measured; errors that an entry may lie off; entries
+#: beyond those asked for that a scan passes on, since sums in another order may differ in the last bits.
+CANDIDATES, DEVIATIONS, SPARE = 256, 3.0, 3
+PACKED = "slot int, kind int, ids binary, data binary, vectors binary"
 
 
 class Codebook:
@@ -102,6 +109,15 @@ class Codebook:
             codes = np.concatenate([codes, np.zeros((len(codes), 1), codes.dtype)], axis=1)
         return (codes[:, ::2] * CENTRES + codes[:, 1::2]).astype(np.uint8)
 
+    def residuals(self, v: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """Norms of what codes leave of their vectors."""
+        codes = np.stack([packed // CENTRES, packed % CENTRES], axis=2).reshape(len(packed), -1)[:, : self.pieces]
+        out = np.zeros(len(v))
+        for begin in range(0, len(v), 4096):
+            part = slice(begin, begin + 4096)
+            out[part] = np.sqrt(((self.cut(v[part]) - self.centres[np.arange(self.pieces), codes[part]]) ** 2).sum((1, 2)))
+        return out
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Per byte of a code and its value the partial inner products of all queries: (bytes, 256, queries)."""
         part = np.einsum("qmd,mkd->mkq", self.cut(queries), self.centres).astype(np.float32)
@@ -120,28 +136,68 @@ def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     return rows.join(F.broadcast(sizes.select("n")), F.size("v") == F.col("n")).drop("n")
 
 
-def packed_rows(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """group, kind, ids and data as PACKED."""
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    plain = [(int(g), k, ids.tobytes(), np.ascontiguousarray(data).tobytes()) for g, k, ids, data in rows]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in plain], kind) for i, kind in enumerate(kinds)], ["group", "kind", "ids", "data"])
-
-
-def best_of(book: Codebook, held: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, queries: np.ndarray, most: int) -> pa.RecordBatch:
-    """The ``most`` entries of largest approximate product for each query, from all code blocks that a task holds."""
-    tables, entries, about = book.tables(queries), None, None
-    for entry, code in held:
-        scores = tables[0][code[:, 0]]
-        for j in range(1, code.shape[1]):
-            scores += tables[j][code[:, j]]
-        entry = np.broadcast_to(entry[:, None], scores.shape)
-        if about is not None:
-            scores, entry = np.concatenate([about, scores]), np.concatenate([entries, entry])
-        if len(scores) > most:
-            top = np.argpartition(-scores, most - 1, axis=0)[:most]
-            scores, entry = np.take_along_axis(scores, top, 0), np.take_along_axis(entry, top, 0)
-        entries, about = entry, scores
-    return pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(about))), pa.array(entries.ravel()), pa.array(about.ravel())], ["query_id", "entry", "about"])
+def packed_rows(rows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """slot, kind, ids, data and vectors as PACKED."""
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    plain = [(int(slot), kind, *(np.ascontiguousarray(x).tobytes() for x in rest)) for slot, kind, *rest in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in plain], kind) for i, kind in enumerate(kinds)], ["slot", "kind", "ids", "data", "vectors"])
+
+
+def scanned(tables: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Approximate products, (entries, queries)."""
+    scores = tables[0][code[:, 0]]
+    part = np.empty_like(scores)
+    for j in range(1, code.shape[1]):
+        scores += np.take(tables[j], code[:, j], axis=0, out=part, mode="clip")
+    return scores
+
+
+def expected(book: Codebook, sample: np.ndarray, queries: np.ndarray, most: int, near: int) -> np.ndarray:
+    """Per query the ``most``-th best product in the sample and the error to reckon with, in units of a residual."""
+    code = book.packed(book.encode(sample))
+    exact, rest = sample @ queries.T, book.residuals(sample, code)
+    off = np.divide(exact - scanned(book.tables(queries), code), rest[:, None], out=np.zeros_like(exact), where=rest[:, None] > 0)
+    floor, errors = np.full(len(queries), -np.inf), [np.linalg.norm(queries, axis=1) / math.sqrt(queries.shape[1])]
+    if len(sample) >= most:
+        floor = np.partition(exact, len(sample) - most, axis=0)[len(sample) - most]
+    if len(sample) > near:
+        errors.append(np.sqrt((off**2).mean(0)))
+        off = np.take_along_axis(off, np.argpartition(exact, len(sample) - near, axis=0)[-near:], 0)
+    errors.append(np.sqrt((off**2).mean(0)))
+    return np.stack([floor, np.maximum.reduce(errors)], axis=1)
+
+
+class Group:
+    """The entries of a task, those of small residuals first, so that a block's are alike."""
+
+    def __init__(self, book: Codebook, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        entries, codes, vectors = (np.concatenate(x) for x in zip(*held))
+        rest = book.residuals(vectors, codes)
+        order = np.argsort(rest, kind="stable")
+        self.book, self.entries, self.codes, self.vectors, self.rest = book, entries[order], codes[order], vectors[order], rest[order]
+        self.norm = np.linalg.norm(vectors, axis=1).max()
+
+    def best(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, error: np.ndarray, most: int) -> pa.RecordBatch:
+        """The ``most`` entries of largest product for each query, among those that may be."""
+        tables, floor = self.book.tables(queries), floor.copy()
+        slack = 1e-5 * self.norm * np.linalg.norm(queries, axis=1)
+        row, at, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for begin in range(0, len(self.entries), ENTRY_BLOCK):
+            end = min(begin + ENTRY_BLOCK, len(self.entries))
+            least = floor - DEVIATIONS * error * self.rest[end - 1] - slack
+            e, q = np.nonzero(~(scanned(tables, self.codes[begin:end]) < least.astype(np.float32)))
+            if 20 * len(e) > (end - begin) * len(queries):
+                exact = (self.vectors[begin:end] @ queries.T)[e, q]
+            else:
+                exact = np.einsum("ij,ij->i", self.vectors[begin + e], queries[q])
+            good = exact >= floor[q]
+            row, at, score = np.concatenate([row, q[good]]), np.concatenate([at, begin + e[good]]), np.concatenate([score, exact[good]])
+            order = np.lexsort((self.entries[at], -score, row))
+            row, at, score = row[order], at[order], score[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            floor[row[place == most - 1]] = score[place == most - 1]
+            row, at, score = (x[place < most] for x in (row, at, score))
+        return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(self.entries[at]), pa.array(score)], ["query_id", "entry", "about"])
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -150,14 +206,13 @@ def inner_product(a: Column, b: Column) -> Column:
 
 def search(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id", column: str = "embedding", candidates: int = CANDIDATES) -> DataFrame:
     """query_id, rank, vec_id, score: of each vector for which ``is_query`` (on ``id``) holds the ``k`` others of
-    largest inner product among those that the scan finds. It finds ``candidates`` entries, or more if ``k`` or the
-    square root of the number of entries asks for more."""
+    largest inner product among those that the scan finds. ``candidates`` of the sample set a query's error."""
     rows = cut(usable(vectors, id_column, column))
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     least = rows.withColumn("place", place).where(F.col("place") <= k + 1)
     entries = cut(least.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("entry", F.col("ids")[0]))
     n = entries.count()
-    candidates = max(candidates, 2 * (k + 1), math.isqrt(n))
+    most = k + 1 + SPARE
     queries = rows.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     n_queries = queries.count()
     if n == 0 or n_queries == 0:
@@ -168,42 +223,52 @@ def search(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_i
     sample = np.array([r["v"] for r in few.orderBy("h", "entry").limit(SAMPLE).collect()] or [r["v"] for r in hashed.orderBy("h").limit(1).collect()])
     book = Codebook(sample)
 
-    groups = min(-(-n // GROUP_LEAST), max(partitions(entries.sparkSession), -(-n // GROUP_MOST)))
+    tasks = partitions(entries.sparkSession)
+    parts = max(1, math.isqrt(tasks * n_queries // n))
+    groups = max(min(-(-n // GROUP_LEAST), -(-tasks // parts)), -(-n * 8 * sample.shape[1] // GROUP_BYTES))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                code = book.packed(book.encode(np.stack(part.column("v").to_numpy(zero_copy_only=False))))
+            for at in range(0, batch.num_rows, ENTRY_BLOCK):
+                part = batch.slice(at, ENTRY_BLOCK)
+                v = np.stack(part.column("v").to_numpy(zero_copy_only=False))
+                code = book.packed(book.encode(v))
                 entry, group = part.column("entry").to_numpy(), part.column("group").to_numpy()
-                yield packed_rows([(g, 0, entry[group == g], code[group == g]) for g in np.unique(group)])
+                yield packed_rows([(g, 0, entry[group == g], code[group == g], v[group == g]) for g in np.unique(group)])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, QUERY_BLOCK):
-                part = batch.slice(at, QUERY_BLOCK)
-                yield packed_rows([(0, 1, part.column("query_id").to_numpy(), np.stack(part.column("q").to_numpy(zero_copy_only=False)))])
+                chunk = batch.slice(at, QUERY_BLOCK)
+                ids, q = chunk.column("query_id").to_numpy(), np.stack(chunk.column("q").to_numpy(zero_copy_only=False))
+                yield packed_rows([(at // QUERY_BLOCK % parts, 1, ids, expected(book, sample, q, most, candidates), q)])
 
     group = F.pmod(F.xxhash64("entry"), F.lit(groups)).cast("int").alias("group")
-    codes = map_arrow(entries.select("entry", "v", group), encode, PACKED)
-    asked = map_arrow(queries, ask, PACKED).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    both = codes.unionByName(asked).repartitionById(groups, F.col("group")).sortWithinPartitions("group", "kind")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    codes = map_arrow(entries.select("entry", "v", group), encode, PACKED).withColumn("other", each(parts)).withColumn("slot", F.col("slot") * parts + F.col("other"))
+    asked = map_arrow(queries, ask, PACKED).withColumn("other", each(groups)).withColumn("slot", F.col("other") * parts + F.col("slot"))
+    both = codes.unionByName(asked).drop("other").repartitionById(groups * parts, F.col("slot")).sortWithinPartitions("slot", "kind")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, open_group = [], None
+        held, group, open_slot = [], None, None
         for batch in batches:
-            for g, kind, ids, data in zip(*(batch.column(c).to_pylist() for c in ("group", "kind", "ids", "data"))):
-                if g != open_group:
-                    held, open_group = [], g
+            for slot, kind, ids, data, vectors in zip(*(batch.column(c).to_pylist() for c in ("slot", "kind", "ids", "data", "vectors"))):
+                if slot != open_slot:
+                    held, group, open_slot = [], None, slot
                 ids = np.frombuffer(ids, np.int64)
+                vectors = np.frombuffer(vectors, np.float64).reshape(len(ids), -1)
                 if kind == 0:
-                    held.append((ids, np.frombuffer(data, np.uint8).reshape(len(ids), -1)))
-                elif held:
-                    yield best_of(book, held, ids, np.frombuffer(data, np.float64).reshape(len(ids), -1), candidates)
-
-    found = map_arrow(both, scan, "query_id long, entry long, about float")
+                    held.append((ids, np.frombuffer(data, np.uint8).reshape(len(ids), -1), vectors))
+                    continue
+                if held:
+                    group, held = Group(book, held), []
+                if group is not None:
+                    floor, error = np.frombuffer(data, np.float64).reshape(len(ids), 2).T
+                    yield group.best(ids, vectors, floor, error, most)
+
+    found = map_arrow(both, scan, "query_id long, entry long, about double")
     order = Window.partitionBy("query_id").orderBy(F.desc("about"), "entry")
-    short = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= candidates).select("query_id", "entry")
+    short = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query_id", "entry")
     exact = short.join(entries, "entry").join(queries, "query_id").select("query_id", "entry", "ids", inner_product(F.col("q"), F.col("v")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry")
     few = exact.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)

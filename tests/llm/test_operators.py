@@ -622,3 +622,16 @@ def test_pipeline_stages(spark, docs, none):
         assert stages.encode(spark, table, "").columns == ["doc_id", "n_tokens", "ids"]
     kept = [r["doc_id"] for r in stages.near_dedup(spark, docs, "").collect()]
     assert len(kept) == len(set(kept)) and 8 in kept and 9 not in kept
+
+
+def test_ann_finds_neighbours_that_codes_cannot_tell_apart(spark):
+    """Tight clusters of more vectors than were ever reranked by number, and norms of very unlike size."""
+    rnd = np.random.default_rng(11)
+    noise = rnd.normal(size=(6000, 16))
+    for x in (rnd.normal(size=(4, 16))[np.arange(6000) % 4] + 0.01 * noise, noise * np.exp(2 * rnd.normal(size=(6000, 1)))):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        rows = ann.search(df, F.col("id") % 200 == 0, 20).collect()
+        score = x[::200] @ x.T
+        score[np.arange(30), np.arange(0, 6000, 200)] = -np.inf
+        best = {(i * 200, int(j)) for i, s in enumerate(score) for j in np.argsort(-s)[:20]}
+        assert len(rows) == 600 and len(best & {(r["query_id"], r["vec_id"]) for r in rows}) >= 594
