@@ -14,6 +14,8 @@ from sievework.shipping import ship
 #: broadcast, more are dealt to further tasks.
 BLOCK = 1024
 TASK_BYTES = 64 << 20
+#: Terms, of all queries together, up to which they are broadcast.
+QUERY_TERMS = 500_000
 
 
 def normalized(v: Column) -> Column:
@@ -89,23 +91,27 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf and the text's number of terms."""
+    """key, term and the text's number of terms, a row per occurrence."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = df.select(key, words.alias("w"))
-    return rows.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return df.select(key, words.alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
 
 
 def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, key: str, text: str, query_key: str, query_text: str, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """query_key, rank, key, score by BM25: terms of queries meet postings by an equi-join; only terms that occur in a
-    query are kept of the corpus. Fewer hits than ``k`` are returned as they are."""
-    asked = terms(queries, query_key, query_text).select(query_key, "term", F.col("tf").alias("qtf"))
+    """query_key, rank, key, score by BM25. Up to QUERY_TERMS terms of queries are broadcast: of the corpus only their
+    occurrences are kept, before they are counted, and those of a document stay together, so that its scores are summed
+    and all but the best of a task left out without another shuffle. More terms meet postings by shuffled joins. Fewer
+    hits than ``k`` are returned as they are."""
+    asked = terms(queries, query_key, query_text).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
+    few = asked.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS
+    sent = F.broadcast if few else lambda df: df
     lengths = corpus.select(F.regexp_count(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+")).alias("n"))
     stats = lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    postings = terms(corpus, key, text).join(asked.select("term").distinct(), "term", "left_semi")
+    found = terms(corpus, key, text).join(sent(asked.select("term").distinct()), "term", "left_semi")
+    postings = found.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
     weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = postings.join(idf, "term").withColumn("weight", weight).join(asked, "term")
+    scored = (postings.repartition(key) if few else postings).join(sent(idf), "term").withColumn("weight", weight).join(sent(asked), "term")
     total = scored.groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key))
     return total.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -1,10 +1,11 @@
 """Results on tables that are larger than a sample of them, or hold odd values."""
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
-from sievework.operators import batch, metrics, mixtures
+from sievework.operators import batch, metrics, mixtures, retrieval
 from sievework.plans import registry
 
 
@@ -53,3 +54,14 @@ def test_nested_keys_keep_the_document(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "lang")
     got = registry.QUERIES["s2_nested_keys"](spark, "/root/testdata/sf0.001").select("doc_id", "prompt", "response").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, docs.collect())))
+
+
+def test_bm25_sums_scores_where_the_documents_are(spark, monkeypatch):
+    """Rows of query and document aren't shuffled for their sums, and both ways agree."""
+    docs, asked = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "benchmark"))
+    find = lambda: retrieval.bm25_topk(docs, asked, 5, "doc_id", "text", "item_id", "text").select("item_id", "rank", "doc_id", F.round("score", 6))
+    plan = find()._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(item_id#\d+L?, doc_id#", plan)
+    rows = sorted(find().collect())
+    monkeypatch.setattr(retrieval, "QUERY_TERMS", 0)
+    assert rows and sorted(find().collect()) == rows
