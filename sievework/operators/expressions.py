@@ -23,8 +23,7 @@ def random_expression(row: Column, operators: str = "@", terms: tuple[int, int]
         return (F.lit(low) + F.floor(hashed_unit(F.lit(seed), row, F.lit(what), place) * (high - low))).cast("long")
 
     def term(place: Column, left: int) -> Column:
-        number = choice("number", place, *numbers)
-        plain = F.struct(number.cast("string").alias("text"), number.alias("value"))
+        plain = let(choice("number", place, *numbers), lambda n: F.struct(n.cast("string").alias("text"), n.alias("value")))
         if not left:
             return plain
         inner = let(expression(place, left - 1), lambda e: F.struct(F.concat(F.lit("("), e["text"], F.lit(")")).alias("text"), e["value"].alias("value")))
@@ -33,7 +32,9 @@ def random_expression(row: Column, operators: str = "@", terms: tuple[int, int]
     def expression(place: Column, left: int) -> Column:
         def one(i: Column) -> Column:
             at = F.concat(place, F.lit("."), i.cast("string"))
-            op = F.substring(F.lit(operators), (choice("operator", at, 0, len(operators)) + 1).cast("int"), F.lit(1))
+            op = F.lit(operators)
+            if len(operators) > 1:  # one needs no draw
+                op = F.substring(op, (choice("operator", at, 0, len(operators)) + 1).cast("int"), F.lit(1))
             return let(term(at, left), lambda t: F.struct(op.alias("op"), t["text"].alias("text"), t["value"].alias("value")))
 
         def joined(parts: Column) -> Column:
