@@ -5,8 +5,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from sievework.functions import equality
 from sievework.operators import batch, metrics, mixtures, retrieval
+from sievework.operators.expressions import random_expression
 from sievework.plans import registry
+from sievework.sources import blobs
 
 
 def test_row_ids_are_places_beyond_a_sample(spark):
@@ -65,3 +68,20 @@ def test_bm25_sums_scores_where_the_documents_are(spark, monkeypatch):
     rows = sorted(find().collect())
     monkeypatch.setattr(retrieval, "QUERY_TERMS", 0)
     assert rows and sorted(find().collect()) == rows
+
+
+def test_shared_answers_are_judged_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(equality, "expressions_equal", lambda x, y: not calls.append(x))
+    for _ in range(3):
+        assert equality.math_equal("q+41q", "42q") and equality.math_equal("q+41" + "q" * 2000, "42")
+    assert len(calls) == 4
+
+
+def test_packing_takes_small_batches(spark):
+    blobs._each(blobs.packed, F.col("x"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+
+
+def test_a_single_operator_is_not_drawn(spark):
+    assert "operator" not in random_expression(F.col("id"))._jc.toString()
