@@ -4,7 +4,8 @@ The words that occur most often in all documents are counted by Spark; the drive
 them into a minimal acyclic automaton over UTF-8 bytes in which equal suffixes share their states. An arc carries the
 number of words that sort before the words it leads to, so that the outputs along a word's path add up to its rank, and
 the rank is the place of its ids in an array. The automaton is one file of flat arrays; Spark's file server hands it to
-the executors, whose workers map it into memory. Words it lacks are merged exactly, by rank, leftmost first.
+the executors, whose workers map it into memory. Words it lacks are merged exactly, by rank, leftmost first. A worker
+takes the distinct chunks between white space of a batch of texts, and looks up and merges all words new to it together.
 
 The tokenizer is given as a ``tokenizers`` JSON file: a BPE model with an end-of-word suffix behind NFC, white space and
 lower case normalisation, a split pattern and byte-level symbols. White space takes no part in its tokens. Tokens added
@@ -26,9 +27,11 @@ import struct
 import tempfile
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +44,13 @@ LEXICON_WORDS = 32_768
 PER_DOUBLING = 64
 #: Bytes of words and of chunks between white space that a worker remembers, until its task ends; what an entry takes
 #: besides its characters and ids, and the longest that is kept.
-CACHE, CHUNKS, ENTRY, LONG = 72 << 20, 32 << 20, 200, 64
+CACHE, CHUNKS, ENTRY, LONG = 72 << 20, 96 << 20, 200, 64
+#: Texts encoded together, the longest word in bytes that is merged beside others, and the rank of a pair that has none.
+BATCH, SHORT, NO_RANK = 1024, 48, 1 << 62
 #: The first code point that Unicode hasn't assigned; below it, letters are the same in all its versions.
 FIRST_UNKNOWN = "\u0378"
+#: Marks that end most words that aren't letters alone.
+PUNCTUATION = set(".,;:!?")
 #: White space of the pattern engine: what Unicode calls so.
 UNICODE_SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -86,6 +93,14 @@ class Merger:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = rank
             self.made.append(vocab[a + b])
+        # the same in order of pairs, with tables of those that bytes make within a word and at its end
+        keys = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        order = np.argsort(keys)
+        self.pairs = np.append(keys[order], NO_RANK)
+        self.ranks = np.append(np.array(list(self.merges.values()), np.int64)[order], -1)
+        self.made_ids = np.array(self.made, np.int64)
+        self.of_bytes = np.array([self.inner, self.last], np.int64)
+        self.byte_ranks = self._ranks(self.of_bytes[0][:, None], self.of_bytes[:, None, :])
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{UNICODE_SPACE}")).findall
         self.path = path
@@ -102,7 +117,51 @@ class Merger:
         """The ids of a pre-token, given as its UTF-8 bytes."""
         ids = [self.inner[b] for b in piece[:-1]]
         ids.append(self.last[piece[-1]])
-        return self._short(ids) if len(ids) <= 48 else self._long(ids)
+        return self._short(ids) if len(ids) <= SHORT else self._long(ids)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids, shifted to leave 32 bits for a place; NO_RANK where they don't merge."""
+        key = left << 32 | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.ranks[at] << 32, NO_RANK)
+
+    def words(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of pre-tokens of at most SHORT bytes each. Every round merges each word's pair of least rank,
+        the leftmost of equal ones, as ``word`` does for one."""
+        if not pieces:
+            return []
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        sizes = np.array(list(map(len, pieces)))
+        ends = np.cumsum(sizes)
+        first, end, n = ends - sizes, ends, len(data)
+        at_end = np.zeros(n, np.int8)
+        at_end[ends - 1] = 1
+        ids = self.of_bytes[at_end, data]
+        # by place: the rank of the pair that begins there and the place itself; the tokens before and after
+        best = np.full(n + 1, NO_RANK)
+        best[: n - 1] = self.byte_ranks[at_end[1:], data[:-1], data[1:]]
+        best[ends - 1] = NO_RANK
+        np.add(best, np.arange(n + 1), out=best, where=best < NO_RANK)
+        before, after = np.arange(-1, n), np.arange(1, n + 2)
+        left = np.ones(n, bool)
+        while True:
+            least = np.minimum.reduceat(best, np.stack([first, end], 1).ravel())[::2]
+            more = least < NO_RANK
+            first, end, least = first[more], end[more], least[more]
+            if not len(first):
+                break
+            i = least & 0xFFFFFFFF
+            j = after[i]
+            k = after[j]
+            ids[i], left[j], best[j], after[i], before[k] = self.made_ids[least >> 32], False, NO_RANK, k, i
+            right, back = k < end, i > first
+            best[i] = NO_RANK
+            begin = np.concatenate([i[right], before[i[back]]])
+            rank = self._ranks(ids[begin], ids[np.concatenate([k[right], i[back]])])
+            best[begin] = np.where(rank < NO_RANK, rank + begin, NO_RANK)
+        packed = ids[left].astype("<u4").tobytes()
+        stops = np.cumsum(np.add.reduceat(left, ends - sizes, dtype=np.int64)) * 4
+        return [packed[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
 
     def _short(self, ids: list[int]) -> list[int]:
         get, none, made = self.merges.get, 1 << 60, self.made
@@ -160,33 +219,48 @@ class Merger:
 
 
 class Lexicon:
-    """Reader of a compiled lexicon, which it maps into memory; ``get`` gives a word's ids or None."""
+    """Reader of a compiled lexicon, which it maps into memory; ``get`` gives a word's ids or None, ``places`` the ranks
+    of many words at once."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.file = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        view, at, arrays = memoryview(self.file), 40, []
-        for n, kind in zip(struct.unpack("<5q", self.file[:40]), "IIIBI"):
-            size = n * struct.calcsize(kind)
-            arrays.append((at, view[at : at + size].cast(kind)))
-            at += -(-size // 8) * 8
+        at, arrays = 40, []
+        for n, kind in zip(struct.unpack("<5q", self.file[:40]), ("<u4", "<u4", "<u4", "u1", "<u4")):
+            arrays.append(np.frombuffer(self.file, kind, n, at))
+            at += -(-arrays[-1].nbytes // 8) * 8
         # of each state the first arc, times two, plus one if it accepts; of each arc target, output, label; then the
         # number of words, where each word's ids begin, and the ids
-        (_, self.first), (_, self.target), (_, self.output), (self.labels, _), (_, self.ids) = arrays
+        self.first, self.target, self.output, labels, self.ids = arrays
+        # arcs stand in order of state and label
+        state = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first >> 1))
+        self.arcs = np.append(state << 8 | labels, NO_RANK)
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The rank of each word, -1 where the lexicon lacks it."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.array(list(map(len, words)), np.int64)
+        begin = np.cumsum(sizes) - sizes
+        state, rank = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        live, b = np.arange(len(words)), 0
+        while len(live := live[sizes[live] > b]):
+            key = state[live] << 8 | data[begin[live] + b]
+            arc = np.searchsorted(self.arcs, key)
+            found = self.arcs[arc] == key
+            state[live[~found]] = -1
+            live, arc, b = live[found], arc[found], b + 1
+            rank[live] += self.output[arc]
+            state[live] = self.target[arc]
+        return np.where((state >= 0) & (self.first[state] & 1 == 1), rank, -1)
+
+    def at(self, place: int) -> np.ndarray:
+        """The ids of the word of a rank."""
+        ids, n = self.ids, int(self.ids[0])
+        return ids[n + 2 + int(ids[1 + place]) : n + 2 + int(ids[2 + place])]
 
     def get(self, word: bytes) -> list[int] | None:
-        first, find, labels, state, rank = self.first, self.file.find, self.labels, 0, 0
-        for b in range(len(word)):
-            low, high = first[state] >> 1, first[state + 1] >> 1
-            i = find(word[b : b + 1], labels + low, labels + high) - labels
-            if i < low:
-                return None
-            rank += self.output[i]
-            state = self.target[i]
-        if not first[state] & 1:
-            return None
-        ids, n = self.ids, self.ids[0]
-        return ids[n + 2 + ids[1 + rank] : n + 2 + ids[2 + rank]].tolist()
+        place = int(self.places([word])[0])
+        return None if place < 0 else self.at(place).tolist()
 
 
 def compile_lexicon(words: dict[bytes, list[int]], path: str) -> int:
@@ -256,37 +330,15 @@ def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
     return [] if limit is None else [r["word"] for r in counts.where(level >= limit).select("word").collect()]
 
 
-class Remembered(dict):
-    """A dict that computes what it lacks, and starts anew beyond ``room`` bytes; long keys aren't kept."""
-
-    def __init__(self, compute, room: int):
-        super().__init__()
-        self.compute, self.room, self.held = compute, room, 0
-
-    def __missing__(self, key):
-        got = self.compute(key)
-        if len(key) <= LONG:
-            self.held += ENTRY + len(key) + len(got)
-            if self.held > self.room:
-                self.clear()
-                self.held = 0
-            self[key] = got
-        return got
-
-    def forget(self) -> None:
-        self.clear()
-        self.held = 0
-
-
 class Coder:
     """A worker's encoder: what it has met before, else the lexicon, else exact merges; with ``library`` the words are
-    merged by the tokenizers library instead."""
+    merged by the tokenizers library instead. ``room`` bounds the bytes of words and of chunks it remembers."""
 
     def __init__(self, tokenizer_path: str, lexicon_path: str | None = None, library: bool = False, room: tuple[int, int] = (CACHE, CHUNKS)):
         self.merger = Merger(tokenizer_path)
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
-        self.words = Remembered(self.word, room[0])
-        self.chunks = Remembered(self.chunk, room[1])
+        self.tokens = pa.array(self.merger.tokens, pa.binary())
+        self.room = room
         self.model = None
         if library:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -294,44 +346,97 @@ class Coder:
 
             self.model = Tokenizer.from_file(tokenizer_path).model
             self.symbols = byte_symbols()
+        self.forget()
 
-    def word(self, piece: str) -> bytes:
-        """The packed ids of a pre-token."""
+    def forget(self) -> None:
+        self._forget_words()
+        self._forget_chunks()
+
+    def _forget_words(self) -> None:
+        # packed ids by pre-token, and by id those of added tokens
+        self.words: dict[str | int, bytes] = {i: struct.pack("<I", i) for i in self.merger.added.values()}
+        self.held_words = 0
+
+    def _forget_chunks(self) -> None:
+        # numbers of chunks; by number, where its ids begin in ``ids``, with an end
+        self.chunks: dict[bytes, int] = {}
+        self.begins, self.ids = np.zeros(1, np.int64), np.zeros(0, "<i4")
+
+    def merged(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of each of some pre-tokens."""
         if self.model:
-            shown = piece if piece.isascii() and piece.isprintable() else "".join(map(self.symbols.__getitem__, piece.encode()))
-            ids = [t.id for t in self.model.tokenize(shown)]
-        else:
-            data = piece.encode()
-            ids = self.lexicon.get(data) if self.lexicon else None
-            ids = self.merger.word(data) if ids is None else ids
-        return struct.pack("<%dI" % len(ids), *ids)
-
-    def chunk(self, chunk: bytes) -> bytes:
-        """The packed ids of what stands between white space."""
-        text, words = chunk.decode(), self.words
-        if max(text) < FIRST_UNKNOWN:
-            low = text.lower() if text.isascii() else self.merger.normalize(text)
-            if low.isalpha():
-                return words[low]
-            if low[-1] in ".,;:!?" and low[:-1].isalpha():
-                return words[low[:-1]] + words[low[-1]]
+            out = []
+            for piece in pieces:
+                shown = piece if piece.isascii() and piece.isprintable() else "".join(map(self.symbols.__getitem__, piece.encode()))
+                out.append([t.id for t in self.model.tokenize(shown)])
+            return [struct.pack("<%dI" % len(ids), *ids) for ids in out]
+        data = [p.encode() for p in pieces]
+        places = self.lexicon.places(data).tolist() if self.lexicon else [-1] * len(data)
+        short = iter(self.merger.words([w for w, at in zip(data, places) if at < 0 and len(w) <= SHORT]))
+        return [
+            self.lexicon.at(at).tobytes() if at >= 0 else next(short) if len(w) <= SHORT else np.array(self.merger.word(w), "<u4").tobytes()
+            for w, at in zip(data, places)
+        ]
+
+    def parts(self, chunk: bytes) -> list[str | int]:
+        """What stands between white space, as pre-tokens and ids of added tokens."""
+        text = chunk.decode()
+        low = text.lower() if text.isascii() else self.merger.normalize(text) if max(text) < FIRST_UNKNOWN else ""
+        if low.isalpha():
+            return [low]
+        if low[-1:] in PUNCTUATION and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
         if b"<" not in chunk:
-            return b"".join(map(words.__getitem__, self.merger.split(text)))
-        return b"".join(words[p] if i < 0 else struct.pack("<I", i) for p, i in self.merger.parts(text))
+            return self.merger.split(text)
+        return [p if i < 0 else i for p, i in self.merger.parts(text)]
+
+    def learn(self, chunks: list[bytes]) -> range:
+        """Numbers of chunks that are new."""
+        if self.held_words > self.room[0]:
+            self._forget_words()
+        parts, words = list(map(self.parts, chunks)), self.words
+        new = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in words]
+        found = dict(zip(new, self.merged(new)))
+        words.update(found)
+        packed = [words[ps[0]] if len(ps) == 1 else b"".join(map(words.__getitem__, ps)) for ps in parts]
+        for p, ids in found.items():
+            if len(p) <= LONG:
+                self.held_words += ENTRY + len(p) + len(ids)
+            else:
+                del words[p]
+        numbers = range(len(self.begins) - 1, len(self.begins) - 1 + len(chunks))
+        self.chunks.update((c, n) for c, n in zip(chunks, numbers) if len(c) <= LONG)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(packed), "<i4")])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.array(list(map(len, packed)), np.int64) // 4)])
+        return numbers
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of binary texts one after the other, and where each text's begin, with an end. No token spans white
+        space, so chunks stand alone."""
+        if len(self.begins) * ENTRY + self.ids.nbytes > self.room[1]:
+            self._forget_chunks()
+        lists = pc.ascii_split_whitespace(texts.fill_null(b"").view(pa.string()))
+        coded = lists.flatten().view(pa.binary()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        number = np.array([self.chunks.get(c, -1) for c in distinct], np.int64)
+        if len(new := np.flatnonzero(number < 0)):
+            number[new] = self.learn([distinct[i] for i in new.tolist()])
+        number = number[coded.indices.to_numpy()]
+        begins = self.begins[number]
+        counts = self.begins[number + 1] - begins
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.ids[np.repeat(begins - ends[:-1], counts) + np.arange(ends[-1])]
+        return ids, ends[lists.offsets.to_numpy()]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as packed 32-bit integers. No token spans white space, so chunks stand alone."""
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, t.split())) for t in texts]
+        """The ids of each text as packed 32-bit integers."""
+        ids, ends = self.encode_array(pa.array(texts, pa.binary()))
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
-    def decode(self, ids: list[int]) -> bytes:
-        """Tokens joined by a space, as a tokenizer without a decoder does."""
-        return b" ".join(map(self.merger.tokens.__getitem__, ids))
-
-
-    def forget(self) -> None:
-        self.words.forget()
-        self.chunks.forget()
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """Tokens of each list joined by a space, as a tokenizer without a decoder does."""
+        tokens = pa.ListArray.from_arrays(lists.offsets, self.tokens.take(lists.values))
+        return pc.binary_join(tokens, b" ").cast(pa.string())
 
 
 _coders: dict[tuple[str, str | None], Coder] = {}
@@ -374,14 +479,11 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEX
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(tokenizer_path, lexicon)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                packed = code.encode([t or b"" for t in batch.column("text").to_pylist()])
-                ids = [np.frombuffer(p, "<i4") for p in packed]
-                decoded = pa.array([code.decode(x.tolist()) for x in ids], pa.binary()).cast(pa.string())
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, "<i4"), *ids])))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, decoded], ["doc_id", "ids", "decoded"])
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                ids, ends = code.encode_array(batch.column("text"))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, code.decode(lists)], ["doc_id", "ids", "decoded"])
 
     schema = docs.select("doc_id").withColumns({"ids": F.array().cast("array<int>"), "decoded": F.lit("")}).schema
     return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, schema)

@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -386,6 +387,31 @@ def test_lexicon_shares_suffixes(tmp_path):
     assert bpe.compile_lexicon({}, f"{tmp_path}/e") == 1 and bpe.Lexicon(f"{tmp_path}/e").get(b"a") is None
 
 
+def test_bpe_merges_new_words_together(monkeypatch, tmp_path):
+    """Words new to a batch are looked up and merged as arrays; one by one they took most of the encoder's time."""
+    library, rnd = Tokenizer.from_file(PATH), random.Random(3)
+    made = ["".join(rnd.choice("abdeinorstuéßñ") for _ in range(rnd.randint(1, 30))) for _ in range(2000)]
+    texts = [None, "", " \n", *(" ".join(f"{rnd.choice(made)}{rnd.choice(['', '.', '!?', '7', '<|endoftext|>'])}" for _ in range(80)) for _ in range(100)), "x" * 500]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    merger = bpe.Merger(PATH)
+    bpe.compile_lexicon({w.encode(): merger.word(w.encode()) for w in made[:200]}, f"{tmp_path}/l")
+    one = bpe.Merger.word
+    monkeypatch.setattr(bpe.Merger, "word", lambda self, w: one(self, w) if len(w) > 48 else pytest.fail(f"{w} was merged alone"))
+    coders = bpe.Coder(PATH), bpe.Coder(PATH, f"{tmp_path}/l"), bpe.Coder(PATH, room=(1, 1)), bpe.Coder(PATH, library=True)
+    for coder in coders:
+        for _ in range(2):
+            for at in range(0, len(texts), 20):
+                got = coder.encode([(t or "").encode() for t in texts[at : at + 20]])
+                assert [np.frombuffer(x, "<i4").tolist() for x in got] == want[at : at + 20]
+        array = pa.array([t and t.encode() for t in texts], pa.binary())[1:90]
+        ids, ends = coder.encode_array(array)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want[1:90]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+        assert coder.decode(lists).to_pylist() == [library.decode(x, skip_special_tokens=False) for x in want[1:90]]
+        assert coder.encode([]) == [] and coder.encode([b""]) == [b""]
+    assert max(map(len, coders[0].words.keys() - coders[0].merger.added.values())) <= bpe.LONG
+
+
 def test_token_files(spark, docs, none, rows):
     library, out = Tokenizer.from_file(PATH), fresh_dir(spark, "test-ids")
     token_ids.write_token_files(docs, out, PATH, 1)
