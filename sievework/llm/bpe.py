@@ -27,7 +27,7 @@ import struct
 import tempfile
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -359,7 +359,7 @@ class Coder:
 
     def _forget_chunks(self) -> None:
         # numbers of chunks; by number, where its ids begin in ``ids``, with an end
-        self.chunks: dict[bytes, int] = {}
+        self.chunks: dict[str, int] = {}
         self.begins, self.ids = np.zeros(1, np.int64), np.zeros(0, "<i4")
 
     def merged(self, pieces: list[str]) -> list[bytes]:
@@ -378,36 +378,35 @@ class Coder:
             for w, at in zip(data, places)
         ]
 
-    def parts(self, chunk: bytes) -> list[str | int]:
+    def parts(self, text: str) -> list[str | int]:
         """What stands between white space, as pre-tokens and ids of added tokens."""
-        text = chunk.decode()
         low = text.lower() if text.isascii() else self.merger.normalize(text) if max(text) < FIRST_UNKNOWN else ""
         if low.isalpha():
             return [low]
         if low[-1:] in PUNCTUATION and low[:-1].isalpha():
             return [low[:-1], low[-1]]
-        if b"<" not in chunk:
+        if "<" not in text:
             return self.merger.split(text)
         return [p if i < 0 else i for p, i in self.merger.parts(text)]
 
-    def learn(self, chunks: list[bytes]) -> range:
+    def learn(self, chunks: list[str]) -> range:
         """Numbers of chunks that are new."""
         if self.held_words > self.room[0]:
             self._forget_words()
         parts, words = list(map(self.parts, chunks)), self.words
         new = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in words]
-        found = dict(zip(new, self.merged(new)))
-        words.update(found)
+        merged = self.merged(new)
+        words.update(zip(new, merged))
+        self.held_words += sum(map(len, new)) + sum(map(len, merged)) + ENTRY * len(new)
         packed = [words[ps[0]] if len(ps) == 1 else b"".join(map(words.__getitem__, ps)) for ps in parts]
-        for p, ids in found.items():
-            if len(p) <= LONG:
-                self.held_words += ENTRY + len(p) + len(ids)
-            else:
-                del words[p]
-        numbers = range(len(self.begins) - 1, len(self.begins) - 1 + len(chunks))
-        self.chunks.update((c, n) for c, n in zip(chunks, numbers) if len(c) <= LONG)
+        begin = len(self.begins) - 1
+        numbers = range(begin, begin + len(chunks))
+        self.chunks.update(zip(chunks, numbers))
+        for kept, added in ((words, new), (self.chunks, chunks)):
+            for key in [k for k in added if len(k) > LONG]:
+                del kept[key]
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(packed), "<i4")])
-        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.array(list(map(len, packed)), np.int64) // 4)])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4)])
         return numbers
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -417,8 +416,11 @@ class Coder:
             self._forget_chunks()
         lists = pc.ascii_split_whitespace(texts.fill_null(b"").view(pa.string()))
         coded = lists.flatten().view(pa.binary()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        number = np.array([self.chunks.get(c, -1) for c in distinct], np.int64)
+        # no chunk holds a space, so that they are read as one string
+        n = len(coded.dictionary)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), coded.dictionary), b" ")[0].as_py()
+        distinct = joined.decode().split(" ") if n else []
+        number = np.fromiter(map(self.chunks.get, distinct, repeat(-1)), np.int64, n)
         if len(new := np.flatnonzero(number < 0)):
             number[new] = self.learn([distinct[i] for i in new.tolist()])
         number = number[coded.indices.to_numpy()]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.bpe import Coder
+from sievework.llm.bpe import BATCH, Coder
 from sievework.llm.shared import cut, filesystem, map_arrow, range_shards, take_room
 
 MAGIC = b"SWTOK001"
@@ -41,7 +41,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 256, 8_000, 64 * 1024
 SHARD_BYTES, FILE_BYTES = 32 << 20, 64 << 20
 LEVEL = 3
 #: Bytes of words and chunks that a worker remembers.
-ROOM = (120 << 20, 48 << 20)
+ROOM = (96 << 20, 96 << 20)
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -73,8 +73,8 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None, keep: t
         enc = encoder(tokenizer_path)
         end = b"" if end_id is None else int(end_id).to_bytes(enc.width, "little")
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
                 texts = [t or b"" for t in batch.column("text").to_pylist()]
                 ids = pa.array([x + end for x in enc.encode(texts)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), ids], [*keep, "ids"])
